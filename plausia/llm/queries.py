@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, ledger, mixing, names
+from . import leakage, ledger, mixing, names, residue
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,7 +50,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(_table(spark, d, "documents"), _table(spark, d, "mix_targets")), _table(spark, d, "mix_targets"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p7_found, p7_counts, p8_found, p8_scores, p9_mixture, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_records(_table(spark, d, "documents")).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_records(_table(spark, d, "documents")).withColumn("posterior", F.round("posterior", 6))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p7_found, p7_counts, p8_found, p8_scores, p9_mixture, p9_shares, p10_found, p10_scores)}
 
 _LETTERS = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 _IS_FIELDS = "(len({0}) >= 2 AND list_bool_and([regexp_full_match(f, '(?s)[^:=]*[\\p{{L}}\\p{{N}}][^:=]*[:=].*[\\p{{L}}\\p{{N}}].*') FOR f IN {0}]))"
