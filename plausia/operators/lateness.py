@@ -4,9 +4,10 @@ K-slack reordering: a day's events stay in a buffer until the bound after the da
 are released in event-time order to the final, order-sensitive aggregation. Meanwhile each midnight publishes
 provisional values from the buffer. An event recorded after the release is dropped, and reported.
 
-In a batch, an event's own recording time tells on which side of the release it falls. The release order is a
-sort by range; partial aggregates of the ranges are merged in their order, so a day with a third of all
-events is still split over many tasks.
+In a batch, the release order is a sort into ranges of (day, time, sequence) and one pass over each range
+plays the buffers of its days: it admits events by their recording time, folds those released in order, and
+routes late ones out. The partial aggregates of a day's ranges are merged in their order, so a day with a
+third of all events is still split over many tasks, and no task holds a day.
 """
 
 from __future__ import annotations
@@ -18,114 +19,135 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import materialize, shuffle_partitions
+from ..cluster import shuffle_partitions
 from .deltas import SECONDS_PER_DAY, first_deliveries, utc_day, valid_seconds
 
 K_SECONDS = 72 * 3600
-_PARTIAL = "day int, range_no int, n long, first_key string, last_key string, switches long, first_at double, last_at double, longest_gap double"
-_PARTIAL_SCHEMA = pa.schema([("day", pa.int32()), ("range_no", pa.int32()), ("n", pa.int64()), ("first_key", pa.string()), ("last_key", pa.string()), ("switches", pa.int64()), ("first_at", pa.float64()), ("last_at", pa.float64()), ("longest_gap", pa.float64())])
+_PART = "day int, range_no int, n long, first_key string, last_key string, switches long, first_at double, last_at double, longest_gap double, n_corrected long, n_dropped long, by_step array<long>"
+_PART_TYPE = pa.schema([
+    ("day", pa.int32()), ("range_no", pa.int32()), ("n", pa.int64()), ("first_key", pa.string()), ("last_key", pa.string()), ("switches", pa.int64()), ("first_at", pa.float64()), ("last_at", pa.float64()),
+    ("longest_gap", pa.float64()), ("n_corrected", pa.int64()), ("n_dropped", pa.int64()), ("by_step", pa.list_(pa.int64())),
+])
+_OUT = "delta_id string, kind string, " + _PART
+_OUT_TYPE = pa.schema([("delta_id", pa.string()), ("kind", pa.string()), *_PART_TYPE])
+CORRECTED, DROPPED, PARTIAL = "corrected", "dropped", "partial"
 
 
 def happenings(deltas: DataFrame) -> DataFrame:
-    """``delta_id, key, happened, recorded, seq``: first deliveries with a valid time and a recording time."""
-    first = first_deliveries(deltas, F.col("dimension_id").alias("key"), valid_seconds(F.col("valid_time")).alias("happened"), F.col("ts").alias("recorded"))
-    return first.where("happened is not null and recorded is not null").withColumnRenamed("id", "delta_id")
-
-
-def slack(events: DataFrame, k_seconds: float = K_SECONDS) -> DataFrame:
-    """Adds ``day``, its end ``closes``, ``releases`` (when its buffer empties) and ``kind``: ``in_time``,
-    ``corrected`` (buffered after the day's first value was published) or ``dropped``."""
-    day = utc_day(F.col("happened"))
-    closes = (day + 1).cast("double") * float(SECONDS_PER_DAY)
-    late, beyond = F.col("recorded") >= F.col("closes"), F.col("recorded") > F.col("releases")
-    kind = F.when(beyond, "dropped").when(late, "corrected").otherwise("in_time")
-    return events.withColumn("day", day).withColumn("closes", closes).withColumn("releases", F.col("closes") + float(k_seconds)).withColumn("kind", kind)
-
-
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial aggregates of each day in one sorted range; ``switches`` counts changes of key in order."""
-    from pyspark import TaskContext
-
-    range_no = TaskContext.get().partitionId()
-    held: dict | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        day = batch.column("day").to_numpy(zero_copy_only=False)
-        at = batch.column("happened").to_numpy(zero_copy_only=False)
-        key = batch.column("key").to_numpy(zero_copy_only=False)
-        starts = np.r_[0, np.flatnonzero(np.diff(day)) + 1]
-        done = []
-        for a, b in zip(starts, [*starts[1:], len(day)], strict=True):
-            keys, times = key[a:b], at[a:b]
-            part = {
-                "day": int(day[a]), "range_no": range_no, "n": int(b - a), "first_key": keys[0], "last_key": keys[-1], "switches": int((keys[1:] != keys[:-1]).sum()),
-                "first_at": float(times[0]), "last_at": float(times[-1]), "longest_gap": float(np.diff(times).max()) if b - a > 1 else 0.0,
-            }
-            if held is not None and held["day"] == part["day"]:
-                held = merge_partials(held, part)
-            else:
-                if held is not None:
-                    done.append(held)
-                held = part
-        if done:
-            yield pa.RecordBatch.from_pylist(done, schema=_PARTIAL_SCHEMA)
-    if held is not None:
-        yield pa.RecordBatch.from_pylist([held], schema=_PARTIAL_SCHEMA)
+    """``delta_id, key, day, happened, recorded, seq``: first deliveries with a valid time and a recording
+    time. A null dimension is the empty key."""
+    first = first_deliveries(deltas, F.coalesce("dimension_id", F.lit("")).alias("key"), valid_seconds(F.col("valid_time")).alias("happened"), F.col("ts").alias("recorded"))
+    return first.where("happened is not null and recorded is not null").select(F.col("id").alias("delta_id"), "key", utc_day(F.col("happened")).alias("day"), "happened", "recorded", "seq")
 
 
 def merge_partials(a: dict, b: dict) -> dict:
-    """The aggregate of ``a`` followed by ``b``; associative."""
-    return a | {
-        "n": a["n"] + b["n"], "last_key": b["last_key"], "switches": a["switches"] + b["switches"] + int(a["last_key"] != b["first_key"]),
+    """The aggregate of ``a`` followed by ``b``; associative. Either may have released nothing."""
+    sums = {k: a[k] + b[k] for k in ("n", "n_corrected", "n_dropped")} | {"by_step": [x + y for x, y in zip(a["by_step"], b["by_step"], strict=True)]}
+    if not a["n"] or not b["n"]:
+        return (a if a["n"] else b) | sums
+    return a | sums | {
+        "last_key": b["last_key"], "switches": a["switches"] + b["switches"] + int(a["last_key"] != b["first_key"]),
         "last_at": b["last_at"], "longest_gap": max(a["longest_gap"], b["longest_gap"], b["first_at"] - a["last_at"]),
     }
 
 
-def release(buffered: DataFrame) -> DataFrame:
-    """Final values per day of the events that the buffer released, in the order in which they happened:
-    ``day, n, first_key, last_key, switches, first_at, last_at, longest_gap``."""
-    n = shuffle_partitions(buffered.sparkSession)
+class Buffers:
+    """The buffers of the days in one sorted range, as partial aggregates."""
+
+    def __init__(self, k_seconds: float, range_no: int):
+        self.k, self.range_no, self.steps = k_seconds, range_no, int(k_seconds // SECONDS_PER_DAY) + 2
+        self.held: dict | None = None
+
+    def admit(self, day: int, at: np.ndarray, recorded: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, dict | None]:
+        """Takes a run of one day's events in order. Gives which of them are late (1 corrected, 2 dropped) and,
+        when another day begins, what the day before came to."""
+        after = recorded - (day + 1.0) * SECONDS_PER_DAY
+        late = np.where(after > self.k, 2, np.where(after >= 0, 1, 0))
+        kept = late < 2
+        t, k = at[kept], key[kept]
+        step = np.where(after[kept] < 0, 0, np.floor(after[kept] / SECONDS_PER_DAY).astype(np.int64) + 1)
+        part = {
+            "day": day, "range_no": self.range_no, "n": len(t), "first_key": k[0] if len(t) else None, "last_key": k[-1] if len(t) else None, "switches": int((k[1:] != k[:-1]).sum()),
+            "first_at": float(t[0]) if len(t) else None, "last_at": float(t[-1]) if len(t) else None, "longest_gap": float(np.diff(t).max()) if len(t) > 1 else 0.0,
+            "n_corrected": int((late == 1).sum()), "n_dropped": int((late == 2).sum()), "by_step": np.bincount(step, minlength=self.steps).tolist(),
+        }
+        done = None
+        if self.held is not None and self.held["day"] == day:
+            self.held = merge_partials(self.held, part)
+        else:
+            done, self.held = self.held, part
+        return late, done
+
+
+def _play(k_seconds: float):
+    def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        buffers = Buffers(k_seconds, TaskContext.get().partitionId())
+        names = np.array([None, CORRECTED, DROPPED], object)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            day, at, recorded, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("day", "happened", "recorded", "key"))
+            starts = [0, *(np.flatnonzero(np.diff(day)) + 1), len(day)]
+            late, done = np.zeros(len(day), np.int64), []
+            for a, b in zip(starts, starts[1:], strict=False):
+                late[a:b], ended = buffers.admit(int(day[a]), at[a:b], recorded[a:b], key[a:b])
+                done += [ended] if ended else []
+            if late.any():
+                routed = batch.filter(pa.array(late > 0))
+                yield pa.record_batch([routed.column("delta_id"), pa.array(names[late[late > 0]], pa.string()), *(pa.nulls(routed.num_rows, f.type) for f in _PART_TYPE)], schema=_OUT_TYPE)
+            if done:
+                yield pa.RecordBatch.from_pylist([{"delta_id": None, "kind": PARTIAL} | d for d in done], schema=_OUT_TYPE)
+        if buffers.held is not None:
+            yield pa.RecordBatch.from_pylist([{"delta_id": None, "kind": PARTIAL} | buffers.held], schema=_OUT_TYPE)
+
+    return play
+
+
+def k_slack(events: DataFrame, k_seconds: float = K_SECONDS) -> DataFrame:
+    """Plays :func:`happenings` through the buffers: a row per late event (``kind`` ``corrected`` or
+    ``dropped``) and the partial aggregates of each day and range (``partial``)."""
     order = ["day", "happened", "seq"]
-    sorted_ranges = buffered.select("day", "happened", "seq", F.coalesce("key", F.lit("")).alias("key")).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    partials = sorted_ranges.mapInArrow(_fold, _PARTIAL)
+    ranges = events.repartitionByRange(shuffle_partitions(events.sparkSession), *order).sortWithinPartitions(*order)
+    return ranges.select("delta_id", "day", "happened", "recorded", "key").mapInArrow(_play(k_seconds), _OUT)
 
-    def merged(parts: pa.Table) -> pa.Table:
-        rows = sorted(parts.to_pylist(), key=lambda r: r["range_no"])
-        total = rows[0]
-        for r in rows[1:]:
-            total = merge_partials(total, r)
-        return pa.Table.from_pylist([total], schema=_PARTIAL_SCHEMA)
 
-    return partials.groupBy("day").applyInArrow(merged, _PARTIAL).drop("range_no")
-
-
-def provisional(buffered: DataFrame, k_seconds: float = K_SECONDS) -> DataFrame:
-    """``day, published_day, n_so_far``: what each midnight from the day's end to its release publishes."""
-    steps = int(k_seconds // SECONDS_PER_DAY)
-    after = F.col("recorded") - F.col("closes")
-    wait = F.when(after < 0, 0).otherwise(F.floor(after / float(SECONDS_PER_DAY)) + 1)
-    per_step = buffered.groupBy("day", wait.cast("int").alias("step")).agg(F.count(F.lit(1)).alias("n"))
-    published = per_step.where(F.col("step") <= steps).select("day", "n", F.explode(F.sequence("step", F.lit(steps))).alias("step"))
-    return published.groupBy("day", (F.col("day") + 1 + F.col("step")).alias("published_day")).agg(F.sum("n").alias("n_so_far"))
+def _merge_day(parts: pa.Table) -> pa.Table:
+    rows = sorted(parts.to_pylist(), key=lambda r: r["range_no"])
+    total = rows[0]
+    for r in rows[1:]:
+        total = merge_partials(total, r)
+    return pa.Table.from_pylist([total], schema=_PART_TYPE)
 
 
 def late_deltas(deltas: DataFrame, k_seconds: float = K_SECONDS) -> DataFrame:
     """``delta_id, kind``: deltas recorded after the UTC day in which they happened, ``corrected`` while the
     day was in the buffer, ``dropped`` beyond. Deltas without a valid time, id or ``ts`` are neither."""
-    return slack(happenings(deltas), k_seconds).where("kind <> 'in_time'").select("delta_id", "kind")
+    return k_slack(happenings(deltas), k_seconds).where(F.col("kind") != PARTIAL).select("delta_id", "kind")
+
+
+def days(deltas: DataFrame, k_seconds: float = K_SECONDS) -> DataFrame:
+    """The merged aggregate of each day, with the counts by publication step."""
+    parts = k_slack(happenings(deltas), k_seconds).where(F.col("kind") == PARTIAL).drop("delta_id", "kind")
+    return parts.groupBy("day").applyInArrow(_merge_day, _PART).drop("range_no")
+
+
+def _date(day):
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day), "yyyy-MM-dd")
 
 
 def daily_counts(deltas: DataFrame, k_seconds: float = K_SECONDS) -> DataFrame:
     """One row per day of happening: the final order-sensitive values of its released events, how many of
-    them corrected the first published value, how many came too late, and the value published first."""
-    events = materialize(slack(happenings(deltas), k_seconds), "slack")
-    buffered = events.where("kind <> 'dropped'")
-    late = events.groupBy("day").agg(F.count_if(F.col("kind") == "corrected").alias("n_corrected"), F.count_if(F.col("kind") == "dropped").alias("n_dropped"))
-    first = provisional(buffered, k_seconds).where(F.col("published_day") == F.col("day") + 1).select("day", F.col("n_so_far").alias("n_first_published"))
-    daily = late.join(release(buffered), "day", "left").join(first, "day", "left")
-    date = F.date_add(F.lit("1970-01-01").cast("date"), F.col("day"))
-    return daily.select(
-        F.date_format(date, "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n_final"), F.coalesce("n_first_published", F.lit(0)).alias("n_first_published"), "n_corrected", "n_dropped",
-        F.col("first_key").alias("first_dimension"), F.col("last_key").alias("last_dimension"), F.coalesce("switches", F.lit(0)).alias("n_switches"), F.round("longest_gap", 3).alias("longest_gap_s"),
+    them corrected the value published first, how many came too late, and that first value."""
+    return days(deltas, k_seconds).select(
+        _date(F.col("day")).alias("day"), F.col("n").alias("n_final"), F.col("by_step")[0].alias("n_first_published"), "n_corrected", "n_dropped",
+        F.col("first_key").alias("first_dimension"), F.col("last_key").alias("last_dimension"), F.col("switches").alias("n_switches"), F.round("longest_gap", 3).alias("longest_gap_s"),
     )
+
+
+def provisional_counts(deltas: DataFrame, k_seconds: float = K_SECONDS) -> DataFrame:
+    """``day, published_on, n_so_far``: what each midnight, from the day's end until its release, publishes."""
+    step = days(deltas, k_seconds).select("day", "by_step", F.posexplode(F.slice("by_step", 1, F.size("by_step") - 1)).alias("step", "n"))
+    so_far = F.aggregate(F.slice("by_step", F.lit(1), F.col("step") + 1), F.lit(0).cast("long"), lambda a, x: a + x)
+    return step.select(_date(F.col("day")).alias("day"), _date(F.col("day") + 1 + F.col("step")).alias("published_on"), so_far.alias("n_so_far"))

@@ -52,6 +52,10 @@ def p5_daily(spark: SparkSession, d: str) -> DataFrame:
     return lateness.daily_counts(table(spark, d, "deltas"))
 
 
+def p5_provisional(spark: SparkSession, d: str) -> DataFrame:
+    return lateness.provisional_counts(table(spark, d, "deltas"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return widen.unreadable_cells(table(spark, d, "dimensions"), table(spark, d, "attribute_types"))
 
@@ -61,7 +65,7 @@ def p6_wide(spark: SparkSession, d: str) -> DataFrame:
     return wide.select(*(F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in wide.dtypes))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_history, p4_found, p4_paths, p4_descendants, p5_found, p5_daily, p6_found, p6_wide)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_history, p4_found, p4_paths, p4_descendants, p5_found, p5_daily, p5_provisional, p6_found, p6_wide)}
 
 _FIRST = "d AS (SELECT * FROM deltas WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1)"
 _P1 = f"""WITH {_FIRST},
@@ -134,8 +138,11 @@ SELECT node AS delta_id, CASE WHEN loop THEN list_min(path[list_position(path, a
   WINDOW w AS (PARTITION BY day ORDER BY happened, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 g AS (SELECT day, count(*) AS n, any_value(f) AS first_dimension, any_value(l) AS last_dimension, count(*) FILTER (before <> dimension_id) AS n_switches, coalesce(max(gap), 0.0) AS gap FROM r GROUP BY day),
 x AS (SELECT day, count(*) FILTER (kind = 'in_time') AS first_n, count(*) FILTER (kind = 'corrected') AS n_corrected, count(*) FILTER (kind = 'dropped') AS n_dropped FROM k GROUP BY day)
-SELECT strftime(DATE '1970-01-01' + CAST(x.day AS INT), '%Y-%m-%d') AS day, coalesce(n, 0) AS n_final, first_n AS n_first_published, n_corrected, n_dropped, first_dimension, last_dimension, coalesce(n_switches, 0) AS n_switches, round(gap, 3) AS longest_gap_s
+SELECT strftime(DATE '1970-01-01' + CAST(x.day AS INT), '%Y-%m-%d') AS day, coalesce(n, 0) AS n_final, first_n AS n_first_published, n_corrected, n_dropped, first_dimension, last_dimension, coalesce(n_switches, 0) AS n_switches, coalesce(round(gap, 3), 0.0) AS longest_gap_s
 FROM x LEFT JOIN g ON g.day = x.day""",
+    "p5_provisional": _P5 + """, s AS (SELECT day, unnest(range(4)) AS step FROM k GROUP BY day)
+SELECT strftime(DATE '1970-01-01' + CAST(s.day AS INT), '%Y-%m-%d') AS day, strftime(DATE '1970-01-01' + CAST(s.day + 1 + step AS INT), '%Y-%m-%d') AS published_on,
+  count(*) FILTER (CASE WHEN ts < closes THEN 0 ELSE floor((ts - closes) / 86400.0) + 1 END <= step AND kind <> 'dropped') AS n_so_far FROM s JOIN k ON k.day = s.day GROUP BY s.day, step""",
     "p6_found": _P6 + """SELECT entity, attribute FROM t WHERE value IS NOT NULL AND CASE value_type WHEN 'bigint' THEN as_bigint IS NULL WHEN 'double' THEN as_double IS NULL
 WHEN 'boolean' THEN as_boolean IS NULL WHEN 'date' THEN as_date IS NULL ELSE false END""",
     "p6_wide": _P6 + f"SELECT entity, {_WIDE} FROM t GROUP BY entity",
