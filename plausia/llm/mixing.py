@@ -54,11 +54,8 @@ def repeat_factors(sizes: DataFrame, targets: DataFrame, total_tokens: int | Non
     there = sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
     plan = goals.join(there, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
     if total_tokens is None:
-        room = plan.where("tokens > 0").agg(F.min(F.col("max_repeats") * F.col("tokens") / F.col("weight")).alias("total"))
-        plan = plan.crossJoin(F.broadcast(room))  # one row
-    else:
-        plan = plan.withColumn("total", F.lit(float(total_tokens)))
-    wanted = F.col("weight") * F.col("total")
+        total_tokens = plan.where("tokens > 0").agg(F.min(F.col("max_repeats") * F.col("tokens") / F.col("weight"))).first()[0] or 0
+    wanted = F.col("weight") * F.lit(float(total_tokens))
     return plan.withColumn("wanted", wanted).withColumn("factor", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("double"), wanted / F.col("tokens"))).otherwise(0.0))
 
 
@@ -125,8 +122,8 @@ def mix(documents: DataFrame, targets: DataFrame, *, tokenizer_file: str = TOKEN
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """``source, weight, max_repeats, n_docs, most_copies, mixed_tokens, share``: what was reached."""
     got = mixture.groupBy("source").agg(F.count_if(F.col("copies") > 0).alias("n_docs"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"))
-    total = got.agg(F.sum("mixed_tokens").alias("total"))
+    total = max(1, got.agg(F.sum("mixed_tokens")).first()[0] or 0)
     goals = targets.where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
-    out = goals.join(got, "source", "left").crossJoin(F.broadcast(total))  # one row
+    out = goals.join(got, "source", "left")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("source", "weight", "max_repeats", number("n_docs"), number("most_copies"), number("mixed_tokens"), F.round(F.coalesce("mixed_tokens", F.lit(0)) / F.greatest("total", F.lit(1)), 6).alias("share"))
+    return out.select("source", "weight", "max_repeats", number("n_docs"), number("most_copies"), number("mixed_tokens"), F.round(F.coalesce("mixed_tokens", F.lit(0)) / F.lit(total), 6).alias("share"))
