@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
@@ -22,6 +23,8 @@ from ..cluster import materialize
 
 #: Features are hashed to so many buckets: the model's size, whatever the corpus.
 BUCKETS = 1 << 18
+#: Passages of at most so many characters are always tried for bare error codes.
+_SHORT = 24
 ROUNDS = 4
 SMOOTHING = 0.05
 LEAST_POSTERIOR = 0.95
@@ -76,26 +79,62 @@ def passages(text: str) -> list[str]:
     return [p for p in (_LEAD.sub("", s).strip() for s in _CUT.split(text)) if p]
 
 
-def about(passage: str) -> bool:
+#: Substrings of lower-case text without one of which a family's pattern cannot match; a record is searched for
+#: all of them in one pass, and only the patterns that may match are tried on its passages.
+_NEEDS = {
+    "error": "not found|be found|forbidden|unauthor|gateway|unavailable|internal server|time-out|timeout|too many req|displayed|loaded|opened|be shown|be reached|been moved|been deleted|been removed|no longer exists|blocked for|requires you to|failed to load|timed out|permission|access denied|expired|sign in again|limit of|went wrong|serverfehler|erreur|could not connect|upstream|contact support|administrator has|page you|return to the|reload|introuvable|accès refusé|expiré|réessayez|n'existe|n'est pas|indisponible|reconnecter|nicht gefunden|nicht erreichbar|erneut|nicht|verweigert|abgelaufen|melden sie|no se |denegado|caducado|disponible|no existe|inténtelo|vuelva a|n'a pas pu|a été |expirado|fue |wurde |error|fehler|código|code|http|status|that page",
+    "script": "javascript|js|script|skript|switched off",
+    "filler": "lorem|dolor|blah|bla bla|asdf|qwer|test test|text text|replace this|sample|dummy|placeholder|filler|example|goes here|body copy|intentionally|todo|fixme|tbd|exemple|provisoire|titre du|définitif|faux|blindtext|platzhalter|beispieltext|nachgereicht|überschrift|contenido|texto|va el|título",
+    "latin": "amet|ipsum|elit|magna|adipiscing|consectetur|tempor|nostrud|labore|commodo",
+    "about": "explain|joke|pasted|quot|banned|asked |noted in|says|such as|stands for|log call|prompt file|loader|template|stored belief|ticket [|covers the|cost|expliqué|demandé|contient|chargeur|d'erreur|erklärte|fragte|enthält|fehlerseite|explicó|preguntó|plantilla|cargador|página de error|(confidence",
+}
+_SLOT_SIGN = re.compile(r"[{\[<%$@#]|\(\(|__|XXXX")
+_ALL = frozenset(_NEEDS) | {"slot"}
+
+
+def _finder() -> ahocorasick.Automaton:
+    finder = ahocorasick.Automaton()
+    for family, needs in _NEEDS.items():
+        for need in needs.split("|"):
+            finder.add_word(need, finder.get(need, frozenset()) | {family})
+    finder.make_automaton()
+    return finder
+
+
+def families(text: str, finder: ahocorasick.Automaton) -> frozenset[str]:
+    """The families of patterns that may match somewhere in the text."""
+    found: set[str] = {"slot"} if _SLOT_SIGN.search(text) else set()
+    for _, families_of in finder.iter(text.lower()):
+        found |= families_of
+    return frozenset(found)
+
+
+def about(passage: str, may: frozenset[str] = _ALL) -> bool:
     """Whether the passage speaks about residue rather than being some: it has a cue of a report and at most
     one slot, or states a stored value."""
+    if "about" not in may:
+        return False
     return bool(_KEY_VALUE.search(passage)) or (bool(_ABOUT.search(passage)) and len(_SLOT.findall(_TAGS.sub(" ", passage))) < 2)
 
 
-def trusted(passage: str) -> bool:
-    bare = _TAGS.sub(" ", passage)
-    if about(passage):
+def trusted(passage: str, may: frozenset[str] = _ALL) -> bool:
+    """Whether the passage bears a slot or the wording of a filler, an error or a script notice, and isn't
+    about one."""
+    if not (may - {"about"}) and len(passage) > _SHORT:
         return False
-    found = _WORD.findall(bare.lower())
-    latin = sum(w in _LATIN for w in found)
-    return bool(_SLOT.search(bare) or _ERROR.search(bare) or _SCRIPT.search(bare) or _FILLER.search(bare)) or (len(found) >= 5 and latin * 2 > len(found))
+    bare = _TAGS.sub(" ", passage) if "<" in passage else passage
+    found = ("slot" in may and _SLOT.search(bare)) or (("error" in may or len(bare) <= _SHORT) and _ERROR.search(bare)) or ("script" in may and _SCRIPT.search(bare)) or ("filler" in may and _FILLER.search(bare))
+    if not found and "latin" in may:
+        words = _WORD.findall(bare.lower())
+        found = len(words) >= 5 and sum(w in _LATIN for w in words) * 2 > len(words)
+    return bool(found) and not about(passage, may)
 
 
 def features(passage: str) -> list[str]:
     """Shapes of slots and the words in them; without slots, the words (digits as one, names as one) and pairs of
     neighbours. The words around a slot are those of content and tell nothing."""
-    bare = _TAGS.sub(" ", passage)
-    slots = _SLOT.findall(bare)
+    bare = _TAGS.sub(" ", passage) if "<" in passage else passage
+    slots = _SLOT.findall(bare) if _SLOT_SIGN.search(bare) else []
     if slots:
         out = {"slot:" + re.sub(r"[^\W_]+", "a", s)[:8] for s in slots} | {"in:" + w for s in slots for w in _WORD.findall(s.lower())}
         return sorted(out | {"slots:1" if len(slots) == 1 else "slots:more"})
@@ -120,12 +159,14 @@ def _buckets(names: list[str], known: dict[str, int]) -> list[int]:
 
 def _passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str, int] = {}
+    finder = _finder()
     for docs in batches:
         if len(known) > 1_000_000:
             known = {}
         rows = []
         for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
-            rows += [(doc, i, trusted(p), about(p), _buckets(features(p), known)) for i, p in enumerate(passages(text))]
+            may = families(text, finder)
+            rows += [(doc, i, trusted(p, may), about(p, may), _buckets(features(p), known)) for i, p in enumerate(passages(text))]
         yield pd.DataFrame(rows, columns=["doc_id", "passage", "trusted", "about", "features"])
 
 
