@@ -56,6 +56,10 @@ def worded_reliability(text: Column) -> Column:
     return out.otherwise(PLAIN_WORDING)
 
 
+def _claim(rule: int, attribute: str) -> Callable[[Column, Column], Column]:
+    return lambda hit, place: F.struct(F.lit(rule).alias("rule"), place.alias("place"), F.lit(attribute).alias("attribute"), cleaned(hit["entity"]).alias("entity"), cleaned(hit["value"]).alias("value"))
+
+
 def extract_claims(turns: DataFrame) -> DataFrame:
     """``turns`` with its columns and, per claim, entity, attribute, value and position.
 
@@ -67,7 +71,7 @@ def extract_claims(turns: DataFrame) -> DataFrame:
     for i, (attribute, verb, value, rest) in enumerate(RULES):
         pattern = F.lit(rf"(?i)({ENTITY})\s+{verb}({value}){rest}")
         hits = F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(1)).alias("entity"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("value"))
-        found.append(F.transform(hits, lambda h, n, a=attribute, r=i: F.struct(F.lit(r).alias("rule"), n.alias("place"), F.lit(a).alias("attribute"), cleaned(h["entity"]).alias("entity"), cleaned(h["value"]).alias("value"))))
+        found.append(F.transform(hits, _claim(i, attribute)))
     rows = turns.where("text is not null").select("turn_id", F.explode(reduce(lambda a, b: F.concat(a, b), found)).alias("c")).select("turn_id", "c.*")
     rows = rows.where("entity <> '' and value <> '' and lower(entity) <> lower(value)")
     per = rows.groupBy("turn_id", "entity", "attribute").agg(F.max_by("value", F.struct("rule", "place")).alias("value"), F.min(F.struct("rule", "place")).alias("first"))
