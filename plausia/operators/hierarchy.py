@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import broadcast_if_small, materialize
@@ -128,11 +128,17 @@ def double(forest: DataFrame) -> DataFrame:
 
 
 def nodes_of(deltas: DataFrame) -> DataFrame:
-    """``node, id, has_link, parent``: deltas numbered by ``seq``, links resolved to numbers.
+    """``node, id, has_link, parent``: deltas numbered by ``seq`` (a null one counts as 0, equal ones are told
+    apart by id), links resolved to numbers.
 
-    Null and blank links are none; a link to an absent delta has ``has_link`` but no parent.
+    Null and blank links are none; a link to an absent delta has ``has_link`` but no parent; a delta that names
+    itself is a loop.
     """
-    first = materialize(first_deliveries(deltas, nonblank(F.col("cascaded_from")).alias("link")).where("seq is not null"), "nodes")
+    first = materialize(first_deliveries(deltas, nonblank(F.col("cascaded_from")).alias("link")).withColumn("seq", F.coalesce("seq", F.lit(0)).cast("long")), "nodes")
+    most = first.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    if most > 1:  # numbers must be unique, and keep their order
+        nth = F.row_number().over(Window.partitionBy("seq").orderBy("id")) - 1
+        first = materialize(first.withColumn("seq", F.col("seq") * most + nth), "nodes")
     ids = first.select(F.col("id").alias("link"), F.col("seq").alias("parent"))
     linked = first.where("link is not null").join(ids, "link", "left").select(F.col("seq").alias("node"), "id", F.lit(True).alias("has_link"), "parent")
     plain = first.where("link is null").select(F.col("seq").alias("node"), "id", F.lit(False).alias("has_link"), F.lit(None).cast("long").alias("parent"))

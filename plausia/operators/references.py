@@ -100,10 +100,10 @@ def broken_references(deltas: DataFrame, dimensions: DataFrame, *, keys_per_rang
     """``delta_id, ref_field, kind, month_utc``: one row per delta and broken reference.
 
     ``kind`` of a ``dimension_id`` is ``missing`` or ``deleted``, of a ``cascaded_from`` ``missing`` or
-    ``later``. Null references and a blank ``cascaded_from`` are none; a null ``ts`` gives a null month; repeated deliveries
-    count once; other columns are not read. Empty tables give no rows (or every reference as missing).
+    ``later``. Null references and a blank ``cascaded_from`` are none; a null ``ts`` gives a null month and a
+    null ``seq`` counts as 0; repeated deliveries count once; other columns are not read. Empty tables give no rows (or every reference as missing).
     """
-    nodes = materialize(first_deliveries(deltas, "dimension_id", nonblank(F.col("cascaded_from")).alias("cascaded_from"), utc_month(F.col("ts")).alias("month")), "nodes")
+    nodes = materialize(first_deliveries(deltas, "dimension_id", nonblank(F.col("cascaded_from")).alias("cascaded_from"), utc_month(F.col("ts")).alias("month")).withColumn("seq", F.coalesce("seq", F.lit(0))), "nodes")
     size = nodes.agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("top")).first()
     ranges = max(1, -(-2 * size["n"] // keys_per_range))
     width = max(1, (size["top"] or 0) // arrival_periods + 1)

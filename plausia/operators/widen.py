@@ -83,6 +83,8 @@ def runs(rows: DataFrame, batch: Column) -> DataFrame:
 
 def compact(all_runs: DataFrame, attributes: list[str]) -> DataFrame:
     """``entity`` and one (version, value) column per attribute: the latest version of each cell."""
+    if not attributes:
+        return all_runs.select("entity").distinct()
     return all_runs.groupBy("entity").agg(*(F.max(F.col("cells")[F.lit(a)]).alias(a) for a in attributes))
 
 
