@@ -1,7 +1,7 @@
 """Evaluation texts leaking into training text.
 
-Word n-grams of the test items are looked up in the corpus; of every window of an item the rarest n-gram that
-occurs there is a seed. Seeds join documents to items, and Smith–Waterman alignment of the words around them
+Word n-grams of the test items are looked up in the corpus. Those in a small share of the documents are seeds,
+and of every window of an item the rarest n-gram that occurs at all. Seeds join documents to items, and Smith–Waterman alignment of the words around them
 scores each pair, so edited copies are found as well. An exact leak is a run of ``RUN`` words in both; each
 such run holds a seed, so none is missed.
 """
@@ -25,6 +25,8 @@ SLACK = 8
 #: Item n-grams up to this number travel to the tasks as one sorted array (8 bytes each); beyond it, the
 #: n-grams of the corpus are joined to them instead.
 MOST_SHIPPED = 2_000_000
+#: N-grams in at most this share of the documents, or this number of them, are rare.
+RARE_SHARE, RARE_COUNT = 0.001, 50
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,20 +107,28 @@ def _lookup(shipped: np.ndarray | None):
     return lookup
 
 
-def _seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each window of an item that occurs in the corpus at all, the position of its rarest n-gram."""
-    for items in batches:
-        rows = []
-        for item, positions, grams, counts in zip(items["item_id"], items["positions"], items["grams"], items["counts"], strict=True):
-            order = np.argsort(positions)
-            at, gram, n = np.asarray(positions)[order], np.asarray(grams)[order], np.asarray(counts)[order]
-            width, chosen = RUN - GRAM + 1, set()
-            for start in range(max(1, int(at[-1]) + 2 - width)):
-                inside = np.flatnonzero((at >= start) & (at < start + width))
-                if len(inside):
-                    chosen.add(int(inside[np.lexsort((gram[inside], n[inside]))[0]]))
-            rows += [(item, int(at[i]), int(gram[i])) for i in sorted(chosen)]
-        yield pd.DataFrame(rows, columns=["item_id", "item_pos", "gram"]).astype({"item_id": "int64", "item_pos": "int32", "gram": "int64"})
+def _seeds(rare: float):
+    """The positions of an item's rare n-grams and, of each window of it, of the rarest that occurs at all."""
+
+    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for items in batches:
+            yield _seeds_of(items, rare)
+
+    return seeds
+
+
+def _seeds_of(items: pd.DataFrame, rare: float) -> pd.DataFrame:
+    rows = []
+    for item, positions, grams, counts in zip(items["item_id"], items["positions"], items["grams"], items["counts"], strict=True):
+        order = np.argsort(positions)
+        at, gram, n = np.asarray(positions)[order], np.asarray(grams)[order], np.asarray(counts)[order]
+        width, chosen = RUN - GRAM + 1, set(np.flatnonzero(n <= rare).tolist())
+        for start in range(max(1, int(at[-1]) + 2 - width)):
+            inside = np.flatnonzero((at >= start) & (at < start + width))
+            if len(inside):
+                chosen.add(int(inside[np.lexsort((gram[inside], n[inside]))[0]]))
+        rows += [(item, int(at[i]), int(gram[i])) for i in sorted(chosen)]
+    return pd.DataFrame(rows, columns=["item_id", "item_pos", "gram"]).astype({"item_id": "int64", "item_pos": "int32", "gram": "int64"})
 
 
 def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +175,7 @@ def leaks(documents: DataFrame, items: DataFrame, least_score: float = 0.6) -> D
         at = materialize(at.join(wanted, "gram", "left_semi"), "found_grams")
     counts = at.groupBy("gram").agg(F.count_distinct("doc_id").alias("n"))
     per_item = grams.join(counts, "gram").groupBy("item_id").agg(F.collect_list("item_pos").alias("positions"), F.collect_list("gram").alias("grams"), F.collect_list("n").alias("counts"))
-    seeds = materialize(per_item.mapInPandas(_seeds, "item_id long, item_pos int, gram long"), "seeds")
+    seeds = materialize(per_item.mapInPandas(_seeds(max(RARE_COUNT, RARE_SHARE * docs.count())), "item_id long, item_pos int, gram long"), "seeds")
     pairs = at.join(broadcast_if_small(seeds, 20_000), "gram").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("doc_pos", "item_pos")).alias("hits"))
     full = pairs.join(broadcast_if_small(items, 2_000), "item_id").join(hits.select("doc_id", "words"), "doc_id")
     scored = full.select("doc_id", "item_id", "words", "item_text", "hits").mapInPandas(_score, "doc_id long, item_id long, score double, longest_run int")
