@@ -30,7 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/plausia-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed with the other intermediates."""
+    path = f"{shared_dir(spark)}/plausia-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -47,7 +50,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .info import let
 from .text import match_form
 
 #: The four categories of the macro average, and question types by their labels.
@@ -19,24 +20,29 @@ def _words(c: Column) -> Column:
 
 def token_f1(prediction: Column, truth: Column) -> Column:
     """Distinct common words over the words of either side, repeats included."""
-    p, t = _words(prediction), _words(truth)
-    common = F.size(F.array_intersect(p, t)).cast("double")
-    precision, recall = common / F.size(p), common / F.size(t)
-    return F.when(common == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+
+    def score(p: Column, t: Column) -> Column:
+        common = F.size(F.array_intersect(p, t)).cast("double")
+        precision, recall = common / F.size(p), common / F.size(t)
+        return F.when(common == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+
+    return let(_words(prediction), lambda p: let(_words(truth), lambda t: score(p, t)))
 
 
 def bleu1(prediction: Column, truth: Column) -> Column:
     """Share of predicted words, repeats included, that are in the truth; no brevity penalty."""
-    p, t = _words(prediction), _words(truth)
-    return F.when(F.size(p) == 0, 0.0).otherwise(F.size(F.filter(p, lambda w: F.array_contains(t, w))).cast("double") / F.size(p))
+    hits = lambda p, t: F.size(F.filter(p, lambda w: F.array_contains(t, w))).cast("double") / F.size(p)
+    return let(_words(prediction), lambda p: let(_words(truth), lambda t: F.when(F.size(p) == 0, 0.0).otherwise(hits(p, t))))
 
 
 def context_recall(context: Column, truth: Column) -> Column:
     """1 if the truth stands in the context, else the share of its words of over two letters that do."""
-    c, t = match_form(context), match_form(truth)
-    long = F.filter(F.split(t, " "), lambda w: F.length(w) > 2)
-    part = F.when(F.size(long) == 0, 0.0).otherwise(F.size(F.filter(long, lambda w: F.contains(c, w))).cast("double") / F.size(long))
-    return F.when((t == "") | (c == ""), 0.0).when(F.contains(c, t), 1.0).otherwise(part)
+
+    def share(c: Column, t: Column) -> Column:
+        part = let(F.filter(F.split(t, " "), lambda w: F.length(w) > 2), lambda long: F.when(F.size(long) == 0, 0.0).otherwise(F.size(F.filter(long, lambda w: F.contains(c, w))).cast("double") / F.size(long)))
+        return F.when((t == "") | (c == ""), 0.0).when(F.contains(c, t), 1.0).otherwise(part)
+
+    return let(match_form(context), lambda c: let(match_form(truth), lambda t: share(c, t)))
 
 
 def failure_bucket(answer: Column, f1: Column, recall: Column) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +82,84 @@ def redundant_dimensions(joint: DataFrame, threshold: float = 0.9) -> DataFrame:
     return mutual_information(joint).select(told.alias("dimension")).where("dimension is not null").distinct()
 
 
+
+
+def _profiles(beliefs: DataFrame) -> DataFrame:
+    """One row per entity with its attributes; as many entries as the entity has attributes."""
+    return beliefs.groupBy("entity").agg(F.collect_list(F.struct("attribute", "dist", certainty(F.col("dist")).alias("sure"))).alias("known"))
+
+
+class _Side:
+    """Entities as arrays by attribute; ``columns`` gives the values of an attribute their places."""
+
+    def __init__(self, known: list, columns: dict[str, dict[str, int]]):
+        n = len(known)
+        self.has = {a: np.zeros(n) for a in columns}
+        self.sure, self.single = {a: np.zeros(n) for a in columns}, {a: np.zeros(n) for a in columns}
+        self.name = {a: np.zeros(n, np.int64) for a in columns}
+        self.roots = {a: np.zeros((n, len(c))) for a, c in columns.items()}
+        for i, entries in enumerate(known):
+            for e in entries:
+                a = e["attribute"]
+                if a not in columns:
+                    continue
+                self.has[a][i], self.sure[a][i], self.single[a][i] = 1, e["sure"], len(e["dist"]) <= 1
+                self.name[a][i] = zlib.crc32(e["dist"][0]["value"].encode()) + 1 if len(e["dist"]) else 0
+                for x in e["dist"]:
+                    at = columns[a].get(x["value"])
+                    if at is not None:
+                        self.roots[a][i, at] = max(x["p"], 0.0) ** 0.5
+
+
+def _pair_scores(a: _Side, b: _Side, min_overlap: int) -> np.ndarray:
+    """The coupling of each entity of ``a`` with each of ``b``; 0 where a gate closes."""
+    n = clash = telling = total = weights = 0.0
+    for k in a.has:
+        both = np.outer(a.has[k], b.has[k])
+        single = both * np.outer(a.single[k], b.single[k])
+        weight = both * ((a.sure[k][:, None] + b.sure[k][None, :]) / 2 + 0.1)
+        n, telling = n + both, telling + both - single
+        clash = clash + single * (a.name[k][:, None] != b.name[k][None, :])
+        total, weights = total + weight * (a.roots[k] @ b.roots[k].T), weights + weight
+    opened = (n >= min_overlap) & (clash == 0) & (telling >= max(2, min_overlap - 1))
+    return np.where(opened, np.divide(total, weights, out=np.zeros_like(total), where=weights > 0), 0.0)
+
+
+def merge_candidates(queries: DataFrame, beliefs: DataFrame, least: float = MERGE, min_overlap: int = MIN_OVERLAP, block_rows: int = 512) -> DataFrame:
+    """``entity_a, entity_b, coupling`` of the stated query entities with all others whose coupling is at least
+    ``least`` (above 0).
+
+    Exact. Queries go out in blocks of about ``block_rows`` entities; a block passes over all entities as matrix
+    products by attribute, so no pair is shuffled.
+    """
+    own = _profiles(beliefs)
+    asked = own.join(queries.select("entity").distinct(), "entity", "left_semi")
+    blocks = max(1, -(-asked.count() // block_rows))
+    kind, found = dict(own.dtypes)["entity"], None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("entity"), F.lit(blocks)) == i).toPandas()
+        near = own.mapInPandas(_near(part, least, min_overlap), f"entity_a {kind}, entity_b {kind}, coupling double")
+        found = near if found is None else found.unionAll(near)
+    return found
+
+
+def _near(part: pd.DataFrame, least: float, min_overlap: int):
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns: dict[str, dict[str, int]] = {}
+        for entries in part["known"]:
+            for e in entries:
+                places = columns.setdefault(e["attribute"], {})
+                for x in e["dist"]:
+                    places.setdefault(x["value"], len(places))
+        if not columns:
+            return
+        a, ids = _Side(list(part["known"]), columns), part["entity"].to_numpy()
+        for frame in batches:
+            for start in range(0, len(frame), 2_000):
+                rows = frame.iloc[start : start + 2_000]
+                others = rows["entity"].to_numpy()
+                scores = _pair_scores(a, _Side(list(rows["known"]), columns), min_overlap)
+                i, j = np.nonzero((scores >= least) & (scores > 0) & (ids[:, None] != others[None, :]))
+                yield pd.DataFrame({"entity_a": ids[i], "entity_b": others[j], "coupling": scores[i, j]})
+
+    return near

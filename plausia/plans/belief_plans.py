@@ -153,9 +153,8 @@ def customer_beliefs(spark: SparkSession, d: str) -> DataFrame:
 
 def cpl1_coupling(spark: SparkSession, d: str) -> DataFrame:
     known = customer_beliefs(spark, d)
-    pairs = identity.overlapping(known.where(F.col("entity") % 20 == 0).select("entity"), known)
-    scored = identity.coupling(pairs, known).where("coupling > 0")
-    return scored.groupBy("entity_a").agg(F.count(F.lit(1)).alias("n_coupled"), F.round(F.max("coupling"), 6).alias("best"), F.round(F.sum(F.round("coupling", 6)), 3).alias("total"))
+    near = identity.merge_candidates(known.where(F.col("entity") % 20 == 0).select("entity"), known, identity.MERGE_UNLIKE)
+    return near.withColumn("coupling", F.round("coupling", 6))
 
 
 def cpl4_name_similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -265,7 +264,7 @@ dist AS (SELECT entity, attribute, count(*) AS k, string_agg(value, '|' ORDER BY
 bc AS (SELECT a.entity AS ea, b.entity AS eb, a.attribute, sum(sqrt(a.p * b.p)) AS bc FROM p a JOIN p b ON a.attribute = b.attribute AND a.value = b.value AND a.entity <> b.entity WHERE a.entity % 20 = 0 GROUP BY ALL),
 pr AS (SELECT a.entity AS ea, b.entity AS eb, a.attribute, a.k AS ka, b.k AS kb, a.names = b.names AS same, (a.sure + b.sure) / 2 + 0.1 AS w FROM dist a JOIN dist b ON a.attribute = b.attribute AND a.entity <> b.entity WHERE a.entity % 20 = 0),
 sc AS (SELECT ea, eb, count(*) AS n, count(*) FILTER (ka <= 1 AND kb <= 1 AND NOT same) AS clash, count(*) FILTER (NOT (ka <= 1 AND kb <= 1)) AS telling, sum(coalesce(bc, 0) * w) / sum(w) AS score FROM pr LEFT JOIN bc USING (ea, eb, attribute) GROUP BY ALL),
-ok AS (SELECT ea, round(score, 6) AS score FROM sc WHERE n >= 3 AND clash = 0 AND telling >= 2 AND score > 0)"""
+ok AS (SELECT ea, eb, score FROM sc WHERE n >= 3 AND clash = 0 AND telling >= 2 AND score >= 0.995)"""
 _GRAMS = "list_distinct(CASE WHEN length({0}) <= 1 THEN [{0}] ELSE list_transform(range(1, length({0})), lambda i: substring({0}, i, 2)) END)"
 _SIM = f"""e AS (SELECT DISTINCT source_entity, target_entity, trim(lower(source_entity)) AS x, trim(lower(target_entity)) AS y FROM relationship_edges WHERE source_entity <> '' AND target_entity <> ''),
 g AS (SELECT *, {_GRAMS.format("x")} AS gx, {_GRAMS.format("y")} AS gy FROM e),
@@ -315,7 +314,7 @@ m AS (SELECT id, len(dist) AS k, f, UNNEST(dist, recursive := true) FROM g), s A
 SELECT id, value, round(p / sum(p) OVER (PARTITION BY id), 6) AS p FROM s UNION ALL SELECT id, 'unknown', 1.0 FROM cur WHERE len(dist) = 0""",
     "math3_mutual_information": f"WITH {_JOINT} SELECT dim_a, dim_b, round(mi, 6) AS mi, round(h_a, 6) AS h_a, round(h_b, 6) AS h_b FROM m",
     "math7_redundant": f"WITH {_JOINT} SELECT DISTINCT dimension FROM (SELECT CASE WHEN h_b > 0 AND mi / h_b >= 0.9 THEN dim_b WHEN h_a > 0 AND mi / h_a >= 0.9 THEN dim_a END AS dimension FROM m) WHERE dimension IS NOT NULL",
-    "cpl1_coupling": f"WITH {_CUST} SELECT ea AS entity_a, count(*) AS n_coupled, max(score) AS best, round(sum(score), 3) AS total FROM ok GROUP BY ea",
+    "cpl1_coupling": f"WITH {_CUST} SELECT ea AS entity_a, eb AS entity_b, round(score, 6) AS coupling FROM ok",
     "cpl4_name_similarity": f"WITH {_SIM} SELECT source_entity, target_entity, round(sim, 6) AS similarity, CASE WHEN sim >= 0.6 THEN true ELSE false END AS merge_at_98 FROM m",
     "str_decisions": _fold(_EVENTS) + f"""SELECT entity, 'event_type' AS attribute, 'bayes' AS strategy, {_best("dist", "value")} AS value FROM fin UNION ALL
 SELECT entity, 'event_type', 'last_write_wins', arg_max(value, n) FROM c GROUP BY entity UNION ALL

@@ -182,3 +182,23 @@ def test_edges(spark):
     assert sorted(r.path for r in graph.paths_between(pair, ring).collect()) == [["A", "r", "B", "s", "C"], ["A", "t", "C"]]
     b = spark.createDataFrame([("A", "friend", [("Bo", 0.4), ("unknown", 0.35), ("Cy", 0.2), ("Di", 0.05)]), ("A", "city", [("X", 1.0)])], f"entity string, attribute string, dist {DIST_DDL}")
     assert [r.related for r in graph.relations_from_beliefs(b).collect()] == ["Bo"] and [r.related for r in graph.relations_from_beliefs(b, wide=True).collect()] == ["Bo", "Cy"]
+
+
+def test_merge_candidates_equal_the_pairwise_score(spark):
+    import random
+
+    rng = random.Random(11)
+
+    def shares():
+        names = rng.sample("pqr", rng.choice([1, 2, 3]))
+        return [(n, 1 / len(names)) for n in sorted(names)]
+
+    rows = [(i, a, shares()) for i in range(40) for a in "abcd" if rng.random() < 0.9]
+    known = spark.createDataFrame(rows, f"entity long, attribute string, dist {DIST_DDL}")
+    asked = known.where("entity % 4 = 0").select("entity")
+    pairs = asked.distinct().withColumnRenamed("entity", "entity_a").join(known.select(F.col("entity").alias("entity_b")).distinct(), F.col("entity_a") != F.col("entity_b"))
+    want = {(r.entity_a, r.entity_b): round(r.coupling, 9) for r in identity.coupling(pairs, known).collect() if r.coupling >= 0.3}
+    for block in (3, 512):
+        out = identity.merge_candidates(asked, known, least=0.3, block_rows=block)
+        assert {(r.entity_a, r.entity_b): round(r.coupling, 9) for r in out.collect()} == want and want
+    assert got(identity.merge_candidates(asked.limit(0), known)) == [] and identity.overlapping(asked, known).count() > 0
