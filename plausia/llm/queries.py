@@ -73,7 +73,11 @@ k AS (SELECT id, speaker_key, CASE WHEN {_IS_FIELDS.format("fields")} THEN array
 g AS (SELECT speaker_key, text_key, min(id) AS keep_id, count(*) AS n FROM k GROUP BY ALL)
 """
 
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_RUNS = "SELECT DISTINCT {0}, array_to_string(w[i:i + 12], ' ') AS run FROM (SELECT {0}, w, UNNEST(range(1, len(w) - 11)) AS i FROM (SELECT {0}, " + _WORDS + " AS w FROM {1} WHERE text IS NOT NULL) WHERE len(w) >= 13)"
+
 ORACLE_SQL = {
+    "p8_found": "WITH d AS (" + _RUNS.replace("{0}", "doc_id").replace("{1}", "documents") + "), i AS (" + _RUNS.replace("{0}", "item_id").replace("{1}", "eval_items") + ") SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)",
     "p7_found": _P7 + "SELECT keep_id, id AS copy_id FROM k JOIN g ON g.text_key = k.text_key AND g.speaker_key IS NOT DISTINCT FROM k.speaker_key WHERE id <> keep_id",
     "p7_counts": _P7 + "SELECT keep_id, n FROM g",
 }
