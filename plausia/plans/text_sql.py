@@ -74,6 +74,7 @@ def _type(text_of: str) -> str:
 
 
 _ASKED = "[" + ", ".join(f"{{'cue': '{w}', 'attribute': '{a}'}}" for w, a in context.ASKED_ATTRIBUTES) + "]"
+_FOCUS = "[" + ", ".join(f"{{'w': '{w}', 'a': '{a}'}}" for ws, attributes in context.FOCUS.items() for w in ws.split() for a in attributes.split()) + "]"
 _PERCENT = "CAST(round_even({0} * 100, 0) AS INT) || '%'"
 _DAY = "CASE WHEN ts > 1000000 THEN CAST(make_timestamp(CAST(floor(ts) * 1000000 AS BIGINT)) AS DATE) END"
 _ISO = "strftime({0}, '%Y-%m-%d')"
@@ -148,6 +149,14 @@ g AS (SELECT entity, attribute, any_value(v) FILTER (n = 1) AS v, any_value(p) F
 SELECT entity, attribute, entity || '''s ' || replace(attribute, '_', ' ') || CASE WHEN p > 0.8 THEN ' is ' || v WHEN p > 0.5 THEN ' is likely ' || v || ' (' || {_PERCENT.format("p")} || ')' ELSE ' could be: ' || several END AS line FROM g""",
     "ctx8_edge_lines": f"SELECT source_entity || ' --' || replace(relation, '_', ' ') || '--> ' || target_entity || ' (' || {_PERCENT.format('confidence')} || ' confidence)' AS line FROM relationship_edges WHERE source_entity IS NOT NULL AND target_entity IS NOT NULL AND confidence IS NOT NULL",
     "ctx10_annotations": f"WITH e AS (SELECT id, {_DAY} AS day, UNNEST(['yesterday', 'last week', 'next month', 'last year', 'last friday', 'next mon', 'two months ago', '3 weekends ago', '10 days ago', 'no time at all']) AS phrase FROM evidence_events) SELECT id, phrase, {_NOTES} AS note FROM e WHERE day IS NOT NULL",
+    "src7_embedded": "SELECT id, CAST(('0x' || md5(text)[1:2])::INT + ('0x' || md5(text)[3:4])::INT + ('0x' || md5(text)[5:6])::INT + ('0x' || md5(text)[7:8])::INT AS DOUBLE) AS total FROM evidence_events",
+    "ctx6_focus": f"""WITH {_ROLES}, {_MENTIONED}, k AS (SELECT question_id, list_filter(list_distinct(string_split_regex(trim(regexp_replace(lower(text), '[^a-z\\s]', '', 'g')), '\\s+')), lambda w: NOT list_contains({_list(context.FOCUS_STOPWORDS)}, w)) AS qw FROM q),
+b AS (SELECT entity, attribute, list_filter(dist, lambda x: x.p > 0.10 AND x.value <> 'unknown') AS v, list_distinct(string_split(lower(replace(attribute, '_', ' ')), ' ')) AS nm FROM cur), f AS (SELECT UNNEST({_FOCUS}, recursive := true)),
+r AS (SELECT question_id, men.entity, attribute, qw, nm, v, list_filter((SELECT list({{'w': w, 'a': a}}) FROM f), lambda z: list_contains(qw, z.w) AND (list_contains(nm, z.a) OR z.a = lower(attribute))) AS hits FROM men JOIN k USING (question_id) JOIN b ON b.entity = men.entity WHERE len(v) > 0),
+s AS (SELECT question_id, entity, attribute, 3 * len(list_intersect(qw, nm)) + 2 * len(list_distinct(list_transform(hits, lambda z: z.w))) + len(list_filter(v, lambda x: list_has_any(string_split_regex(lower(x.value), '\\s+'), qw))) AS score FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY question_id, entity ORDER BY score DESC, attribute) AS n, max(score) OVER (PARTITION BY question_id, entity) AS top FROM s)
+SELECT question_id, entity, attribute, score FROM n WHERE (top > 0 AND score > 0 AND n <= 8) OR (top = 0 AND n <= 5)""",
+    "ctx9_evidence_lines": f"SELECT id, CASE WHEN text IS NULL THEN NULL ELSE coalesce('[' || {_ISO.format(_DAY)} || '] ', '') || trim(text) END AS line FROM evidence_events",
     "fn_forms": f"SELECT DISTINCT id, {_VALUE.format('id')} AS value, {_ATTRIBUTE.format('id')} AS attribute, {_MATCH.format('id')} AS match, {_LETTERS.format('id')} AS letters, {_CORE.format('id')} AS core FROM dimensions",
     "fn_answers": f"""WITH {_CUR}, v AS (SELECT id, dist[1].value AS a, dist[-1].value AS b FROM cur WHERE len(dist) >= 1), n AS (SELECT *, {_LETTERS.format("a")} AS x, {_LETTERS.format("b")} AS y, lower(a || ' or none') AS low FROM v),
 t AS (SELECT *, regexp_extract_all(low, '[a-z0-9.]+') AS ts, regexp_replace(low, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS plain FROM n)
