@@ -17,11 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import broadcast_if_small, is_small, materialize
+from ..cluster import broadcast_if_small, is_small, materialize, shuffle_partitions, spread
 
 GRAM, RUN = 5, 13
 MATCH, MISMATCH, GAP = 2, -1, -1
 SLACK = 8
+#: Pairs are aligned together up to so many cells a step.
+CELLS = 1 << 17
 #: Item n-grams up to this number travel to the tasks as one sorted array (8 bytes each); beyond it, the
 #: n-grams of the corpus are joined to them instead.
 MOST_SHIPPED = 2_000_000
@@ -57,19 +59,33 @@ def gram_codes(codes: np.ndarray, n: int = GRAM) -> np.ndarray:
     return out.view(np.int64)
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Smith–Waterman score of two word sequences, and their longest common run of words."""
-    steps = np.arange(len(b) + 1) * GAP
-    row, run, best, longest = np.zeros(len(b) + 1, np.int64), np.zeros(len(b) + 1, np.int64), 0, 0
-    for x in a:
-        same = b == x
-        here = np.zeros(len(b) + 1, np.int64)
-        here[1:] = np.maximum(0, np.maximum(row[:-1] + np.where(same, MATCH, MISMATCH), row[1:] + GAP))
-        row = np.maximum.accumulate(here - steps) + steps
-        new = np.zeros(len(b) + 1, np.int64)
-        new[1:] = np.where(same, run[:-1] + 1, 0)
-        run = new
-        best, longest = max(best, int(row.max())), max(longest, int(run.max()))
+def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Smith–Waterman score of each pair of word sequences, and their longest common run of words. Pairs of
+    similar length are aligned together, a word of all first sequences at a time."""
+    best, longest = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))
+    while order:
+        width = len(pairs[order[-1]][1])
+        taken = [order.pop() for _ in range(min(len(order), max(1, CELLS // (width + 1))))]
+        first = np.zeros((len(taken), max(len(pairs[i][0]) for i in taken)), np.uint64)  # 0 and 1 fill up and never match
+        second = np.ones((len(taken), width), np.uint64)
+        for k, i in enumerate(taken):
+            first[k, : len(pairs[i][0])], second[k, : len(pairs[i][1])] = pairs[i]
+        steps = np.arange(width + 1, dtype=np.int32) * GAP
+        row, run = np.zeros((len(taken), width + 1), np.int32), np.zeros((len(taken), width + 1), np.int32)
+        top, most = np.zeros(len(taken), np.int32), np.zeros(len(taken), np.int32)
+        for x in first.T:
+            same = second == x[:, None]
+            here = np.zeros_like(row)
+            np.maximum(row[:, :-1] + np.where(same, MATCH, MISMATCH), row[:, 1:] + GAP, out=here[:, 1:], casting="unsafe")
+            np.maximum(here, 0, out=here)
+            row = np.maximum.accumulate(here - steps, axis=1) + steps
+            new = np.zeros_like(run)
+            new[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+            run = new
+            np.maximum(top, row.max(axis=1), out=top)
+            np.maximum(most, run.max(axis=1), out=most)
+        best[taken], longest[taken] = top, most
     return best, longest
 
 
@@ -131,25 +147,30 @@ def _seeds_of(items: pd.DataFrame, rare: float) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["item_id", "item_pos", "gram"]).astype({"item_id": "int64", "item_pos": "int32", "gram": "int64"})
 
 
+def _spans(hits: list, n_item: int, n_doc: int) -> list[list[int]]:
+    """The parts of a document where the item may lie, by the places of its seeds."""
+    spans: list[list[int]] = []
+    for start in sorted({h["doc_pos"] - h["item_pos"] for h in hits}):
+        low, high = max(0, start - SLACK), min(n_doc, start + n_item + SLACK)
+        if spans and low <= spans[-1][1]:
+            spans[-1][1] = max(high, spans[-1][1])
+        else:
+            spans.append([low, high])
+    return spans
+
+
 def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str, int] = {}
-    for pairs in batches:
-        rows = []
-        for doc, item, text, item_text, hits in zip(pairs["doc_id"], pairs["item_id"], pairs["words"], pairs["item_text"], pairs["hits"], strict=True):
+    for frame in batches:
+        rows, parts = [], []
+        for doc, item, text, item_text, hits in zip(frame["doc_id"], frame["item_id"], frame["words"], frame["item_text"], frame["hits"], strict=True):
             a, b = word_codes(words(item_text), known), word_codes(text.split(" "), known)
-            best = longest = 0
-            spans: list[list[int]] = []
-            for start in sorted({h["doc_pos"] - h["item_pos"] for h in hits}):
-                low, high = max(0, start - SLACK), min(len(b), start + len(a) + SLACK)
-                if spans and low <= spans[-1][1]:
-                    spans[-1][1] = max(high, spans[-1][1])
-                else:
-                    spans.append([low, high])
-            for low, high in spans:
-                score, run = align(a, b[low:high])
-                best, longest = max(best, score), max(longest, run)
-            rows.append((doc, item, best / (MATCH * len(a)), longest))
-        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "longest_run"])
+            for low, high in _spans(hits, len(a), len(b)):
+                rows.append((doc, item, MATCH * len(a)))
+                parts.append((a, b[low:high]))
+        score, run = align(parts)
+        out = pd.DataFrame(rows, columns=["doc_id", "item_id", "perfect"])
+        yield pd.DataFrame({"doc_id": out["doc_id"], "item_id": out["item_id"], "score": score / out["perfect"], "longest_run": run})
 
 
 def leaks(documents: DataFrame, items: DataFrame, least_score: float = 0.6) -> DataFrame:
@@ -163,7 +184,7 @@ def leaks(documents: DataFrame, items: DataFrame, least_score: float = 0.6) -> D
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).dropDuplicates(["item_id", "item_text"])
     grams = materialize(items.withColumnRenamed("item_text", "text").mapInPandas(_item_grams, "item_id long, item_pos int, gram long"), "item_grams")
     wanted = grams.select("gram").distinct()
-    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    docs = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
     schema = "doc_id long, words string, grams array<long>, positions array<int>"
     if is_small(wanted, MOST_SHIPPED):
         shipped = np.sort(np.array([r[0] for r in wanted.collect()], np.int64))
@@ -178,7 +199,8 @@ def leaks(documents: DataFrame, items: DataFrame, least_score: float = 0.6) -> D
     seeds = materialize(per_item.mapInPandas(_seeds(max(RARE_COUNT, RARE_SHARE * docs.count())), "item_id long, item_pos int, gram long"), "seeds")
     pairs = at.join(broadcast_if_small(seeds, 20_000), "gram").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("doc_pos", "item_pos")).alias("hits"))
     full = pairs.join(broadcast_if_small(items, 2_000), "item_id").join(hits.select("doc_id", "words"), "doc_id")
-    scored = full.select("doc_id", "item_id", "words", "item_text", "hits").mapInPandas(_score, "doc_id long, item_id long, score double, longest_run int")
+    even = full.select("doc_id", "item_id", "words", "item_text", "hits").repartition(shuffle_partitions(docs.sparkSession), "doc_id", "item_id")
+    scored = even.mapInPandas(_score, "doc_id long, item_id long, score double, longest_run int")
     return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run")).where((F.col("score") >= least_score) | (F.col("longest_run") >= RUN))
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import materialize
+from ..cluster import materialize, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 GROUP_ROWS, FAN_IN = 50_000, 256
@@ -40,7 +40,7 @@ def _counter(tokenizer_file: str) -> Callable[[Iterator[pd.DataFrame]], Iterator
 
 def token_sizes(documents: DataFrame, tokenizer_file: str = TOKENIZER) -> DataFrame:
     """``doc_id, source, n_tokens`` of whole texts; a null text has no tokens, rows without an id are left out."""
-    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce("text", F.lit("")).alias("text")))
     return docs.mapInPandas(_counter(tokenizer_file), "doc_id long, source string, n_tokens long")
 
 

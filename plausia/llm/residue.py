@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import materialize
+from ..cluster import materialize, spread
 
 #: Features are hashed to so many buckets: the model's size, whatever the corpus.
 BUCKETS = 1 << 18
@@ -236,7 +236,7 @@ def _scores(model: tuple[np.ndarray, float] | None):
 def passage_scores(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, passage, trusted, about, posterior`` for every passage of every text. Null ids and texts are
     left out; an empty text has no passages."""
-    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spread(documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     rows = materialize(docs.mapInPandas(_passages, "doc_id long, passage int, trusted boolean, about boolean, features array<int>"), "passages")
     model = fit(rows, rounds)
     return rows.mapInPandas(_scores(model), "doc_id long, passage int, trusted boolean, about boolean, posterior double")
