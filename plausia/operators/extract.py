@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import attribute_form, entity_form, squeezed, value_form
-from ..schema import CLAIMS
 
 #: The parts of the rule patterns. An entity is a run of capitalized words or a handle; a value is
 #: up to five words, ending before a word that opens another clause.
@@ -123,6 +122,3 @@ def ask(turns: DataFrame, client: Client, batch: int = 32) -> DataFrame:
                 yield pd.DataFrame({"turn_id": part["turn_id"], "reply": replies})
 
     return turns.select("turn_id", "text").mapInPandas(call, f"turn_id {dict(turns.dtypes)['turn_id']}, reply string")
-
-
-CLAIM_COLUMNS = [c.split(" ")[0] for c in CLAIMS.split(", ")]

@@ -280,8 +280,8 @@ def fn_answers(spark: SparkSession, d: str) -> DataFrame:
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
-    pairs = docs.where("text is not null").join(F.broadcast(items.select("item_id", "category", F.col("text").alias("answer"))), F.pmod("doc_id", F.lit(300)) + 1 == F.col("item_id"))
-    return pairs.select("doc_id", F.translate("category", "_", "-").alias("category"), "answer", F.substring("text", 1, 200).alias("ground_truth"), F.substring("text", 100, 400).alias("context"), (F.col("doc_id") % 2).cast("double").alias("judge"))
+    pairs = docs.where("text is not null").join(F.broadcast(items.select("item_id", "category", F.col("text").alias("ground_truth"))), F.pmod("doc_id", F.lit(300)) + 1 == F.col("item_id"))
+    return pairs.select("doc_id", F.translate("category", "_", "-").alias("category"), F.col("text").alias("answer"), "ground_truth", F.col("text").alias("context"), (F.col("doc_id") % 2).cast("double").alias("judge"))
 
 
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:

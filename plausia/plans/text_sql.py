@@ -84,7 +84,7 @@ _NOTES = f"""CASE phrase WHEN 'yesterday' THEN 'yesterday = ' || {_ISO.format("d
  WHEN 'last friday' THEN 'last friday = ' || {_ISO.format(f"day - CAST(CASE WHEN ({_WD} - 4 + 7) % 7 = 0 THEN 7 ELSE ({_WD} - 4 + 7) % 7 END AS INT)")}
  WHEN 'next mon' THEN 'next mon = ' || {_ISO.format(f"day + CAST(CASE WHEN (0 - ({_WD}) + 7) % 7 = 0 THEN 7 ELSE (0 - ({_WD}) + 7) % 7 END AS INT)")}
  WHEN 'two months ago' THEN 'two months ago = ' || strftime(day - INTERVAL 2 MONTH, '%B %Y') WHEN '3 weekends ago' THEN '3 weekends ago = ' || {_ISO.format("day - 21")} WHEN '10 days ago' THEN '10 days ago = ' || {_ISO.format("day - 10")} ELSE '' END"""
-_ANSWERS = "a AS (SELECT doc_id, replace(category, '_', '-') AS category, i.text AS answer, substring(d.text, 1, 200) AS truth, substring(d.text, 100, 400) AS context, CAST(doc_id % 2 AS DOUBLE) AS judge FROM documents d JOIN eval_items i ON doc_id % 300 + 1 = item_id WHERE d.text IS NOT NULL)"
+_ANSWERS = "a AS (SELECT doc_id, replace(category, '_', '-') AS category, d.text AS answer, i.text AS truth, d.text AS context, CAST(doc_id % 2 AS DOUBLE) AS judge FROM documents d JOIN eval_items i ON doc_id % 300 + 1 = item_id WHERE d.text IS NOT NULL)"
 _TOKENS_OF = "list_filter(string_split({0}, ' '), lambda w: w <> '')"
 _SCORES = f"""{_ANSWERS}, n AS (SELECT *, {_MATCH.format("answer")} AS am, {_MATCH.format("truth")} AS tm, {_MATCH.format("context")} AS cm FROM a),
 k AS (SELECT *, {_TOKENS_OF.format("am")} AS p, {_TOKENS_OF.format("tm")} AS t, list_filter(string_split(tm, ' '), lambda w: length(w) > 2) AS long FROM n), c AS (SELECT *, CAST(len(list_intersect(list_distinct(p), list_distinct(t))) AS DOUBLE) AS common FROM k),

@@ -1,8 +1,5 @@
 """Types of the store's tables."""
 
-from pyspark.sql import types as T
-
-DIST = T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("p", T.DoubleType())]))
 DIST_DDL = "array<struct<value:string,p:double>>"
 DELTAS = f"id string, dimension_id string, entity string, attribute string, prior {DIST_DDL}, posterior {DIST_DDL}, surprise double, evidence string, source string, source_reliability double, ts double, valid_time double, cascaded_from string, seq bigint"
 DIMENSIONS = f"id string, entity string, attribute string, distribution {DIST_DDL}, last_accessed double"
