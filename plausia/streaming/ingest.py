@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..cluster import fresh_path
 from ..functions.info import UNKNOWN
 from ..operators.beliefs import _step
 from ..operators.lateness import K_SECONDS, SECONDS_PER_DAY
@@ -84,3 +85,18 @@ def k_slack_stream(events: DataFrame, slices: int = 64, k_seconds: float = K_SEC
     past the bound releases the buffer. A day is spread over ``slices`` buffers; order is within a slice."""
     keyed = events.withColumn("slice", F.pmod(F.xxhash64("delta_id"), F.lit(slices)))
     return keyed.groupBy("day", "slice").applyInPandasWithState(_buffer(k_seconds), _SLACK_OUT, _SLACK_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Everything that the stream has now, run through and read back as a table in the shared folder. With
+    ``complete`` each micro-batch replaces the table by the whole result."""
+    spark = stream.sparkSession
+    out, checkpoint = fresh_path(spark, "drained"), fresh_path(spark, "stream")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(out)
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
