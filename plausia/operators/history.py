@@ -132,9 +132,9 @@ def correct_chains(chains: DataFrame, raw: DataFrame, batch: DataFrame) -> DataF
 class HistoryStore:
     """Raw changes and version chains in a folder, both split into buckets of entities.
 
-    A batch rewrites the chains of the buckets it touches under a new version name; readers follow the
-    ``current`` table of bucket versions, replaced by a rename, so they see all of a batch or none (object
-    stores without an atomic rename need a table format for that last step).
+    A batch rewrites the chains of the buckets it touches as a new version, then writes the list of bucket
+    versions, which counts once it is complete. Readers follow the last complete list, so they see all of a
+    batch or none; a job that fails before leaves nothing that anyone reads. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
@@ -150,10 +150,18 @@ class HistoryStore:
     def _hadoop(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
+    def _commits(self) -> list[int]:
+        """Numbers of the complete lists of bucket versions."""
+        if not self._fs().exists(self._hadoop("state")):
+            return []
+        names = [s.getPath().getName() for s in self._fs().listStatus(self._hadoop("state"))]
+        return sorted(int(n[1:]) for n in names if self._fs().exists(self._hadoop(f"state/{n}/_SUCCESS")))
+
     def _versions(self) -> dict[int, int]:
-        if not self._fs().exists(self._hadoop("current")):
+        commits = self._commits()
+        if not commits:
             return {}
-        return {r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version int").json(f"{self.path}/current").collect()}
+        return {r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version int").json(f"{self.path}/state/v{commits[-1]}").collect()}
 
     def raw(self, buckets: list[int] | None = None) -> DataFrame:
         if not self._fs().exists(self._hadoop("raw")):
@@ -169,22 +177,17 @@ class HistoryStore:
     def apply(self, batch: DataFrame) -> list[int]:
         """Adds a batch of raw changes (:func:`raw_changes` gives them) and returns the buckets rewritten.
 
-        A ``delta_id`` already held is a repeat and changes nothing.
+        A ``delta_id`` already held is a repeat and adds nothing, so a batch that failed can be applied again.
         """
         batch = batch.withColumn("bucket", self._bucket())
         touched = sorted(r["bucket"] for r in batch.select("bucket").distinct().collect())
         new = materialize(batch.join(self.raw(touched).select("bucket", "delta_id"), ["bucket", "delta_id"], "left_anti"), "batch")
         new.select("dimension_id", "delta_id", "valid_from", "seq", "value", "bucket").write.partitionBy("bucket").mode("append").parquet(f"{self.path}/raw")
-        rebuilt = correct_chains(self.chains(touched), self.raw(touched).drop("bucket"), new)
-        versions = self._versions()
-        version = 1 + max(versions.values(), default=0)
-        rebuilt.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(f"{self.path}/chains/version={version}")
-        state = versions | {b: version for b in touched}
-        self.spark.createDataFrame(sorted(state.items()), "bucket int, version int").coalesce(1).write.json(f"{self.path}/next")
-        old = self._hadoop("current")
-        if self._fs().exists(old):
-            self._fs().rename(old, self._hadoop(f"before-{version}"))
-        self._fs().rename(self._hadoop("next"), old)
+        rebuilt = correct_chains(self.chains(touched), self.raw(touched).drop("bucket"), batch)
+        version = 1 + max(self._commits(), default=0)
+        rebuilt.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/chains/version={version}")
+        state = self._versions() | {b: version for b in touched}
+        self.spark.createDataFrame(sorted(state.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").json(f"{self.path}/state/v{version}")
         return touched
 
     def drop(self) -> None:
