@@ -8,6 +8,8 @@ are rounded first; the residual of each group goes up a reduction tree until one
 
 from __future__ import annotations
 
+import base64
+import os
 import random
 from collections.abc import Callable, Iterator
 
@@ -17,23 +19,35 @@ from pyspark.sql import functions as F
 
 from ..cluster import materialize, spread
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: The vocabulary's file (ranks of ``tiktoken``, or JSON of ``tokenizers``), a parameter everywhere below; and the
+#: pattern that cuts texts before the ranks apply, a fixed value that belongs to them.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 GROUP_ROWS, FAN_IN = 50_000, 256
 _LEFT = "source string, slot long, doc_id long, n_tokens long, p double, settled boolean"
 
 
-def _counter(tokenizer_file: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def _lengths(tokenizer_file: str) -> Callable[[list[str]], list[int]]:
+    if tokenizer_file.endswith(".json"):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
         tokenizer.encode_special_tokens = True
+        return lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    import tiktoken
+
+    with open(tokenizer_file, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
+
+
+def _counter(tokenizer_file: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        lengths = _lengths(tokenizer_file)
         for docs in batches:
-            sizes = [len(e.ids) for e in tokenizer.encode_batch(list(docs["text"]), add_special_tokens=False)]
-            yield pd.DataFrame({"doc_id": docs["doc_id"], "source": docs["source"], "n_tokens": sizes})
+            yield pd.DataFrame({"doc_id": docs["doc_id"], "source": docs["source"], "n_tokens": lengths(list(docs["text"]))})
 
     return count
 

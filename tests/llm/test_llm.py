@@ -181,6 +181,12 @@ def test_mixture(spark, tmp_path):
     assert got(mixing.mix(df.limit(0), targets)) == [] and got(mixing.mix(df, targets.limit(0))) == []
 
 
+def test_both_vocabulary_files_count_alike(spark):
+    texts = [(1, "It's  a test, naïve 123 x" * 9, "a"), (2, "<|endoftext|>\n\n  end ", "a"), (3, None, "a"), (4, "字" * 5000, "b")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    assert got(mixing.token_sizes(df)) == got(mixing.token_sizes(df, "/opt/tokenizers/byte_bpe_50k.json"))
+
+
 def test_pivot_keeps_the_tokens():
     rng = random.Random(0)
     for _ in range(200):
