@@ -131,8 +131,8 @@ def trusted(passage: str, may: frozenset[str] = _ALL) -> bool:
 
 
 def features(passage: str) -> list[str]:
-    """Shapes of slots and the words in them; without slots, the words (digits as one, names as one) and pairs of
-    neighbours. The words around a slot are those of content and tell nothing."""
+    """Shapes of slots and the words in them; without slots, the words (digits as one, names as one). The
+    words around a slot are those of content and tell nothing."""
     bare = _TAGS.sub(" ", passage) if "<" in passage else passage
     slots = _SLOT.findall(bare) if _SLOT_SIGN.search(bare) else []
     if slots:
@@ -141,7 +141,7 @@ def features(passage: str) -> list[str]:
     shouted = bare.isupper()
     words = _WORD.findall(bare)
     found = ["0" if w.isdigit() else "Name" if i and not shouted and w[0].isupper() and w[1:].islower() else w.lower() for i, w in enumerate(words)]
-    out = {"w:" + w for w in found} | {f"b:{a} {b}" for a, b in zip(found, found[1:], strict=False)}
+    out = {"w:" + w for w in found}
     if bare != passage:
         out.add("tags")
     return sorted(out)
