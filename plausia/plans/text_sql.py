@@ -92,6 +92,11 @@ s AS (SELECT *, CASE WHEN common = 0 THEN 0 ELSE 2 * (common / len(p)) * (common
  CASE WHEN len(p) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(p, lambda w: list_contains(t, w))) / CAST(len(p) AS DOUBLE) END AS bleu1,
  CASE WHEN tm = '' OR cm = '' THEN 0.0::DOUBLE WHEN contains(cm, tm) THEN 1.0 WHEN len(long) = 0 THEN 0.0 ELSE len(list_filter(long, lambda w: contains(cm, w))) / CAST(len(long) AS DOUBLE) END AS recall FROM c)"""
 
+_WALK = f"""WITH {_EDGES}, l AS (SELECT source_entity AS s, relation AS r, target_entity AS t, max(coalesce(confidence, 0.5)) AS c FROM e WHERE source_entity IS NOT NULL AND target_entity <> '' GROUP BY ALL), k AS (SELECT s, r, t FROM l WHERE c >= 0.3),
+q AS (SELECT DISTINCT source_entity AS q FROM e WHERE source_entity <> ''), h1 AS (SELECT q, t, r, row_number() OVER (PARTITION BY q ORDER BY r, t) AS v FROM (SELECT q, t, r FROM q JOIN k ON s = q WHERE t <> q QUALIFY row_number() OVER (PARTITION BY q, t ORDER BY r) = 1)),
+h2 AS (SELECT q, k.t, h1.t AS via, h1.r AS r1, k.r AS r2, v FROM h1 JOIN k ON k.s = h1.t WHERE k.t <> q AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.q = h1.q AND x.t = k.t) QUALIFY row_number() OVER (PARTITION BY q, k.t ORDER BY v, k.r) = 1)"""
+_REACHED = "SELECT q AS question_id, t AS entity, CAST(1 AS BIGINT) AS depth, concat_ws('>', q, r, t) AS path FROM h1 UNION ALL SELECT q, t, 2, concat_ws('>', q, r1, via, r2, t) FROM h2"
+
 ORACLE_SQL = {
     "src2_point_lookup": "SELECT id, last_accessed, CAST(len(distribution) AS BIGINT) AS n_values FROM dimensions WHERE id = 'Harbourlight.status'",
     "src3_deltas_of": "SELECT id, ts, seq, surprise FROM deltas WHERE dimension_id = 'Harbourlight.status'",
@@ -120,10 +125,9 @@ SELECT s AS source_entity, r AS relation, t0 AS target_entity, confidence FROM o
     "gr2_valid_targets": f"WITH s AS (SELECT DISTINCT target, trim(regexp_replace(target, '\\s+', ' ', 'g')) AS t FROM (SELECT UNNEST([target_entity, evidence]) AS target FROM relationship_edges)) SELECT target, {_VALID} AS valid FROM s",
     "gr3_relationships": f"""WITH {_EDGES}, u AS (SELECT source_entity, relation, target_entity, max(confidence) AS confidence FROM e GROUP BY ALL), a AS (SELECT DISTINCT target_entity AS entity FROM u WHERE target_entity <> '')
 SELECT entity, source_entity, relation, target_entity, confidence, row_number() OVER (PARTITION BY entity ORDER BY confidence DESC NULLS LAST, relation, target_entity, source_entity) AS rank FROM a JOIN u ON lower(entity) = lower(source_entity)""",
-    "gr6_traversal": f"""WITH {_EDGES}, l AS (SELECT source_entity AS s, relation AS r, target_entity AS t, max(coalesce(confidence, 0.5)) AS c FROM e WHERE source_entity IS NOT NULL AND target_entity <> '' GROUP BY ALL), k AS (SELECT s, r, t FROM l WHERE c >= 0.3),
-q AS (SELECT DISTINCT source_entity AS q FROM e WHERE source_entity <> ''), h1 AS (SELECT q, t, r, row_number() OVER (PARTITION BY q ORDER BY r, t) AS v FROM (SELECT q, t, r FROM q JOIN k ON s = q WHERE t <> q QUALIFY row_number() OVER (PARTITION BY q, t ORDER BY r) = 1)),
-h2 AS (SELECT q, k.t, h1.t AS via, h1.r AS r1, k.r AS r2 FROM h1 JOIN k ON k.s = h1.t WHERE k.t <> q AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.q = h1.q AND x.t = k.t) QUALIFY row_number() OVER (PARTITION BY q, k.t ORDER BY v, k.r) = 1)
-SELECT q AS question_id, t AS entity, CAST(1 AS BIGINT) AS depth, concat_ws('>', q, r, t) AS path FROM h1 UNION ALL SELECT q, t, 2, concat_ws('>', q, r1, via, r2, t) FROM h2""",
+    "gr6_traversal": f"{_WALK} {_REACHED}",
+    "gr6_traversal_capped": f"""{_WALK}, n1 AS (SELECT q, count(*) AS n FROM h1 GROUP BY q), c AS (SELECT q, v, count(*) AS n FROM h2 GROUP BY ALL),
+o AS (SELECT q, v, 1 + n1.n + coalesce(sum(c.n) OVER (PARTITION BY q ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS known FROM c JOIN n1 USING (q)) {_REACHED.replace("FROM h2", "FROM h2 JOIN o USING (q, v) WHERE known < 12")}""",
     "gr8_paths": f"""WITH {_EDGES}, k AS (SELECT DISTINCT source_entity AS s, relation AS r, target_entity AS t FROM e WHERE coalesce(confidence, 0.5) >= 0.3 AND target_entity <> ''), p AS (SELECT DISTINCT source_entity AS a, target_entity AS b FROM e WHERE coalesce(confidence, 0.5) >= 0.3 AND source_entity <> '' AND target_entity <> '' AND source_entity <> target_entity)
 SELECT a AS from_entity, b AS to_entity, concat_ws('>', a, r, b) AS path FROM p JOIN k ON s = a AND t = b UNION ALL
 SELECT a, b, concat_ws('>', a, x.r, x.t, y.r, b) FROM p JOIN k x ON x.s = a JOIN k y ON y.s = x.t AND y.t = b WHERE x.t <> a AND x.t <> b""",
