@@ -243,3 +243,19 @@ def test_nothing_else_imports_this_package():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert "llm" not in re.findall(r"^\s*(?:from|import)\s+([\w.]+)", path.read_text(), re.M).__repr__()
+
+
+def test_residue_held_out(spark):
+    """Half of the trusted records lose their mark; the model, without patterns, must find them again."""
+    from pathlib import Path
+
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("needs the supplied tables")
+    rows = spark.read.parquet(str(path)).select("doc_id", "text").mapInPandas(residue._passages, "doc_id long, passage int, trusted boolean, about boolean, features array<int>").cache()
+    model = residue.fit(rows.withColumn("trusted", F.col("trusted") & (F.col("doc_id") % 2 == 0)))
+    scored = rows.withColumn("marked", F.col("trusted")).withColumn("trusted", F.lit(False))
+    marks = {r.doc_id for r in scored.where("marked and doc_id % 2 = 1").collect()}
+    posterior = scored.drop("marked").mapInPandas(residue._scores(model), "doc_id long, passage int, trusted boolean, about boolean, posterior double")
+    found = {r.doc_id for r in posterior.where("posterior >= 0.95 and not about and doc_id % 2 = 1").collect()}
+    assert len(found & marks) >= 0.75 * len(marks) and len(found - marks) <= 0.05 * len(marks)
