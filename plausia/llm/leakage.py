@@ -1,9 +1,12 @@
 """Evaluation texts leaking into training text.
 
-Word n-grams of the test items are looked up in the corpus. Those in a small share of the documents are seeds,
-and of every window of an item the rarest n-gram that occurs at all. Seeds join documents to items, and Smith–Waterman alignment of the words around them
-scores each pair, so edited copies are found as well. An exact leak is a run of ``RUN`` words in both; each
-such run holds a seed, so none is missed.
+An exact leak is a run of ``RUN`` words in both. Word n-grams of the test items are looked up in the corpus;
+those in a small share of the documents are seeds, and of every window of an item the rarest n-gram that occurs
+at all. Seeds join documents to items, and each such run holds a seed, so none is missed.
+
+An edited copy need not share a seed, however common n-grams are. There the words and pairs of words that a
+document has in common with an item bound the score of any Smith–Waterman alignment, and every pair that can
+reach the least score is aligned.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ SLACK = 8
 #: Pairs are aligned together up to so many cells a step.
 CELLS = 1 << 17
 #: Item n-grams up to this number travel to the tasks as one sorted array (8 bytes each); beyond it, the
-#: n-grams of the corpus are joined to them instead.
+#: n-grams of the corpus are joined to them instead, or for edited copies the corpus is read once per part.
 MOST_SHIPPED = 2_000_000
 #: N-grams in at most this share of the documents, or this number of them, are rare.
 RARE_SHARE, RARE_COUNT = 0.001, 50
@@ -98,6 +101,11 @@ def _item_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["item_id", "item_pos", "gram"]).astype({"item_id": "int64", "item_pos": "int32", "gram": "int64"})
 
 
+def _item_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for items in batches:
+        yield items.assign(n=[len(words(t)) for t in items["item_text"]])
+
+
 def _lookup(shipped: np.ndarray | None):
     """Documents with the positions of their n-grams, only those of ``shipped`` if that is given."""
 
@@ -163,9 +171,10 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str, int] = {}
     for frame in batches:
         rows, parts = [], []
-        for doc, item, text, item_text, hits in zip(frame["doc_id"], frame["item_id"], frame["words"], frame["item_text"], frame["hits"], strict=True):
+        all_hits = frame["hits"] if "hits" in frame else [None] * len(frame)
+        for doc, item, text, item_text, hits in zip(frame["doc_id"], frame["item_id"], frame["words"], frame["item_text"], all_hits, strict=True):
             a, b = word_codes(words(item_text), known), word_codes(text.split(" "), known)
-            for low, high in _spans(hits, len(a), len(b)):
+            for low, high in [[0, len(b)]] if hits is None else _spans(hits, len(a), len(b)):
                 rows.append((doc, item, MATCH * len(a)))
                 parts.append((a, b[low:high]))
         score, run = align(parts)
@@ -173,18 +182,81 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": out["doc_id"], "item_id": out["item_id"], "score": score / out["perfect"], "longest_run": run})
 
 
+def _bounds(items: list[tuple[int, str]], least_score: float):
+    """Documents with each item that may align with ``least_score`` or has a run in common with them.
+
+    An alignment of M matched words in R unbroken runs costs at least R - 1, so it scores at most
+    2 M - (R - 1) = M + (M - R) + 1: the words of the item that the document holds, its pairs of words that the
+    document holds, and one. A document is looked at in parts that overlap by more than such an alignment is long.
+    """
+    known: dict[str, int] = {}
+    texts = [word_codes(words(text), known) for _, text in items]
+    parts = [(gram_codes(w, n), k, worth) for k, w in enumerate(texts) for n, worth in ((1, 1.0), (2, 1.0), (RUN, np.inf))]
+    grams = np.concatenate([g for g, _, _ in parts])
+    order = np.argsort(grams, kind="stable")
+    owner = np.repeat([k for _, k, _ in parts], [len(g) for g, _, _ in parts])[order]
+    worth = np.repeat([x for _, _, x in parts], [len(g) for g, _, _ in parts])[order]
+    codes, first, sizes = np.unique(grams[order], return_index=True, return_counts=True)
+    perfect = np.array([MATCH * len(w) for w in texts])
+    reach = max(RUN, int(np.ceil(max(map(len, texts)) * max(1.0, 3 - 2 * least_score))))
+
+    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for docs in batches:
+            if len(known) > 1_000_000:
+                known = {}
+            rows = []
+            for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
+                tokens = words(text)
+                w, may = word_codes(tokens, known), np.zeros(len(items), bool)
+                for start in range(0, max(1, len(w) - reach), reach):
+                    part = w[start : start + 2 * reach]
+                    held = np.concatenate([gram_codes(part, n) for n in (1, 2, RUN)])
+                    at = np.minimum(np.searchsorted(codes, held), len(codes) - 1)
+                    at = np.unique(at[codes[at] == held])
+                    n = sizes[at]
+                    postings = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    may |= (np.bincount(owner[postings], worth[postings], len(items)) + 1) / perfect >= least_score
+                if tokens and may.any():
+                    joined = " ".join(tokens)
+                    rows += [(doc, items[k][0], joined, items[k][1]) for k in np.flatnonzero(may)]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "item_text"])
+
+    return bounds
+
+
+def _clean(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).dropDuplicates(["item_id", "item_text"])
+    return spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text")), items
+
+
 def leaks(documents: DataFrame, items: DataFrame, least_score: float = 0.6) -> DataFrame:
-    """``doc_id, item_id, score, longest_run``: pairs that share a seed and either align with at least
-    ``least_score`` of a perfect alignment or have ``RUN`` consecutive words in common (``longest_run`` is the
-    most there are).
+    """``doc_id, item_id, score, longest_run``: pairs that either align with at least ``least_score`` of a
+    perfect alignment or have ``RUN`` consecutive words in common (``longest_run`` is the most there are).
 
     Words are runs of letters and digits in lower case. Null texts and ids are left out, items shorter than an
     n-gram never match, and repeated item rows count once.
     """
-    items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).dropDuplicates(["item_id", "item_text"])
+    docs, items = _clean(documents, items)
+    sized = items.mapInPandas(_item_sizes, "item_id long, item_text string, n long").where(F.col("n") >= GRAM)
+    sized = materialize(sized, "items")
+    total = sized.agg(F.sum(3 * F.col("n"))).first()[0] or 0
+    slices = max(1, -(-total // MOST_SHIPPED))
+    pairs = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, words string, item_text string")
+    for i in range(slices):
+        shipped = [(r.item_id, r.item_text) for r in sized.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(slices)) == i).collect()]
+        if shipped:
+            pairs = pairs.unionAll(docs.mapInPandas(_bounds(shipped, least_score), pairs.schema))
+    even = pairs.repartition(shuffle_partitions(docs.sparkSession), "doc_id", "item_id")
+    scored = even.mapInPandas(_score, "doc_id long, item_id long, score double, longest_run int")
+    return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run")).where((F.col("score") >= least_score) | (F.col("longest_run") >= RUN))
+
+
+def leaked_runs(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
+    """``doc_id, item_id`` of documents with at least ``run`` (13 or more) consecutive words of an item."""
+    docs, items = _clean(documents, items)
     grams = materialize(items.withColumnRenamed("item_text", "text").mapInPandas(_item_grams, "item_id long, item_pos int, gram long"), "item_grams")
     wanted = grams.select("gram").distinct()
-    docs = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
     schema = "doc_id long, words string, grams array<long>, positions array<int>"
     if is_small(wanted, MOST_SHIPPED):
         shipped = np.sort(np.array([r[0] for r in wanted.collect()], np.int64))
@@ -201,9 +273,4 @@ def leaks(documents: DataFrame, items: DataFrame, least_score: float = 0.6) -> D
     full = pairs.join(broadcast_if_small(items, 2_000), "item_id").join(hits.select("doc_id", "words"), "doc_id")
     even = full.select("doc_id", "item_id", "words", "item_text", "hits").repartition(shuffle_partitions(docs.sparkSession), "doc_id", "item_id")
     scored = even.mapInPandas(_score, "doc_id long, item_id long, score double, longest_run int")
-    return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run")).where((F.col("score") >= least_score) | (F.col("longest_run") >= RUN))
-
-
-def leaked_runs(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
-    """``doc_id, item_id`` of documents with at least ``run`` (13 or more) consecutive words of an item."""
-    return leaks(documents, items).where(F.col("longest_run") >= run).select("doc_id", "item_id")
+    return scored.where(F.col("longest_run") >= run).select("doc_id", "item_id").distinct()

@@ -155,6 +155,38 @@ def test_edited_copies_score(spark):
     assert got(leakage.leaks(docs, none)) == [] and got(leakage.leaks(docs.limit(0), none)) == []
 
 
+def brute_score(item, doc):
+    best, row = 0, [0] * (len(doc) + 1)
+    for x in item:
+        new = [0]
+        for j, y in enumerate(doc):
+            new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+        best, row = max(best, *new), new
+    return best / (2 * len(item))
+
+
+@pytest.mark.parametrize("shipped", [10_000, 200])
+def test_edited_copies_of_common_items(spark, monkeypatch, shipped):
+    """Items in more documents than rare n-grams may be in, beside copies that lack some of their n-grams, or all."""
+    monkeypatch.setattr(leakage, "MOST_SHIPPED", shipped)
+    rng = random.Random(8)
+    items = [WORDS[:40], WORDS[30:60], WORDS[100:106], rng.choices(WORDS[:12], k=44)]
+    fill = lambda n: rng.choices(WORDS[200:], k=n)
+    texts = [fill(6) + item + fill(6) for item in items for _ in range(55)]
+    for item in items:
+        texts += [fill(3) + [w for i, w in enumerate(item) if i % k != k - 1] + fill(3) for k in (2, 3, 4, 5, 9)]
+        texts += [fill(300) + [fill(1)[0] if i % k == k - 1 else w for i, w in enumerate(item)] + fill(90) for k in (3, 4, 5, 9)]
+        texts += [[x for w in item for x in (w, *fill(n))] for n in (1, 2)] + [item[:20] + fill(n) + item[20:] for n in (9, 15, 30)]
+        texts += [item[: len(item) // 2], sorted(item), rng.sample(item, len(item))]
+    texts += [rng.choices(WORDS[:12], k=60) for _ in range(10)] + [[]]
+    want = {(d, i): round(brute_score(item, doc), 6) for d, doc in enumerate(texts) for i, item in enumerate(items)}
+    want = {k: s for k, s in want.items() if s >= 0.6}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    out = leakage.leaks(docs, spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): round(r.score, 6) for r in out if r.score >= 0.6} == want
+    assert all(r.score == pytest.approx(brute_score(items[r.item_id], texts[r.doc_id])) for r in out)
+
+
 TARGETS = "source string, weight double, max_repeats int"
 
 
