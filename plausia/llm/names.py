@@ -212,13 +212,20 @@ def _keys_of_cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["core", "form", "block", "token", "others"])
 
 
+def _formal_forms(others: str) -> set[str]:
+    """The tokens, and the tokens with one nickname replaced by each formal name, sorted."""
+    tokens = others.split(" ")
+    return {others} | {" ".join(sorted([*tokens[:i], formal, *tokens[i + 1 :]])) for i, t in enumerate(tokens) for formal in _FORMALS.get(t, ())}
+
+
 def _finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Keys within crowded blocks. Two cores that differ by a slip share a deletion of the token that slipped
-    (and the other tokens); a short form and what it stands for share the other tokens, slipped or not."""
+    (and the other tokens, a nickname among them replaced by what it stands for); a short form and what it stands
+    for share the other tokens, slipped or not."""
     for rows in batches:
         out = []
         for core, form, block, token, others in rows[["core", "form", "block", "token", "others"]].itertuples(index=False):
-            out += [(core, form, f"{block}#{d}#{others}", False) for d in deletions(token)]
+            out += [(core, form, f"{block}#{d}#{o}", False) for d in deletions(token) for o in _formal_forms(others)]
             out += [(core, form, f"{block}#{d}", True) for d in deletions(others)]
         yield pd.DataFrame(out, columns=["core", "form", "block", "only_short"])
 
@@ -249,7 +256,7 @@ def candidate_pairs(cores: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
     finer = keyed.join(crowded, "block", "left_semi").mapInPandas(_finer, "core string, form int, block string, only_short boolean")
     blocks = fine.unionAll(finer).distinct()
     a, b = blocks.alias("a"), blocks.alias("b")
-    wanted = (F.col("a.block") == F.col("b.block")) & (F.col("a.core") < F.col("b.core")) & (~F.col("a.only_short") | ((F.col("a.form") != FULL) != (F.col("b.form") != FULL)))
+    wanted = (F.col("a.block") == F.col("b.block")) & (F.col("a.core") < F.col("b.core")) & (~F.col("a.only_short") | (F.col("a.form") != F.col("b.form")))
     return a.join(b, wanted).select(F.col("a.core").alias("a"), F.col("b.core").alias("b")).distinct()
 
 

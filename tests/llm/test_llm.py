@@ -47,6 +47,15 @@ def test_name_variants(spark, max_block):
     assert got(names.variant_pairs(spark.createDataFrame([], "name string"))) == []
 
 
+@pytest.mark.parametrize("max_block", [200, 2])
+def test_crowded_blocks_find_the_same(spark, max_block):
+    """A nickname beside a slip that changes the Soundex, and a cut-off word beside a nickname."""
+    same = [["Bob Smirh", "Robert Smith"], ["Bob Zora Vulkim", "Robert Vulnim Zora"], ["Robe. Frank", "Robert Frank"]]
+    fill = [f"Robert {x}" for x in ("Sawoch", "Sipakuth", "Sogedah", "Sufibeh")] + [f"Robert Zora {x}" for x in ("Vasetum", "Vopigam", "Vebodom")] + [f"{x} Frank" for x in ("Rolugadi", "Rimesabo", "Rukotefi")]
+    df = spark.createDataFrame([(n,) for n in [n for g in same for n in g] + fill], "name string")
+    assert set(got(names.variant_pairs(df, max_block))) == {(a, b) for g in same for a in g for b in g if a < b}
+
+
 def test_words_in_wide_use_are_no_typos(spark):
     rows = [(f"{first} {last}",) for first in ("Thomas", "Tomas") for last in ("Aabcdef", "Bbcdefg", "Cccdefg", "Ddcdefg")]
     assert got(names.variant_pairs(spark.createDataFrame(rows, "name string"))) == []
