@@ -103,16 +103,24 @@ def traverse(seeds: DataFrame, edges: DataFrame, hops: int = 2, min_confidence:
 
 def paths_between(pairs: DataFrame, edges: DataFrame, hops: int = 3, min_confidence: float = 0.3) -> DataFrame:
     """``from_entity, to_entity, path``: all simple paths of up to ``hops`` + 1 edges between each pair, nodes
-    and relations in turn."""
+    and relations in turn. Walks of half the length from each end meet in the middle."""
     links = neighbours(edges, min_confidence).where("target_entity <> ''").select("source_entity", "relation", "target_entity").distinct()
-    walks = pairs.select("from_entity", "to_entity", F.array("from_entity").alias("path"), F.col("from_entity").alias("at"))
-    done = walks.where("at = to_entity")
-    for _ in range(hops + 1):
-        open_walks = walks.where("at <> to_entity")
-        nodes = F.filter("path", lambda x, i: i % 2 == 0)
-        walks = open_walks.join(links, F.col("at") == F.col("source_entity")).where(~F.array_contains(nodes, F.col("target_entity"))).select("from_entity", "to_entity", F.concat("path", F.array("relation", "target_entity")).alias("path"), F.col("target_entity").alias("at"))
-        done = done.unionAll(walks.where("at = to_entity"))
-    return done.select("from_entity", "to_entity", "path")
+    first = links.where("source_entity <> target_entity").select(F.col("source_entity").alias("start"), F.col("target_entity").alias("end"), F.array("source_entity").alias("nodes"), F.array("source_entity", "relation", "target_entity").alias("path"))
+    walks = {1: materialize(first, "walks")}  # by number of edges; nodes are all but the last
+    for n in range(2, (hops + 2) // 2 + 1):
+        longer = walks[n - 1].join(walks[1].select(F.col("start").alias("end"), F.col("end").alias("next"), F.col("path").alias("step")), "end").where(~F.array_contains("nodes", F.col("next")))
+        walks[n] = materialize(longer.select("start", F.col("next").alias("end"), F.concat("nodes", F.array("end")).alias("nodes"), F.concat("path", F.slice("step", 2, 2)).alias("path")), "walks")
+    done = pairs.where("from_entity = to_entity").select("from_entity", "to_entity", F.array("from_entity").alias("path"))
+    apart = pairs.where("from_entity <> to_entity").select("from_entity", "to_entity")
+    for n in range(1, hops + 2):
+        head, tail = walks[(n + 1) // 2].withColumnsRenamed({"start": "from_entity", "end": "middle"}), walks.get(n // 2)
+        if tail is None:
+            done = done.unionAll(apart.join(head.withColumnRenamed("middle", "to_entity"), ["from_entity", "to_entity"]).select("from_entity", "to_entity", "path"))
+            continue
+        rest = tail.select(F.col("start").alias("middle"), F.col("end").alias("to_entity"), F.col("nodes").alias("later"), F.col("path").alias("rest"))
+        met = apart.join(head, "from_entity").where(~F.array_contains("nodes", F.col("to_entity"))).join(rest, ["middle", "to_entity"]).where(~F.arrays_overlap("nodes", "later"))
+        done = done.unionAll(met.select("from_entity", "to_entity", F.concat("path", F.expr("slice(rest, 2, size(rest) - 1)")).alias("path")))
+    return done
 
 
 def relations_from_beliefs(beliefs: DataFrame, wide: bool = False) -> DataFrame:

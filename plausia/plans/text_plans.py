@@ -168,10 +168,19 @@ def gr6_traversal_capped(spark: SparkSession, d: str) -> DataFrame:
     return graph.traverse(_self_seeds(edges), edges, 2, 0.3, 12).select("question_id", "entity", F.col("depth").cast("long").alias("depth"), F.array_join("path", ">").alias("path"))
 
 
+def _linked_pairs(edges: DataFrame) -> DataFrame:
+    return graph.neighbours(edges).where("source_entity <> '' and target_entity <> '' and source_entity <> target_entity").select(F.col("source_entity").alias("from_entity"), F.col("target_entity").alias("to_entity")).distinct()
+
+
 def gr8_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Only the paths of at most two edges, as its SQL; ``gr8_paths_whole`` has the default's four."""
+    edges = named_edges(spark, d)
+    return graph.paths_between(_linked_pairs(edges), edges, hops=1).select("from_entity", "to_entity", F.array_join("path", ">").alias("path"))
+
+
+def gr8_paths_whole(spark: SparkSession, d: str) -> DataFrame:
     edges = named_edges(spark, d)
-    pairs = graph.neighbours(edges).where("source_entity <> '' and target_entity <> '' and source_entity <> target_entity").select(F.col("source_entity").alias("from_entity"), F.col("target_entity").alias("to_entity")).distinct()
-    return graph.paths_between(pairs, edges, hops=1).select("from_entity", "to_entity", F.array_join("path", ">").alias("path"))
+    return graph.paths_between(_linked_pairs(edges), edges).select("from_entity", "to_entity", F.array_join("path", ">").alias("path"))
 
 
 def ir1_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -298,7 +307,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         src2_point_lookup, src3_deltas_of, src4_events_in_order, src5_edges_in_order, src6_missing_texts, src7_embedded, src9_conversation_turns, snk1_latest_dimensions, snk2_append, snk4_upserted_edges, snk5_cached_edges, snk6_results,
-        ext1_rule_claims, ext1_turn_claims, ext5_parsed_replies, ext6_worded_reliability, ext10_aliases, gr1_stored_edges, gr2_valid_targets, gr3_relationships, gr6_traversal, gr6_traversal_capped, gr8_paths,
+        ext1_rule_claims, ext1_turn_claims, ext5_parsed_replies, ext6_worded_reliability, ext10_aliases, gr1_stored_edges, gr2_valid_targets, gr3_relationships, gr6_traversal, gr6_traversal_capped, gr8_paths, gr8_paths_whole,
         ir1_tokens, ir3_idf, ir5_bm25, ir5_bm25_entities, ir6_tfidf, ir7_nearest, ir8_hybrid, ir11_evidence, ir14_mentioned, q9_answers, ctx1_question_types, ctx3_context, ctx5_facts, ctx6_focus, ctx8_edge_lines, ctx9_evidence_lines, ctx10_annotations, ctx11_context_text,
         fn_forms, fn_answers, eval_metrics, eval5_rescored,
     )

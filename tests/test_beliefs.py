@@ -184,6 +184,31 @@ def test_edges(spark):
     assert [r.related for r in graph.relations_from_beliefs(b).collect()] == ["Bo"] and [r.related for r in graph.relations_from_beliefs(b, wide=True).collect()] == ["Bo", "Cy"]
 
 
+def test_whole_paths_equal_depth_first_search(spark, tmp_path):
+    import random
+
+    import __spark_entry__
+
+    rng = random.Random(5)
+    rows = {(rng.choice("ABCDEFGH"), rng.choice("rs"), rng.choice("ABCDEFGH")) for _ in range(24)}
+    edges = spark.createDataFrame([(*e, 0.9, "", 1.0) for e in sorted(rows)] + [("A", "r", "H", 0.1, "", 1.0), ("A", "r", "", 0.9, "", 1.0), (None, "r", "B", 0.9, "", 1.0)], EDGE)
+    edges.write.parquet(str(tmp_path / "relationship_edges.parquet"))
+
+    def search(path, to, most):
+        if path[-1] == to:
+            return [path]
+        return [p for s, r, t in rows if s == path[-1] and t not in path[::2] and len(path) < 2 * most for p in search([*path, r, t], to, most)]
+
+    linked = sorted({(s, t) for s, _, t in rows if s != t})
+    want = sorted((a, b, ">".join(p)) for a, b in linked for p in search([a], b, 4))
+    assert any(p.count(">") == 8 for _, _, p in want)
+    assert sorted(map(tuple, __spark_entry__.queries()["gr8_paths_whole"](spark, str(tmp_path)).collect())) == want
+    pairs = spark.createDataFrame([*linked, ("A", "A"), ("A", "none")], "from_entity string, to_entity string")
+    for hops in (0, 1, 2, 4):
+        out = sorted((r.from_entity, r.to_entity, r.path) for r in graph.paths_between(pairs, edges, hops).collect())
+        assert out == sorted([(a, b, p) for a, b in linked for p in search([a], b, hops + 1)] + [("A", "A", ["A"])])
+
+
 def test_merge_candidates_equal_the_pairwise_score(spark):
     import random
 
