@@ -55,7 +55,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue_records(_table(spark, d, "documents")).withColumn("posterior", F.round("posterior", 6))
+    return residue.residue_records(_table(spark, d, "documents")).withColumn("posterior", F.round("posterior", 4))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p7_found, p7_counts, p8_found, p8_scores, p9_mixture, p9_shares, p10_found, p10_scores)}

@@ -1,10 +1,12 @@
 """Template residue and error-page text.
 
-Records are cut into passages. Passages that bear an unfilled slot, or the wording of a filler, an error page
-or a notice that scripts are needed, are *trusted* positives; all others are unlabelled. A naive Bayes model
-over hashed word and shape features is fitted to both by expectation–maximization, every passage counting,
-and scores each passage; a record is residue if one of its passages is. Passages that speak *about* such
-things (a report, a quotation, a manual) are neither trusted nor accepted.
+A record is cut into passages. Passages that bear two or more unfilled slots, or a short wording that everyone
+uses for errors, script notices and fillers, are *trusted* positives; all others are unlabelled. A naive Bayes model
+over words, pairs of words and the shapes of slots is fitted to both by expectation–maximization over every passage of
+the corpus. It alone scores the passages, trusted ones too, and a record is residue if its passages together say so.
+
+Passages with slots are modelled apart from those without, since the words around a slot tell whether it
+stands in place of content or is being talked about, which the same words elsewhere don't.
 """
 
 from __future__ import annotations
@@ -12,9 +14,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,230 +23,281 @@ from pyspark.sql import functions as F
 from ..cluster import materialize, spread
 
 #: Features are hashed to so many buckets: the model's size, whatever the corpus.
-BUCKETS = 1 << 18
-#: Passages of at most so many characters are always tried for bare error codes.
-_SHORT = 24
-ROUNDS = 4
-SMOOTHING = 0.05
-LEAST_POSTERIOR = 0.95
+BUCKET_BITS = 20
+BUCKETS = 1 << BUCKET_BITS
+MOST_ROUNDS = 12
+#: Rounds end when the expected number of residue passages changes by less than this share.
+SETTLED = 2e-3
+#: Pseudo-passages, shared between the classes by their sizes, that pull a feature's ratio to nothing.
+SMOOTHING = 3.0
+#: A single feature counts for at most so much.
+MOST_RATIO = 9.0
 #: Features seen in fewer passages than this say nothing of either class.
-LEAST_COUNT = 2.5
-
-_ANY = re.IGNORECASE | re.UNICODE
-_TAGS = re.compile(r"</?(?:html|head|body|title|h[1-6]|div|p|br|hr|span|a|b|i|em|strong|ul|ol|li|table|tr|td|th|pre|code|center|script|noscript|style|meta|link|form|input|button|img)\b[^<>]*>", _ANY)
-_SLOTS = [
-    r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^%\n]{1,60}%\}", r"\$\{[^{}\n]{1,60}\}", r"\$\[[^\[\]\n]{1,60}\]", r"%%[\w .-]{2,40}%%", r"@@[\w .-]{2,40}@@", r"%\([\w.]{2,40}\)[sdf]", r"\(\([\w .-]{2,40}\)\)",
-    r"#[a-z]+(?:_[a-z]+)*#", r"<<[\w .-]{2,40}>>", r"<[A-Za-z]+(?:[_ ][A-Za-z]+)*>", r"(?<![{\w$])\{(?:[A-Za-z]\w{2,40}|\d{0,2})\}(?!\})", r"(?<![\w%])%[sd](?!\w)", r"<%[^%\n]{1,60}%>", r"\[\[[^\[\]\n]{1,40}\]\]", r"#\{[^{}\n]{1,60}\}", r"\$[a-z]+(?:_[a-z]+)*\$", r"\[[A-Z][A-Z_ ]{2,40}\]", r"(?<![A-Za-z])X{4,}(?![A-Za-z])", r"__[A-Za-z]+(?:_[A-Za-z]+)*__", r"_{4,}",
-    r"(?i:\[(?:insert|insertar|insérer|inserire|hier|your|votre|ihre?|su|enter|add|fill in|indiquer|indicar)\b[^\[\]\n]{1,40}\])", r"(?i:\[[^\[\]\n]{1,40}(?:\bhere|\btbd|\btbc|à compléter|à remplir|einfügen|ausfüllen|eintragen|aquí|por completar)\])",
-]
-_SLOT = re.compile("|".join(_SLOTS))
-_SUBJECT = r"(?:page|document|conversation|thread|timeline|profile|export|record|memory|site|resource|file|content|app|session|service|server)"
-_ERROR = re.compile(
-    rf"^\W*(?:http\W{{0,3}})?(?:4\d\d|5\d\d)\b\W*$|^\W*(?:error|erreur|fehler|código|code|http|status)\W{{0,3}}(?:4\d\d|5\d\d)\b\W*(?:[:.)]|$)|\b(?:4\d\d|5\d\d)\W{{1,3}}(?:not found|forbidden|unauthori[sz]ed|bad gateway|service unavailable|internal server error|gateway time-?out|too many requests)\b"
-    rf"|\b(?:could not|cannot|can't|can not) be (?:found|displayed|loaded|opened|shown|reached)\b|\bhas been moved or\b|\bhave been (?:moved|deleted|removed) or (?:moved|deleted|removed)\b|\b{_SUBJECT} no longer exists|\bis (?:temporarily |currently )?unavailable\b|\bblocked for your account|\brequires you to sign in"
-    rf"|\b{_SUBJECT} (?:failed to load|timed out)|\brefused by the gateway|\byou (?:do not|don't) have permission|^\W*access denied\W*$|\bsession has expired|\bsign in again|^\W*too many requests|\blimit of \d+ (?:calls|requests)|\binternal server error|\bsomething went wrong|\binterner serverfehler|\berreur interne|\berror interno|\bbad gateway\b|\bcould not connect to the|\bupstream request failed"
-    r"|\bcontact support and quote|\badministrator has been (?:informed|notified)|\bcan't find that page|\bthe page you (?:asked|are looking) for|\breturn to the (?:start|home) ?page|^\W*reload (?:the page|once)"
-    r"|\b(?:est|sont) introuvables?\b|^\W*accès refusé|\b(?:page|session|fiche|conversation|document)\b.{0,30}\ba expiré\b|^\W*réessayez|\bn'existe plus\b|\bn'est pas disponible\b|\bservice indisponible\b|\bvous reconnecter\b"
-    r"|\bwurde nicht gefunden\b|\bnicht erreichbar\b|\berneut versuchen\b|\bkonnte nicht geladen werden|\bexistiert nicht mehr|^\W*zugriff verweigert|\bist abgelaufen\b|\bmelden sie sich (?:neu|erneut|wieder) an"
-    r"|\bno se (?:encontró|pudo (?:cargar|mostrar))\b.{0,40}|^\W*acceso denegado|\bha caducado\b|\bno está disponible\b|\bservicio no disponible\b|\bya no existe\b|\binténtelo (?:de nuevo|más tarde)|\bvuelva a (?:intentarlo|iniciar)"
-    r"|^\W*(?:cette|votre|la|le|ce|l') ?\w+ (?:a expiré|n'existe (?:pas|plus)|n'a pas pu être \w+|a été (?:déplacé|supprimé)\w*)|^\W*(?:esta?|este|su|la|el) \w+ (?:ha (?:caducado|expirado)|no existe|fue (?:movid|eliminad|borrad)\w+|no se pudo \w+)"
-    r"|^\W*(?:diese[rs]?|ihre?|die|der|das) \w+ (?:ist abgelaufen|existiert nicht|wurde (?:verschoben|gelöscht|entfernt)|konnte nicht \w+ werden)|^\W*(?:référence|incident|vorgang|referencia|reference)\W+[0-9a-f]+\W*$",
-    _ANY,
-)
-_SCRIPT = re.compile(
-    r"\b(?:javascript|js|scripts?|scripting|skripte?|skriptausführung)\b.{0,60}\b(?:enabled?|disabled|required|needed|turned (?:on|off)|switched (?:on|off)|blocked|allowed|not available|activer|activée?s?|désactivée?s?|bloquée?s?|nécessaires?|fonctionner|aktivieren|aktiviert|deaktiviert|eingeschaltet|blockiert|erforderlich|activar|activo|activad[oa]|desactivado|bloqueado|necesari[oa]|funcionar|to run|to load)\b"
-    r"|\b(?:enable|activate|turn on|switch on|allow|need|needs|require|requires|support|activer|activez|autoriser|besoin de|ohne|aktivieren sie|activar|active|habilite|necesita)\b.{0,30}\b(?:javascript|js|scripts?|scripting|skripte?)\b|\bnoscript\b|\bbrowser has them switched off",
-    _ANY,
-)
-_FILLER = re.compile(
-    r"\blorem ipsum\b|\bdolor sit\b|\b(?:blah|bla)(?: (?:blah|bla))+\b|\basdf\b|\bqwer(?:ty)?\b|\btest(?: test){2,}|\btext(?: text){2,}|\breplace this (?:paragraph|text)|\b(?:sample|dummy|placeholder|filler|example) (?:text|content|copy)\b|\b(?:headline|title|text|content|image) goes here|\bbody copy to follow|\bintentionally (?:filled|left)"
-    r"|^\W*(?:[\w ]{1,40}: )?(?:todo|fixme|tbd)\b\W|\btexte d'exemple|\bcontenu provisoire|\btitre du paragraphe|\btexte définitif|\bfaux[- ]texte|\bblindtext|\bplatzhaltertext|\bbeispieltext|\bwird nachgereicht|\büberschrift folgt|\bcontenido (?:provisional|definitivo)|\btexto (?:de (?:ejemplo|relleno|prueba)|provisional)|\bva el (?:contenido|texto)|\btítulo del párrafo",
-    _ANY,
-)
-_LATIN = frozenset("adipiscing aliqua aliquip amet aute cillum commodo consectetur consequat culpa cupidatat deserunt dolor dolore duis eiusmod elit enim excepteur fugiat incididunt ipsum irure labore laboris lorem magna minim nisi nostrud nulla occaecat officia pariatur proident quis reprehenderit sed sint sunt tempor ullamco ut velit veniam voluptate".split())
-_ABOUT = re.compile(
-    r"\b(?:explain(?:s|ed)|joked?|pasted|quot(?:es|ed)|banned|asked (?:why|how|what)|noted in|manual says|guide says|such as|stands for|log call|prompt file|loader|template (?:holds|has|uses|contains)|stored belief reads|ticket \[|for a quotation|covers the|cost \w+ about"
-    r"|a expliqué|a demandé|modèle contient|gabarit contient|chargeur|page d'erreur|erklärte|fragte|vorlage enthält|fehlerseite|explicó|preguntó|plantilla (?:lleva|contiene)|cargador|página de error)\b",
-    _ANY,
-)
-_KEY_VALUE = re.compile(r"\(confidence [\d.]+\)\s*$")
-_CUT = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
-_LEAD = re.compile(r"^\s*(?:\d+[.)]|[-*•])\s+")
-_WORD = re.compile(r"[^\W\d_]+|\d+")
-
-
-def passages(text: str) -> list[str]:
-    """Sentences and lines, without list marks."""
-    return [p for p in (_LEAD.sub("", s).strip() for s in _CUT.split(text)) if p]
-
-
-#: Substrings of lower-case text without one of which a family's pattern cannot match; a record is searched for
-#: all of them in one pass, and only the patterns that may match are tried on its passages.
-_NEEDS = {
-    "error": "not found|be found|forbidden|unauthor|gateway|unavailable|internal server|time-out|timeout|too many req|displayed|loaded|opened|be shown|be reached|been moved|been deleted|been removed|no longer exists|blocked for|requires you to|failed to load|timed out|permission|access denied|expired|sign in again|limit of|went wrong|serverfehler|erreur|could not connect|upstream|contact support|administrator has|page you|return to the|reload|introuvable|accès refusé|expiré|réessayez|n'existe|n'est pas|indisponible|reconnecter|nicht gefunden|nicht erreichbar|erneut|nicht|verweigert|abgelaufen|melden sie|no se |denegado|caducado|disponible|no existe|inténtelo|vuelva a|n'a pas pu|a été |expirado|fue |wurde |error|fehler|código|code|http|status|that page",
-    "script": "javascript|js|script|skript|switched off",
-    "filler": "lorem|dolor|blah|bla bla|asdf|qwer|test test|text text|replace this|sample|dummy|placeholder|filler|example|goes here|body copy|intentionally|todo|fixme|tbd|exemple|provisoire|titre du|définitif|faux|blindtext|platzhalter|beispieltext|nachgereicht|überschrift|contenido|texto|va el|título",
-    "latin": "amet|ipsum|elit|magna|adipiscing|consectetur|tempor|nostrud|labore|commodo",
-    "about": "explain|joke|pasted|quot|banned|asked |noted in|says|such as|stands for|log call|prompt file|loader|template|stored belief|ticket [|covers the|cost|expliqué|demandé|contient|chargeur|d'erreur|erklärte|fragte|enthält|fehlerseite|explicó|preguntó|plantilla|cargador|página de error|(confidence",
-}
-_SLOT_SIGN = re.compile(r"[{\[<%$@#]|\(\(|__|XXXX")
-_ALL = frozenset(_NEEDS) | {"slot"}
-
-
-def _finder() -> ahocorasick.Automaton:
-    finder = ahocorasick.Automaton()
-    for family, needs in _NEEDS.items():
-        for need in needs.split("|"):
-            finder.add_word(need, finder.get(need, frozenset()) | {family})
-    finder.make_automaton()
-    return finder
-
-
-def families(text: str, finder: ahocorasick.Automaton) -> frozenset[str]:
-    """The families of patterns that may match somewhere in the text."""
-    found: set[str] = {"slot"} if _SLOT_SIGN.search(text) else set()
-    for _, families_of in finder.iter(text.lower()):
-        found |= families_of
-    return frozenset(found)
-
-
-def about(passage: str, may: frozenset[str] = _ALL) -> bool:
-    """Whether the passage speaks about residue rather than being some: it has a cue of a report and at most
-    one slot, or states a stored value."""
-    if "about" not in may:
-        return False
-    return bool(_KEY_VALUE.search(passage)) or (bool(_ABOUT.search(passage)) and len(_SLOT.findall(_TAGS.sub(" ", passage))) < 2)
-
-
-def trusted(passage: str, may: frozenset[str] = _ALL) -> bool:
-    """Whether the passage bears a slot or the wording of a filler, an error or a script notice, and isn't
-    about one."""
-    if not (may - {"about"}) and len(passage) > _SHORT:
-        return False
-    bare = _TAGS.sub(" ", passage) if "<" in passage else passage
-    found = ("slot" in may and _SLOT.search(bare)) or (("error" in may or len(bare) <= _SHORT) and _ERROR.search(bare)) or ("script" in may and _SCRIPT.search(bare)) or ("filler" in may and _FILLER.search(bare))
-    if not found and "latin" in may:
-        words = _WORD.findall(bare.lower())
-        found = len(words) >= 5 and sum(w in _LATIN for w in words) * 2 > len(words)
-    return bool(found) and not about(passage, may)
-
-
-def features(passage: str) -> list[str]:
-    """Shapes of slots and the words in them; without slots, the words (digits as one, names as one). The
-    words around a slot are those of content and tell nothing."""
-    bare = _TAGS.sub(" ", passage) if "<" in passage else passage
-    slots = _SLOT.findall(bare) if _SLOT_SIGN.search(bare) else []
-    if slots:
-        out = {"slot:" + re.sub(r"[^\W_]+", "a", s)[:8] for s in slots} | {"in:" + w for s in slots for w in _WORD.findall(s.lower())}
-        return sorted(out | {"slots:1" if len(slots) == 1 else "slots:more"})
-    shouted = bare.isupper()
-    words = _WORD.findall(bare)
-    found = ["0" if w.isdigit() else "Name" if i and not shouted and w[0].isupper() and w[1:].islower() else w.lower() for i, w in enumerate(words)]
-    out = {"w:" + w for w in found}
-    if bare != passage:
-        out.add("tags")
-    return sorted(out)
-
-
-def _buckets(names: list[str], known: dict[str, int]) -> list[int]:
-    out = set()
-    for n in names:
-        code = known.get(n)
-        if code is None:
-            code = known[n] = xxhash.xxh64_intdigest(n) % BUCKETS
-        out.add(code)
-    return sorted(out)
-
-
-def _passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, int] = {}
-    finder = _finder()
-    for docs in batches:
-        if len(known) > 1_000_000:
-            known = {}
-        rows = []
-        for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
-            may = families(text, finder)
-            rows += [(doc, i, trusted(p, may), about(p, may), _buckets(features(p), known)) for i, p in enumerate(passages(text))]
-        yield pd.DataFrame(rows, columns=["doc_id", "passage", "trusted", "about", "features"])
-
-
-def _posterior(model: tuple[np.ndarray, float] | None, is_trusted: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    if model is None:
-        return is_trusted.astype(float)
-    ratio, odds = model
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    sums = np.concatenate([[0.0], np.cumsum(ratio[flat])])
-    score = odds + sums[starts[1:]] - sums[starts[:-1]]
-    return np.where(is_trusted, 1.0, 1 / (1 + np.exp(-np.clip(score, -500, 500))))
-
-
-def _flat(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lists = frame["features"].tolist()
-    flat = np.concatenate(lists).astype(np.int64) if lists and sum(map(len, lists)) else np.empty(0, np.int64)
-    return frame["trusted"].to_numpy(bool), flat, np.array([len(x) for x in lists], np.int64)
-
-
-def _counts(model: tuple[np.ndarray, float] | None):
-    """Expected counts of each feature bucket in both classes over one task's passages; bucket -1 has the
-    numbers of passages."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both, n = np.zeros((2, BUCKETS)), np.zeros(2)
-        for frame in batches:
-            is_trusted, flat, sizes = _flat(frame)
-            p = _posterior(model, is_trusted, flat, sizes)
-            n += [p.sum(), (1 - p).sum()]
-            weight = np.repeat(p, sizes)
-            both[0] += np.bincount(flat, weight, BUCKETS)
-            both[1] += np.bincount(flat, 1 - weight, BUCKETS)
-        used = np.flatnonzero(both.any(axis=0))
-        yield pd.DataFrame({"bucket": np.r_[-1, used], "residue": np.r_[n[0], both[0][used]], "content": np.r_[n[1], both[1][used]]})
-
-    return count
-
-
-def fit(rows: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float] | None:
-    """Expectation–maximization over all passages. The driver sees one row per feature bucket, no passages.
-    None if nothing is trusted, as nothing can be learned then."""
-    model = None
-    for _ in range(rounds):
-        sums = rows.mapInPandas(_counts(model), "bucket int, residue double, content double").groupBy("bucket").agg(F.sum("residue").alias("residue"), F.sum("content").alias("content")).toPandas()
-        totals = sums[sums["bucket"] == -1]
-        if not len(totals) or not totals["residue"].iloc[0] or not totals["content"].iloc[0]:
+LEAST_COUNT = 1.5
+LEAST_POSTERIOR = 0.95
+#: Texts are read together up to so many characters.
+CHARACTERS = 4_000_000
+#: A trusted wording stands in a passage of at most so many words.
+MOST_WORDS = 10
+
+_SLOT = (
+    r"\{\{[^{}\n]{1,60}\}\}|\{%[^{}\n]{1,60}%\}|<%[^<>\n]{1,60}%>|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|\$\[[^\[\]\n]{1,60}\]|<<[^<>\n]{1,60}>>|\[\[[^\[\]\n]{1,60}\]\]|\(\([^()\n]{1,60}\)\)"
+    r"|%\([\w.]{1,40}\)[sdf]|\{[\w .-]{0,40}\}|<[a-z][\w .-]{0,40}>|\[[^\W\d][^\[\]\n\d=:]{0,60}\]|%%[\w .-]{1,40}%%|@@[\w .-]{1,40}@@|\$[a-z]\w{0,40}\$|#[a-z]\w{0,40}#|(?<![\w%])%[sd]\b|__[a-z]\w{0,40}__|_{4,}"
+)
+_TAG = r"</?(?:html|head|body|title|h[1-6]|div|p|br|hr|span|a|b|i|em|strong|ul|ol|li|table|tr|td|th|pre|code|center|script|noscript|style|meta|link|form|input|button|img)\b[^<>\x00]*>"
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|\x00|[\r\n]+|(?<=[.!?])\s+|" + _TAG + "|" + _SLOT)
+_WORD, _END, _NEXT, _SKIP, _HOLE = range(5)
+#: Wordings of errors, script notices and fillers in common use.
+TRUSTED = """
+not found|be displayed|be found|be loaded|access denied|server error|bad gateway|service unavailable|temporarily unavailable|is unavailable|gateway timeout|too many requests|has expired|session expired|timed out|went wrong|failed to load|try again later|have permission|no longer exists|sign in to
+introuvable|accès refusé|erreur interne|pas disponible|service indisponible|a expiré|existe pas|existe plus|réessayez
+nicht gefunden|zugriff verweigert|interner serverfehler|nicht verfügbar|nicht erreichbar|ist abgelaufen|existiert nicht|erneut versuchen
+no encontrada|no encontrado|se encontró|acceso denegado|error interno|no disponible|está disponible|ha caducado|ha expirado|no existe|inténtelo
+enable javascript|turn on javascript|support javascript|support scripts|requires javascript|needs javascript|needs scripts|javascript disabled|javascript required|scripts disabled|javascript is disabled|javascript is required|javascript must be|activer javascript|activez javascript|besoin de javascript|javascript désactivé|javascript est désactivé|javascript est nécessaire
+javascript aktivieren|sie javascript|javascript deaktiviert|javascript erforderlich|javascript wird blockiert|ohne javascript|ohne skripte|active javascript|activar javascript|habilite javascript|necesita javascript|javascript desactivado|javascript necesario|necesita scripts
+lorem ipsum|dolor sit|sample text|dummy text|dummy content|placeholder text|filler text|text goes here|headline goes here|title goes here|content goes here|replace this text|replace this paragraph
+texte d exemple|faux texte|contenu provisoire|blindtext|platzhaltertext|beispieltext|texto de ejemplo|texto de relleno|contenido provisional|texto provisional|contenido definitivo
+""".strip().replace("\n", "|").split("|")
+#: Words that may stand beside a status code.
+STATUS_WORDS = {"http", "error", "status", "code", "erreur", "fehler", "código", "estado"}
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text)
+
+
+_ZERO, _SLOT_CODE = _hash("0"), _hash("§")
+
+
+class Vocabulary(dict):
+    """Numbers for tokens, with their kinds and codes in arrays."""
+
+    def __init__(self):
+        super().__init__()
+        self.kinds, self.codes, self.inner = [], [], []
+
+    def __missing__(self, token: str) -> int:
+        first, inner, n = token[0], 0, len(self.kinds)
+        if first == "\x00":
+            kind, code = _END, 0
+        elif first in "\r\n" or token.isspace():
+            kind, code = _NEXT, 0
+        elif first.isdigit():
+            kind, code = _WORD, _hash(first + "##") if len(token) == 3 and first in "45" else _ZERO
+        elif first.isalpha() and (len(token) < 4 or len(set(token)) > 1):
+            kind, code = _WORD, _hash(token)
+        elif re.fullmatch(_TAG, token):
+            kind, code = _SKIP, 0
+        else:
+            words = re.findall(r"[^\W\d_]+", token)
+            kind, code, inner = _HOLE, _hash("slot:" + re.sub(r"[^\W_]+", "a", token)[:6]), _hash("in:" + " ".join(words))
+        self.kinds.append(kind)
+        self.codes.append(code)
+        self.inner.append(inner)
+        self[token] = n
+        return n
+
+
+def mixed(*parts) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        out = np.uint64(0)
+        for p in parts:
+            out = (out ^ p) * _MIX
+            out = out ^ (out >> np.uint64(29))
+    return out
+
+
+_SINGLE = np.array([_hash(w) for w in (p for p in TRUSTED if " " not in p)], np.uint64)
+_PAIRS = mixed(*np.array([[_hash(w) for w in p.split()] for p in TRUSTED if p.count(" ") == 1], np.uint64).T)
+_TRIPLES = mixed(*np.array([[_hash(w) for w in p.split()] for p in TRUSTED if p.count(" ") == 2], np.uint64).T)
+_STATUS_CODES = np.array([_hash("4##"), _hash("5##")], np.uint64)
+_STATUS = np.array([*map(_hash, STATUS_WORDS)], np.uint64)
+_LATIN = mixed(*np.array([[_hash(w) for w in p.split()] for p in ("lorem ipsum", "dolor sit")], np.uint64).T)
+
+
+def read(texts: list[str], known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The passages (sentences and lines) of the texts: of each its text's number, whether it is trusted, whether
+    it has slots, and how many features; and the features of all of them in a row.
+
+    Words are taken in lower case, numbers as one but for status codes. A passage with slots has features of its
+    own for words and pairs; a slot counts by its signs and by what stands in it."""
+    tokens = _TOKEN.findall("\n\x00\n".join(t.replace("\x00", " ") for t in texts).lower())
+    ids = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+    kinds, codes, inner = (np.array(x, t)[ids] if len(ids) else np.empty(0, t) for x, t in ((known.kinds, np.int8), (known.codes, np.uint64), (known.inner, np.uint64)))
+    text_no, cut = np.cumsum(kinds == _END), np.cumsum((kinds == _END) | (kinds == _NEXT))
+    tagged = np.zeros(cut[-1] + 1 if len(cut) else 0, bool)
+    tagged[cut[kinds == _SKIP]] = True
+    held = (kinds == _WORD) | (kinds == _HOLE)
+    kinds, codes, inner, text_no, cut = kinds[held], codes[held], inner[held], text_no[held], cut[held]
+    starts = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]]) if len(cut) else np.empty(0, np.int64)
+    n = len(starts)
+    passage = np.repeat(np.arange(n), np.diff(np.r_[starts, len(cut)]))
+    tagged, ends = tagged[cut[starts]] if n else np.empty(0, bool), np.r_[starts[1:], len(cut)] - 1 if n else starts
+    is_hole = kinds == _HOLE
+    holes = np.bincount(passage[is_hole], minlength=n)
+    slotted, words = holes > 0, np.bincount(passage, minlength=n)
+    plain = np.where(is_hole, np.uint64(_SLOT_CODE), codes)
+    together = passage[1:] == passage[:-1]
+    pairs, at_pair = mixed(plain[:-1], plain[1:])[together], passage[1:][together]
+    three = together[1:] & together[:-1]
+    triples = mixed(plain[:-2], plain[1:-1], plain[2:])[three] if len(plain) > 2 else np.empty(0, np.uint64)
+    # trusted passages
+    worded = np.zeros(n, bool)
+    worded[passage[np.isin(plain, _SINGLE)]] = True
+    worded[at_pair[np.isin(pairs, _PAIRS)]] = True
+    worded[passage[2:][three][np.isin(triples, _TRIPLES)]] = True
+    same = (plain[1:] == plain[:-1])[together] & (plain[1:][together] != np.uint64(_ZERO)) & (plain[1:][together] != np.uint64(_SLOT_CODE))
+    repeats = np.bincount(at_pair[same], minlength=n)
+    status, beside = np.isin(plain, _STATUS_CODES), np.isin(plain, _STATUS)
+    bare_status = (np.bincount(passage[status], minlength=n) == 1) & (np.bincount(passage[status | beside], minlength=n) == words)
+    opens = np.zeros(n, bool)
+    opens[at_pair[np.isin(pairs, _LATIN) & (np.flatnonzero(together) == starts[at_pair])]] = True
+    trusted = (holes >= 2) | ((words <= MOST_WORDS) & (worded | (repeats >= 2))) | bare_status | opens
+    # features
+    space = np.where(slotted, np.uint64(_SLOT_CODE), np.uint64(0))
+    feats = [mixed(space[passage], plain)[~is_hole | ~slotted[passage]], mixed(space[at_pair], pairs), codes[is_hole], inner[is_hole]]
+    at = [passage[~is_hole | ~slotted[passage]], at_pair, passage[is_hole], passage[is_hole]]
+    free = ~slotted
+    feats += [mixed(np.uint64(11), plain[starts])[free], mixed(np.uint64(13), plain[ends])[free]]
+    at += [np.flatnonzero(free)] * 2
+    for mark, number in ((free & (words <= 4), 17), (free & tagged, 19)):
+        feats.append(np.full(mark.sum(), mixed(np.uint64(number)), np.uint64))
+        at.append(np.flatnonzero(mark))
+    keys = np.unique((np.concatenate(at).astype(np.int64) << BUCKET_BITS) | (np.concatenate(feats) & np.uint64(BUCKETS - 1)).astype(np.int64))
+    return text_no[starts], trusted, slotted, np.bincount(keys >> BUCKET_BITS, minlength=n), (keys & (BUCKETS - 1)).astype(np.int32)
+
+
+_ROWS = pa.schema([("doc_id", pa.int64()), ("trusted", pa.list_(pa.bool_())), ("slotted", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))])
+_ROWS_DDL = "doc_id long, trusted array<boolean>, slotted array<boolean>, sizes array<int>, features array<int>"
+
+
+def _lists(values: np.ndarray, per_row: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_row)], pa.int32()), pa.array(values, kind))
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Vocabulary()
+    for batch in batches:
+        texts, docs = batch.column("text").to_pylist(), batch.column("doc_id")
+        at = 0
+        while at < len(texts):
+            end, held = at + 1, len(texts[at])
+            while end < len(texts) and held + len(texts[end]) <= CHARACTERS:
+                held += len(texts[end])
+                end += 1
+            if len(known) > 1_000_000:
+                known = Vocabulary()
+            text_no, trusted, slotted, sizes, flat = read(texts[at:end], known)
+            per_text = np.bincount(text_no, minlength=end - at)
+            per_row = np.bincount(text_no, sizes, minlength=end - at).astype(np.int64)
+            yield pa.record_batch([docs.slice(at, end - at), _lists(trusted, per_text, pa.bool_()), _lists(slotted, per_text, pa.bool_()), _lists(sizes.astype(np.int32), per_text, pa.int32()), _lists(flat, per_row, pa.int32())], schema=_ROWS)
+            at = end
+
+
+class Model:
+    """Log ratio of each feature bucket between residue and content, and the log odds of a passage without and with slots."""
+
+    def __init__(self, ratio: np.ndarray, odds: np.ndarray):
+        self.ratio, self.odds = ratio.astype(np.float32), odds
+
+    @classmethod
+    def of(cls, counts: np.ndarray, slotted: np.ndarray, passages: np.ndarray) -> Model:
+        """From expected counts by class and bucket, which buckets belong to passages with slots, and numbers of
+        passages by class and kind. Pseudo-counts follow the sizes of the classes, so a rare feature tells little."""
+        n = passages + 1e-9
+        share = n / n.sum(axis=0)
+        ratio = np.log((counts[0] + SMOOTHING * share[0][slotted]) / n[0][slotted]) - np.log((counts[1] + SMOOTHING * share[1][slotted]) / n[1][slotted])
+        return cls(np.where(counts.sum(axis=0) < LEAST_COUNT, 0, np.clip(ratio, -MOST_RATIO, MOST_RATIO)), np.log(n[0] / n[1]))
+
+    def posterior(self, slotted: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(sizes)
+        sums = np.r_[0.0, np.cumsum(self.ratio[flat], dtype=np.float64)]
+        score = self.odds[slotted.astype(np.int64)] + sums[ends] - sums[ends - sizes]
+        return 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    trusted, slotted, sizes, flat = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("trusted", "slotted", "sizes", "features"))
+    return trusted.astype(bool), slotted.astype(bool), sizes.astype(np.int64), flat
+
+
+_TALLY = "bucket int, residue double, content double, slotted boolean"
+
+
+def _tally(model: Model | None):
+    """Expected counts of each feature bucket in both classes over one task's passages; the buckets -1 and -2 have
+    the numbers of passages without and with slots. A trusted passage counts as residue."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, passages, kind = np.zeros((2, BUCKETS)), np.zeros((2, 2)), np.zeros(BUCKETS, bool)
+        for batch in batches:
+            trusted, slotted, sizes, flat = _flat(batch)
+            p = trusted.astype(float) if model is None else np.where(trusted, 1.0, model.posterior(slotted, sizes, flat))
+            weight, s = np.repeat(p, sizes), slotted.astype(np.int64)
+            counts += [np.bincount(flat, weight, BUCKETS), np.bincount(flat, 1 - weight, BUCKETS)]
+            passages += [np.bincount(s, p, 2), np.bincount(s, 1 - p, 2)]
+            kind[flat[np.repeat(slotted, sizes)]] = True
+        used = np.flatnonzero(counts.any(axis=0))
+        rows = {"bucket": np.r_[-1, -2, used].astype(np.int32), "residue": np.r_[passages[0], counts[0][used]], "content": np.r_[passages[1], counts[1][used]], "slotted": np.r_[False, True, kind[used]]}
+        yield pa.RecordBatch.from_pydict(rows)
+
+    return tally
+
+
+def fit(rows: DataFrame, most_rounds: int = MOST_ROUNDS) -> Model | None:
+    """Expectation–maximization over all passages, until the expected number of residue passages settles. The driver
+    sees one row per feature bucket, no passages. None if nothing is trusted, as nothing can be learned then."""
+    model, before = None, 0.0
+    for _ in range(most_rounds):
+        sums = rows.mapInArrow(_tally(model), _TALLY).groupBy("bucket").agg(F.sum("residue").alias("residue"), F.sum("content").alias("content"), F.bool_or("slotted").alias("slotted")).toPandas()
+        bucket, both = sums["bucket"].to_numpy(), sums[["residue", "content"]].to_numpy().T
+        passages = np.stack([both[:, bucket == -1].sum(axis=1), both[:, bucket == -2].sum(axis=1)], axis=1)
+        residue = passages[0].sum()
+        if not residue or not passages[1].sum():
             return None
-        n1, n0 = float(totals["residue"].iloc[0]), float(totals["content"].iloc[0])
-        both = sums[sums["bucket"] >= 0]
-        ratio = np.zeros(BUCKETS)
-        told = both[both["residue"] + both["content"] >= LEAST_COUNT]
-        ratio[told["bucket"]] = np.log((told["residue"] + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((told["content"] + SMOOTHING) / (n0 + 2 * SMOOTHING))
-        model = (ratio, float(np.log(n1 / n0)))
+        counts, slotted, real = np.zeros((2, BUCKETS)), np.zeros(BUCKETS, np.int64), bucket >= 0
+        counts[:, bucket[real]], slotted[bucket[real]] = both[:, real], sums["slotted"].to_numpy()[real]
+        model = Model.of(counts, slotted, passages)
+        if abs(residue - before) < SETTLED * residue:
+            break
+        before = residue
     return model
 
 
-def _scores(model: tuple[np.ndarray, float] | None):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            out = frame[["doc_id", "passage", "trusted", "about"]].copy()
-            out["posterior"] = _posterior(model, *_flat(frame))
-            yield out
+_SCORES = "doc_id long, n_passages long, n_trusted long, n_residue long, miss double"
+
+
+def _scores(model: Model | None, least_posterior: float):
+    """Per document its passages, how many are residue, and the log of the chance that none is."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trusted, slotted, sizes, flat = _flat(batch)
+            p = model.posterior(slotted, sizes, flat) if model else np.zeros(len(sizes))
+            n = batch.column("sizes").value_lengths().to_numpy()
+            owner = np.repeat(np.arange(len(n)), n)
+            add = lambda x: np.bincount(owner, x, len(n))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_passages": n.astype(np.int64), "n_trusted": add(trusted).astype(np.int64), "n_residue": add(p >= least_posterior).astype(np.int64), "miss": add(np.log1p(-np.minimum(p, 1 - 1e-12)))})
 
     return score
 
 
-def passage_scores(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, passage, trusted, about, posterior`` for every passage of every text. Null ids and texts are
-    left out; an empty text has no passages."""
+def passage_rows(documents: DataFrame) -> DataFrame:
+    """One row per document with the features of its passages. Null ids and texts are left out; an empty text
+    has no passages."""
     docs = spread(documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = materialize(docs.mapInPandas(_passages, "doc_id long, passage int, trusted boolean, about boolean, features array<int>"), "passages")
-    model = fit(rows, rounds)
-    return rows.mapInPandas(_scores(model), "doc_id long, passage int, trusted boolean, about boolean, posterior double")
-
-
-def residue_records(documents: DataFrame, least_posterior: float = LEAST_POSTERIOR, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, n_passages, n_residue, posterior``: records with a passage accepted as residue, the greatest
-    posterior and how many passages were accepted."""
-    scored = passage_scores(documents, rounds)
-    bad = (F.col("posterior") >= least_posterior) & ~F.col("about")
-    per = scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_passages"), F.count_if(bad).alias("n_residue"), F.max(F.when(bad, F.col("posterior"))).alias("posterior"))
-    return per.where("n_residue > 0")
+    return materialize(docs.mapInArrow(_passages, _ROWS_DDL), "passages")
+
+
+def record_scores(documents: DataFrame, least_posterior: float = LEAST_POSTERIOR) -> DataFrame:
+    """``doc_id, n_passages, n_trusted, n_residue, posterior`` of every record: the posterior is that any of its
+    passages is residue. The rows of a repeated ``doc_id`` are one record."""
+    rows = passage_rows(documents)
+    scored = rows.mapInArrow(_scores(fit(rows), least_posterior), _SCORES)
+    return scored.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_passages", "n_trusted", "n_residue")), (1 - F.exp(F.sum("miss"))).alias("posterior"))
+
+
+def residue_records(documents: DataFrame, least_posterior: float = LEAST_POSTERIOR) -> DataFrame:
+    """The records of :func:`record_scores` that are residue with at least ``least_posterior``."""
+    return record_scores(documents, least_posterior).where(F.col("posterior") >= least_posterior)

@@ -251,52 +251,75 @@ TALK = [
 
 
 def test_residue(spark):
+    """Slots, errors, notices and fillers among contents; reports of such things beside them stay out."""
     rng = random.Random(6)
     docs = [(i, " ".join(rng.choices(CONTENT, k=5)), None) for i in range(200)]
-    docs += [(300 + i, b, "x") for i, b in enumerate(BAD)] + [(400 + i, rng.choice(CONTENT) + " " + b + "\n" + rng.choice(CONTENT), "x") for i, b in enumerate(BAD)]
-    docs += [(500 + i, rng.choice(CONTENT) + "\n" + t, "x") for i, t in enumerate(TALK)] + [(600, None, "x"), (601, "", "x"), (602, CONTENT[0] * 2000, "x"), (None, BAD[0], "x")]
+    docs += [(300 + i, b, "x") for i, b in enumerate(BAD * 3)] + [(400 + i, rng.choice(CONTENT) + " " + b + "\n" + rng.choice(CONTENT), "x") for i, b in enumerate(BAD * 3)]
+    docs += [(500 + i, rng.choice(CONTENT) + "\n" + t, "x") for i, t in enumerate(TALK * 5)] + [(600, None, "x"), (601, "", "x"), (602, CONTENT[0] * 2000, "x"), (603, "\x00 <b \x00", "x"), (None, BAD[0], "x")]
     df = spark.createDataFrame(docs, "doc_id long, text string, passage string")
-    assert [r[0] for r in got(residue.residue_records(df).select("doc_id"))] == [*range(300, 300 + len(BAD)), *range(400, 400 + len(BAD))]
+    assert [r[0] for r in got(residue.residue_records(df).select("doc_id"))] == [*range(300, 300 + 3 * len(BAD)), *range(400, 400 + 3 * len(BAD))]
     assert got(residue.residue_records(df.limit(0))) == []
     assert got(residue.residue_records(df.where("doc_id < 200"))) == []
 
 
 def test_residue_is_learned_from_company(spark):
-    """A wording that no pattern knows is learned from words that it shares with trusted passages."""
-    known, unknown = "Access denied.", "Denied access denied."
-    docs = [(i, CONTENT[i % 5]) for i in range(100)] + [(200 + i, known) for i in range(20)] + [(300 + i, unknown) for i in range(4)]
-    assert not residue.trusted(unknown)
-    found = {r.doc_id for r in residue.residue_records(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert found >= {*range(200, 220), *range(300, 304)} and not found & set(range(100))
+    """A wording that isn't trusted is learned from words that it shares with trusted passages, and one slot alone
+    from the sentence around it."""
+    docs = [(i, CONTENT[i % 5]) for i in range(100)] + [(200 + i, "Access denied.") for i in range(20)] + [(300 + i, "Denied.") for i in range(4)]
+    rng = random.Random(3)
+    value = lambda n: rng.choice("Rome Oslo Bern Riga Kyiv Lyon Graz Turin Porto Delft".split()) + n
+    fill = lambda i: "{} moved to {} with the {} people last week.".format(*(f"{{{{{n}}}}}" if i >> k & 1 else value(n) for k, n in enumerate(("name", "city", "firm"))))
+    docs += [(400 + i, fill(i % 8)) for i in range(80)]
+    found = {r.doc_id: r.n_trusted for r in residue.residue_records(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {*range(200, 220), *range(300, 304)} <= set(found) <= {*range(200, 220), *range(300, 304), *(400 + i for i in range(80) if i % 8)}
+    assert found[300] == 0 and any(found.get(400 + i) == 0 for i in range(80) if i % 8 in (1, 2, 4))
 
 
-def test_pattern_triggers_lose_nothing():
-    finder = residue._finder()
-    for p in [*BAD, *TALK, *CONTENT, "Référence fdde7e.", "Wurde nicht gefunden.", "TODO: write", "JS is disabled in your browser."]:
-        may = residue.families(p, finder)
-        assert residue.trusted(p, may) == residue.trusted(p) and residue.about(p, may) == residue.about(p)
+def passages(text):
+    no, trusted, slotted, sizes, flat = residue.read([text], residue.Vocabulary())
+    return list(zip(trusted.tolist(), slotted.tolist(), sizes.tolist()))
 
 
-def test_nothing_else_imports_this_package():
-    from pathlib import Path
+@pytest.mark.parametrize("text", ["404", "(HTTP 503)", "Error 502.", "Lorem ipsum dolor sit amet " + "velit " * 40, "Access denied.", "asdf asdf asdf", "{{a}} wrote to {{b}} on Monday about the long list of things that were open", "Blindtext.", "Bitte aktivieren Sie JavaScript.", "<h1>404</h1>"])
+def test_trusted_passages(text):
+    assert [t for t, *_ in passages(text)] == [True]
 
-    root = Path(residue.__file__).resolve().parent.parent
-    for path in root.rglob("*.py"):
-        if "llm" not in path.parts:
-            assert "llm" not in re.findall(r"^\s*(?:from|import)\s+([\w.]+)", path.read_text(), re.M).__repr__()
+
+@pytest.mark.parametrize("text", ["404 apples were sold on the market.", "0 0 0 0", "1 2 3", "The prompt file holds {{user_name}} and the loader fills it.", "We banned lorem ipsum from the demo decks because Ann took it for a quotation.", "[P=0.9, surprise 3.0]", ""])
+def test_untrusted_passages(text):
+    assert not any(t for t, *_ in passages(text))
+
+
+def test_texts_read_together_read_alike():
+    texts = [*BAD, *TALK, *CONTENT, "", "<b open", "{{ open", "\x00", "a\r\n\nb. c! d", "X" * 50, "é" * 9, "_" * 9, "x " * 3000]
+    no, trusted, slotted, sizes, flat = residue.read(texts, residue.Vocabulary())
+    ends = sizes.cumsum()
+    for i, t in enumerate(texts):
+        one = residue.read([t], residue.Vocabulary())
+        mine = no == i
+        assert trusted[mine].tolist() == one[1].tolist() and slotted[mine].tolist() == one[2].tolist() and sizes[mine].tolist() == one[3].tolist()
+        assert [x for e, n in zip(ends[mine], sizes[mine]) for x in flat[e - n : e].tolist()] == one[4].tolist()
 
 
-def test_residue_held_out(spark):
-    """Half of the trusted records lose their mark; the model, without patterns, must find them again."""
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_residue_held_out(spark, scale):
+    """Half of the trusted records lose their mark; the model must find them again."""
     from pathlib import Path
 
-    path = Path("/root/testdata/sf0.01/documents.parquet")
+    path = Path(f"/root/testdata/{scale}/documents.parquet")
     if not path.exists():
         pytest.skip("needs the supplied tables")
-    rows = spark.read.parquet(str(path)).select("doc_id", "text").mapInPandas(residue._passages, "doc_id long, passage int, trusted boolean, about boolean, features array<int>").cache()
-    model = residue.fit(rows.withColumn("trusted", F.col("trusted") & (F.col("doc_id") % 2 == 0)))
-    scored = rows.withColumn("marked", F.col("trusted")).withColumn("trusted", F.lit(False))
-    marks = {r.doc_id for r in scored.where("marked and doc_id % 2 = 1").collect()}
-    posterior = scored.drop("marked").mapInPandas(residue._scores(model), "doc_id long, passage int, trusted boolean, about boolean, posterior double")
-    found = {r.doc_id for r in posterior.where("posterior >= 0.95 and not about and doc_id % 2 = 1").collect()}
-    assert len(found & marks) >= 0.75 * len(marks) and len(found - marks) <= 0.05 * len(marks)
+    rows = residue.passage_rows(spark.read.parquet(str(path)))
+    held = rows.withColumn("trusted", F.when(F.col("doc_id") % 2 == 0, F.col("trusted")).otherwise(F.transform("trusted", lambda _: F.lit(False))))
+    scores = rows.mapInArrow(residue._scores(residue.fit(held), 0.95), residue._SCORES).where("doc_id % 2 = 1").collect()
+    withheld = {r.doc_id for r in scores if r.n_trusted}
+    assert withheld and len({r.doc_id for r in scores if r.n_residue} & withheld) >= 0.9 * len(withheld)
+
+
+def test_nothing_else_imports_this_package():
+    from pathlib import Path
+
+    root = Path(residue.__file__).resolve().parent.parent
+    for path in root.rglob("*.py"):
+        if "llm" not in path.parts:
+            assert "llm" not in re.findall(r"^\s*(?:from|import)\s+([\w.]+)", path.read_text(), re.M).__repr__()
