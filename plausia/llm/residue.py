@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ..cluster import materialize, spread
 
-#: Features are hashed to so many buckets: the model's size, whatever the corpus.
-BUCKET_BITS = 20
+#: Features are hashed to so many buckets, half of them for passages with slots: the model's size, whatever the corpus.
+BUCKET_BITS = 19
 BUCKETS = 1 << BUCKET_BITS
 MOST_ROUNDS = 12
 #: Rounds end when the expected number of residue passages changes by less than this share.
@@ -155,16 +155,16 @@ def read(texts: list[str], known: Vocabulary) -> tuple[np.ndarray, np.ndarray, n
     opens[at_pair[np.isin(pairs, _LATIN) & (np.flatnonzero(together) == starts[at_pair])]] = True
     trusted = (holes >= 2) | ((words <= MOST_WORDS) & (worded | (repeats >= 2))) | bare_status | opens
     # features
-    space = np.where(slotted, np.uint64(_SLOT_CODE), np.uint64(0))
-    feats = [mixed(space[passage], plain)[~is_hole | ~slotted[passage]], mixed(space[at_pair], pairs), codes[is_hole], inner[is_hole]]
-    at = [passage[~is_hole | ~slotted[passage]], at_pair, passage[is_hole], passage[is_hole]]
     free = ~slotted
-    feats += [mixed(np.uint64(11), plain[starts])[free], mixed(np.uint64(13), plain[ends])[free]]
-    at += [np.flatnonzero(free)] * 2
+    feats = [plain[~(is_hole & slotted[passage])], pairs, codes[is_hole], inner[is_hole], mixed(plain[starts], np.uint64(11))[free], mixed(plain[ends], np.uint64(13))[free]]
+    at = [passage[~(is_hole & slotted[passage])], at_pair, passage[is_hole], passage[is_hole], np.flatnonzero(free), np.flatnonzero(free)]
     for mark, number in ((free & (words <= 4), 17), (free & tagged, 19)):
         feats.append(np.full(mark.sum(), mixed(np.uint64(number)), np.uint64))
         at.append(np.flatnonzero(mark))
-    keys = np.unique((np.concatenate(at).astype(np.int64) << BUCKET_BITS) | (np.concatenate(feats) & np.uint64(BUCKETS - 1)).astype(np.int64))
+    owner = np.concatenate(at).astype(np.int64)
+    bucket = (np.concatenate(feats) & np.uint64(BUCKETS // 2 - 1)).astype(np.int64) + slotted[owner] * (BUCKETS // 2)
+    keys = np.sort((owner << BUCKET_BITS) | bucket)
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys  # each feature once a passage
     return text_no[starts], trusted, slotted, np.bincount(keys >> BUCKET_BITS, minlength=n), (keys & (BUCKETS - 1)).astype(np.int32)
 
 
@@ -202,10 +202,10 @@ class Model:
         self.ratio, self.odds = ratio.astype(np.float32), odds
 
     @classmethod
-    def of(cls, counts: np.ndarray, slotted: np.ndarray, passages: np.ndarray) -> Model:
-        """From expected counts by class and bucket, which buckets belong to passages with slots, and numbers of
-        passages by class and kind. Pseudo-counts follow the sizes of the classes, so a rare feature tells little."""
-        n = passages + 1e-9
+    def of(cls, counts: np.ndarray, passages: np.ndarray) -> Model:
+        """From expected counts by class and bucket, and numbers of passages by class and kind. Pseudo-counts follow the
+        sizes of the classes, so a rare feature tells little."""
+        n, slotted = passages + 1e-9, np.repeat([0, 1], BUCKETS // 2)
         share = n / n.sum(axis=0)
         ratio = np.log((counts[0] + SMOOTHING * share[0][slotted]) / n[0][slotted]) - np.log((counts[1] + SMOOTHING * share[1][slotted]) / n[1][slotted])
         return cls(np.where(counts.sum(axis=0) < LEAST_COUNT, 0, np.clip(ratio, -MOST_RATIO, MOST_RATIO)), np.log(n[0] / n[1]))
@@ -222,7 +222,7 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return trusted.astype(bool), slotted.astype(bool), sizes.astype(np.int64), flat
 
 
-_TALLY = "bucket int, residue double, content double, slotted boolean"
+_TALLY = "bucket int, residue double, content double"
 
 
 def _tally(model: Model | None):
@@ -230,16 +230,15 @@ def _tally(model: Model | None):
     the numbers of passages without and with slots. A trusted passage counts as residue."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, passages, kind = np.zeros((2, BUCKETS)), np.zeros((2, 2)), np.zeros(BUCKETS, bool)
+        counts, passages = np.zeros((2, BUCKETS)), np.zeros((2, 2))
         for batch in batches:
             trusted, slotted, sizes, flat = _flat(batch)
             p = trusted.astype(float) if model is None else np.where(trusted, 1.0, model.posterior(slotted, sizes, flat))
             weight, s = np.repeat(p, sizes), slotted.astype(np.int64)
             counts += [np.bincount(flat, weight, BUCKETS), np.bincount(flat, 1 - weight, BUCKETS)]
             passages += [np.bincount(s, p, 2), np.bincount(s, 1 - p, 2)]
-            kind[flat[np.repeat(slotted, sizes)]] = True
         used = np.flatnonzero(counts.any(axis=0))
-        rows = {"bucket": np.r_[-1, -2, used].astype(np.int32), "residue": np.r_[passages[0], counts[0][used]], "content": np.r_[passages[1], counts[1][used]], "slotted": np.r_[False, True, kind[used]]}
+        rows = {"bucket": np.r_[-1, -2, used].astype(np.int32), "residue": np.r_[passages[0], counts[0][used]], "content": np.r_[passages[1], counts[1][used]]}
         yield pa.RecordBatch.from_pydict(rows)
 
     return tally
@@ -250,15 +249,15 @@ def fit(rows: DataFrame, most_rounds: int = MOST_ROUNDS) -> Model | None:
     sees one row per feature bucket, no passages. None if nothing is trusted, as nothing can be learned then."""
     model, before = None, 0.0
     for _ in range(most_rounds):
-        sums = rows.mapInArrow(_tally(model), _TALLY).groupBy("bucket").agg(F.sum("residue").alias("residue"), F.sum("content").alias("content"), F.bool_or("slotted").alias("slotted")).toPandas()
+        sums = rows.mapInArrow(_tally(model), _TALLY).groupBy("bucket").agg(F.sum("residue").alias("residue"), F.sum("content").alias("content")).toPandas()
         bucket, both = sums["bucket"].to_numpy(), sums[["residue", "content"]].to_numpy().T
         passages = np.stack([both[:, bucket == -1].sum(axis=1), both[:, bucket == -2].sum(axis=1)], axis=1)
         residue = passages[0].sum()
         if not residue or not passages[1].sum():
             return None
-        counts, slotted, real = np.zeros((2, BUCKETS)), np.zeros(BUCKETS, np.int64), bucket >= 0
-        counts[:, bucket[real]], slotted[bucket[real]] = both[:, real], sums["slotted"].to_numpy()[real]
-        model = Model.of(counts, slotted, passages)
+        counts = np.zeros((2, BUCKETS))
+        counts[:, bucket[bucket >= 0]] = both[:, bucket >= 0]
+        model = Model.of(counts, passages)
         if abs(residue - before) < SETTLED * residue:
             break
         before = residue
