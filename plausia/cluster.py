@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,14 +16,18 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    ``spark.checkpoint.dir`` of the session, as the cluster names it. Where it is unset (tests on one
-    machine) a temporary folder is made and set as the checkpoint directory.
+    ``spark.checkpoint.dir`` of the session, as the cluster names it. Where it is unset and the master is local
+    (tests on one machine) a temporary folder is made and set as the checkpoint directory; elsewhere that is
+    an error, as executors could not read what others write.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.conf.get("plausia.shared.dir", None)
     if not own:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         own = "file://" + tempfile.mkdtemp(prefix="plausia-")
         spark.conf.set("plausia.shared.dir", own)
         spark.sparkContext.setCheckpointDir(own)
@@ -84,11 +89,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def is_small(df: DataFrame, most_rows: int) -> bool:
-    """Whether ``df`` has at most ``most_rows`` rows, reading no more than that many and one."""
-    return df.limit(most_rows + 1).count() <= most_rows
+#: A broadcast side takes at most so many bytes, written as JSON.
+MOST_BYTES = 32_000_000
+
+
+def is_small(df: DataFrame, most_rows: int, most_bytes: int = MOST_BYTES) -> bool:
+    """Whether ``df`` has at most ``most_rows`` rows of ``most_bytes`` in all, reading no more than that many and one."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+    n, held = df.limit(most_rows + 1).agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return n <= most_rows and held <= most_bytes
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """Hints a broadcast only after the size has been checked; otherwise the join shuffles."""
+    """Hints a broadcast only after rows and bytes have been checked; otherwise the join shuffles."""
     return F.broadcast(df) if is_small(df, most_rows) else df

@@ -6,14 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that retrieval leaves out, and the shorter list of question routing.
-QUESTION_STOPWORDS = (
-    "the a an is are was were of in on at to for and or but did does do what when where who why how which would could should be been being has have had with from about into than then their his her its they them he she i my me you your"
-).split()
-STOPWORDS = QUESTION_STOPWORDS + "we us our this that it so if not no by as just can will also very really like more some know think feel want need going get got".split()
+QUESTION_STOPWORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "of", "in", "on", "at", "to", "for", "and", "or", "but", "did", "does", "do", "what", "when", "where", "who", "why", "how", "which",
+    "would", "could", "should", "been", "being", "has", "have", "had", "with", "from", "about", "into", "than", "then", "their", "his", "her", "its", "they", "them", "he", "she", "i", "my", "me", "you",
+    "your",
+]
+STOPWORDS = [
+    *QUESTION_STOPWORDS,
+    "we", "us", "our", "this", "that", "it", "so", "if", "not", "no", "by", "as", "just", "can", "will", "also", "very", "really", "like", "more", "some", "know", "think", "feel", "want", "need",
+    "going", "get", "got",
+]
 #: Suffixes cut by the stemmers, tried in this order.
 SUFFIXES = ["ing", "tion", "ness", "ment", "ed", "er", "es", "ly", "s"]
 QUESTION_SUFFIXES = ["ing", "ed", "es", "s"]
-ENTITY_STOPWORDS = "the a an is are was were of in on at to for and or but speaker unknown".split()
+ENTITY_STOPWORDS = ["the", "a", "an", "is", "are", "was", "were", "of", "in", "on", "at", "to", "for", "and", "or", "but", "speaker", "unknown"]
 
 
 def squeezed(c: Column) -> Column:

@@ -18,7 +18,10 @@ GENERIC_TARGETS = [
     "grandma", "grandmother", "grandpa", "grandfather", "mentor", "mentors", "teacher", "teachers", "colleague", "colleagues", "roommate", "roommates", "neighbor", "neighbors", "classmate", "classmates",
     "puppy", "pup", "dog", "cat", "kitty", "pet", "pets", "rescue dog", "church friends", "friends from church",
 ]
-MARKERS = "awesome great supportive important everything love reason thing things worth helpful amazing special cool nice fun work activity activities making enjoying".split()
+MARKERS = [
+    "awesome", "great", "supportive", "important", "everything", "love", "reason", "thing", "things", "worth", "helpful", "amazing", "special", "cool",
+    "nice", "fun", "work", "activity", "activities", "making", "enjoying",
+]
 
 
 def valid_target(target: Column) -> Column:

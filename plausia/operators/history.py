@@ -1,7 +1,8 @@
 """History of changing attributes: the periods in which each believed value held.
 
 Late or corrected changes rebuild the *affected chains* only: the raw changes of the touched entities are
-read, all their intervals are built anew, and the new chains take the place of the old ones in one step.
+read, all their intervals are built anew, and the new chains take the place of the old ones in one step, the writing
+of a list of what counts.
 
 Building is a sort by (entity, valid time, sequence) into ranges and one pass over each range, so an entity
 with a third of all rows spreads over many tasks; what crosses the border of a range is mended from one or
@@ -35,11 +36,12 @@ def raw_changes(deltas: DataFrame) -> DataFrame:
     """The belief changes in a delta log: first deliveries that have a dimension and a top value.
 
     Rows with a null ``dimension_id``, a null or empty posterior or one of ``unknown`` alone, or neither a
-    valid time nor a ``ts`` are no changes.
+    valid time nor a ``ts`` are no changes. A null ``seq`` counts as 0.
     """
     at = F.coalesce(valid_seconds(F.col("valid_time")), F.col("ts"))
     first = first_deliveries(deltas, "dimension_id", at.alias("valid_from"), top_value(F.col("posterior")).alias("top"))
-    return first.where("dimension_id is not null and valid_from is not null and top is not null").select("dimension_id", F.col("id").alias("delta_id"), "valid_from", "seq", comparable(F.col("top")).alias("value"))
+    held = first.where("dimension_id is not null and valid_from is not null and top is not null")
+    return held.select("dimension_id", F.col("id").alias("delta_id"), "valid_from", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), comparable(F.col("top")).alias("value"))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,87 +110,121 @@ def _mend(summary: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([{k: r[k] for k in names} for r in out], schema=pa.schema([_SCHEMA.field(k) for k in names]))
 
 
-def build_chains(changes: DataFrame) -> DataFrame:
+def build_chains(changes: DataFrame, path: str | None = None) -> DataFrame:
     """The versions of every entity in ``changes``: a change opens one if it is the entity's first or its
-    value differs from the change before; a version ends where the next starts, the last one is open."""
-    n = shuffle_partitions(changes.sparkSession)
-    order = ["dimension_id", "valid_from", "seq"]
-    ranges = changes.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    scanned = materialize(ranges.mapInArrow(_scan, _SCANNED), "versions")
+    value differs from the change before; a version ends where the next starts, the last one is open. Of changes
+    alike in entity, time and sequence the order is by ``delta_id``. They are written to ``path``."""
+    spark = changes.sparkSession
+    path = path or fresh_path(spark, "chains")
+    order = ["dimension_id", "valid_from", "seq", "delta_id"]
+    ranges = changes.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    ranges.mapInArrow(_scan, _SCANNED).write.parquet(f"{path}/scanned")
+    summary = spark.read.schema(_SCANNED).parquet(f"{path}/scanned").where("kind <> 'done'")
+    summary.groupBy(F.lit(0).alias("all")).applyInArrow(_mend, CHAINS).write.parquet(f"{path}/mended")
+    return read_chains(spark, path)
+
+
+def read_chains(spark: SparkSession, path: str) -> DataFrame:
     columns = [c.split(" ")[0] for c in CHAINS.split(", ")]
-    summary = scanned.where("kind <> 'done'")
-    mended = summary.groupBy(F.lit(0).alias("all")).applyInArrow(_mend, CHAINS)
-    return scanned.where("kind = 'done'").select(*columns).unionAll(mended.select(*columns))
-
-
-def correct_chains(chains: DataFrame, raw: DataFrame, batch: DataFrame) -> DataFrame:
-    """``chains`` after ``batch`` has been added to ``raw``: only the chains of entities that the batch
-    touches are rebuilt, from all their raw changes; the others pass through as they are."""
-    touched = batch.select("dimension_id").distinct()
-    rebuilt = build_chains(raw.join(touched, "dimension_id", "left_semi"))
-    return chains.join(touched, "dimension_id", "left_anti").unionAll(rebuilt)
+    scanned = spark.read.schema(_SCANNED).parquet(f"{path}/scanned").where("kind = 'done'").select(*columns)
+    return scanned.unionAll(spark.read.schema(CHAINS).parquet(f"{path}/mended"))
 
 
 class HistoryStore:
-    """Raw changes and version chains in a folder, both split into buckets of entities.
+    """Raw changes and version chains in a folder, as a row of batches.
 
-    A batch rewrites the chains of the buckets it touches as a new version, then writes the list of bucket
-    versions, which counts once it is complete. Readers follow the last complete list, so they see all of a
-    batch or none; a job that fails before leaves nothing that anyone reads. One writer at a time.
+    A batch writes its raw changes, the entities that it touches and their rebuilt chains into a folder of its own;
+    the chains of these entities in earlier batches are void from then on, those of others stay as they are. The
+    batch counts once the list of live batches has been written: readers follow the last complete list, so they see
+    all of a batch or none, and a job that fails before leaves nothing that anyone reads. :meth:`compact` writes
+    what is live as one batch. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path or fresh_path(spark, "history"), buckets
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or fresh_path(spark, "history")
+
+    def _hadoop(self, name: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _bucket(self):
-        return F.pmod(F.xxhash64("dimension_id"), F.lit(self.buckets)).cast("int").alias("bucket")
+    def _names(self, folder: str) -> list[str]:
+        where, fs = self._hadoop(folder)
+        return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
-    def _fs(self):
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _exists(self, name: str) -> bool:
+        where, fs = self._hadoop(name)
+        return fs.exists(where)
 
-    def _hadoop(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    def _lists(self) -> list[int]:
+        return sorted(int(n[1:]) for n in self._names("lists") if self._exists(f"lists/{n}/_SUCCESS"))
 
-    def _commits(self) -> list[int]:
-        """Numbers of the complete lists of bucket versions."""
-        if not self._fs().exists(self._hadoop("state")):
+    def batches(self) -> list[int]:
+        """The live batches, oldest first."""
+        lists = self._lists()
+        if not lists:
             return []
-        names = [s.getPath().getName() for s in self._fs().listStatus(self._hadoop("state"))]
-        return sorted(int(n[1:]) for n in names if self._fs().exists(self._hadoop(f"state/{n}/_SUCCESS")))
-
-    def _versions(self) -> dict[int, int]:
-        commits = self._commits()
-        if not commits:
-            return {}
-        return {r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version int").json(f"{self.path}/state/v{commits[-1]}").collect()}
-
-    def raw(self, buckets: list[int] | None = None) -> DataFrame:
-        if not self._fs().exists(self._hadoop("raw")):
-            return self.spark.createDataFrame([], CHANGES + ", bucket int")
-        df = self.spark.read.schema(CHANGES + ", bucket int").parquet(f"{self.path}/raw")
-        return df if buckets is None else df.where(F.col("bucket").isin(buckets))
-
-    def chains(self, buckets: list[int] | None = None) -> DataFrame:
-        live = {b: v for b, v in self._versions().items() if buckets is None or b in buckets}
-        paths = [f"{self.path}/chains/version={v}/bucket={b}" for b, v in live.items() if self._fs().exists(self._hadoop(f"chains/version={v}/bucket={b}"))]
-        return self.spark.read.schema(CHAINS).parquet(*paths) if paths else self.spark.createDataFrame([], CHAINS)
-
-    def apply(self, batch: DataFrame) -> list[int]:
-        """Adds a batch of raw changes (:func:`raw_changes` gives them) and returns the buckets rewritten.
-
-        A ``delta_id`` already held is a repeat and adds nothing, so a batch that failed can be applied again.
+        return sorted(r["batch"] for r in self.spark.read.schema("batch int").json(f"{self.path}/lists/v{lists[-1]}").collect())
+
+    def _commit(self, batches: list[int]) -> None:
+        number = 1 + max(self._lists(), default=0)
+        self.spark.createDataFrame([(b,) for b in batches], "batch int").coalesce(1).write.mode("overwrite").json(f"{self.path}/lists/v{number}")
+
+    def _read(self, name: str, schema: str, batches: list[int]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/b{b}/{name}" for b in batches)) if batches else self.spark.createDataFrame([], schema)
+
+    def raw(self) -> DataFrame:
+        return self._read("raw", CHANGES, self.batches())
+
+    def chains(self) -> DataFrame:
+        """The versions of all entities, those of an entity from the last batch that touched it."""
+        live = self.batches()
+        out = self.spark.createDataFrame([], CHAINS)
+        for i, b in enumerate(live):
+            held = read_chains(self.spark, f"{self.path}/b{b}/chains")
+            if later := live[i + 1 :]:
+                held = held.join(self._read("touched", "dimension_id string", later).distinct(), "dimension_id", "left_anti")
+            out = held if i == 0 else out.unionAll(held)
+        return out
+
+    def apply(self, batch: DataFrame) -> None:
+        """Adds a batch of raw changes (:func:`raw_changes` gives them): the raw changes of the entities that it
+        touches, no others, are read and all their versions built anew.
+
+        A ``delta_id`` already held for the entity is a repeat and adds nothing, so a batch can be applied again.
         """
-        batch = batch.withColumn("bucket", self._bucket())
-        touched = sorted(r["bucket"] for r in batch.select("bucket").distinct().collect())
-        new = materialize(batch.join(self.raw(touched).select("bucket", "delta_id"), ["bucket", "delta_id"], "left_anti"), "batch")
-        new.select("dimension_id", "delta_id", "valid_from", "seq", "value", "bucket").write.partitionBy("bucket").mode("append").parquet(f"{self.path}/raw")
-        rebuilt = correct_chains(self.chains(touched), self.raw(touched).drop("bucket"), batch)
-        version = 1 + max(self._commits(), default=0)
-        rebuilt.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/chains/version={version}")
-        state = self._versions() | {b: version for b in touched}
-        self.spark.createDataFrame(sorted(state.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").json(f"{self.path}/state/v{version}")
-        return touched
+        live = self.batches()
+        number = 1 + max([*live, *(int(n[1:]) for n in self._names("") if n[:1] == "b")], default=0)
+        at = f"{self.path}/b{number}"
+        batch = batch.select(*(c.split(" ")[0] for c in CHANGES.split(", ")))
+        if not live:
+            batch.write.parquet(f"{at}/raw")
+            changes = self._read("raw", CHANGES, [number])
+            changes.select("dimension_id").distinct().write.parquet(f"{at}/touched")
+        else:
+            batch.select("dimension_id").distinct().write.parquet(f"{at}/touched")
+            touched = self._read("touched", "dimension_id string", [number])
+            old = materialize(self._read("raw", CHANGES, live).join(touched, "dimension_id", "left_semi"), "touched_raw")
+            batch.join(old.select("dimension_id", "delta_id"), ["dimension_id", "delta_id"], "left_anti").write.parquet(f"{at}/raw")
+            changes = old.unionAll(self._read("raw", CHANGES, [number]))
+        build_chains(changes, f"{at}/chains")
+        self._commit([*live, number])
+
+    def compact(self) -> None:
+        """Writes the live batches as one and removes the folders of all that went before."""
+        live = self.batches()
+        if len(live) > 1:
+            number = 1 + max(live)
+            at = f"{self.path}/b{number}"
+            self.raw().write.parquet(f"{at}/raw")
+            self.raw().select("dimension_id").distinct().write.parquet(f"{at}/touched")
+            self.chains().select("*", F.lit("done").alias("kind"), F.lit(0).alias("range_no")).write.parquet(f"{at}/chains/scanned")
+            self.spark.createDataFrame([], CHAINS).write.parquet(f"{at}/chains/mended")
+            self._commit([number])
+        for name in self._names(""):
+            if name[:1] == "b" and int(name[1:]) not in self.batches():
+                remove_path(self.spark, f"{self.path}/{name}")
+        for n in self._lists()[:-1]:
+            remove_path(self.spark, f"{self.path}/lists/v{n}")
 
     def drop(self) -> None:
         remove_path(self.spark, self.path)
@@ -197,11 +233,12 @@ class HistoryStore:
 def belief_history(deltas: DataFrame, *, late_share: float = 0.125) -> DataFrame:
     """``dimension_id, delta_id, value, valid_from, valid_to``: every version of every dimension.
 
-    The log is taken in two batches as it was ingested: chains are built from the first, then the last
-    ``late_share`` of the sequence corrects the chains that it touches.
+    The log goes into a :class:`HistoryStore` in two batches as it was ingested: the second, the last ``late_share`` of
+    the sequence, holds rows that came late and replaces the chains that it touches; the store is then read.
     """
     changes = materialize(raw_changes(deltas), "changes")
-    top = changes.agg(F.max("seq")).first()[0] or 0
-    cut = int(top * (1 - late_share))
-    base, late = changes.where(F.col("seq") <= cut), changes.where(F.col("seq") > cut)
-    return correct_chains(build_chains(base), changes, late)
+    cut = int((changes.agg(F.max("seq")).first()[0] or 0) * (1 - late_share))
+    store = HistoryStore(deltas.sparkSession)
+    store.apply(changes.where(F.col("seq") <= cut))
+    store.apply(changes.where(F.col("seq") > cut))
+    return store.chains()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import broadcast_if_small
 from ..functions import info
 from ..operators import beliefs as B
 from ..operators import identity, queries, trust
@@ -59,7 +60,7 @@ def q1_predict(spark: SparkSession, d: str) -> DataFrame:
     kinds = table(spark, d, "attribute_types").select("attribute")
     asked = table(spark, d, "relationship_edges").select(F.col("source_entity").alias("entity")).where("source_entity is not null").distinct()
     asked = asked.withColumn("attribute", F.explode(F.array(F.lit("employer"), F.lit("role"), F.lit("status"))))
-    return _values(queries.predict(current(spark, d), asked.join(F.broadcast(kinds), "attribute", "left_semi")), "entity", "attribute")
+    return _values(queries.predict(current(spark, d), asked.join(broadcast_if_small(kinds, 10_000), "attribute", "left_semi")), "entity", "attribute")
 
 
 def q2_top_beliefs(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +126,7 @@ def math5_decay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _joint(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, d, "customer").join(broadcast_if_small(table(spark, d, "nation"), 10_000), F.col("c_nationkey") == F.col("n_nationkey"))
     n = table(spark, d, "customer").count()
     pairs = [("nation", F.col("n_name"), "region", F.col("n_regionkey").cast("string")), ("nation", F.col("n_name"), "segment", F.col("c_mktsegment")), ("segment", F.col("c_mktsegment"), "region", F.col("n_regionkey").cast("string"))]
     cells = F.array(*(F.struct(F.lit(a).alias("dim_a"), F.lit(b).alias("dim_b"), va.alias("va"), vb.alias("vb")) for a, va, b, vb in pairs))
@@ -189,7 +190,7 @@ def prv6_poisoning(spark: SparkSession, d: str) -> DataFrame:
     key = lambda: F.format_string("%.2f/%d", "tier", "m")
     cells = _grid(spark)
     claims = trust.poison_claims(cells, key(), F.lit(trust.N_TRUSTED), F.col("m"), F.col("tier"))
-    outcomes = trust.decisions(claims).join(F.broadcast(cells.withColumn("entity", key())), "entity")
+    outcomes = trust.decisions(claims).join(broadcast_if_small(cells.withColumn("entity", key()), 10_000), "entity")
     return trust.success_rate(outcomes, ["strategy", "tier", "m"], F.col("value") == "W").withColumn("rate", F.round("rate", 3))
 
 
@@ -197,7 +198,7 @@ def prv4_laundering(spark: SparkSession, d: str) -> DataFrame:
     cells = trust.grid(spark, policy=["direct", "naive_inherit", "taint_propagate"], m=[1, 3, 10, 50])
     key = lambda: F.concat_ws("/", "policy", "m")
     claims = trust.poison_claims(cells, key(), F.lit(trust.N_TRUSTED), F.col("m"), trust.laundered(F.col("policy")))
-    top = queries.top_beliefs(B.beliefs(claims)).join(F.broadcast(cells.withColumn("entity", key())), "entity")
+    top = queries.top_beliefs(B.beliefs(claims)).join(broadcast_if_small(cells.withColumn("entity", key()), 10_000), "entity")
     return trust.success_rate(top, ["policy", "m"], F.col("value") == "W").withColumn("rate", F.round("rate", 3))
 
 

@@ -44,7 +44,7 @@ def stream3_sessions(spark: SparkSession, d: str) -> DataFrame:
 def stream4_k_slack(spark: SparkSession, d: str) -> DataFrame:
     events = lateness.happenings(table(spark, d, "deltas")).select("delta_id", "day", "happened", "recorded")
     out = ingest.drained(ingest.k_slack_stream(_streamed(events)))
-    return out.where("kind in ('corrected', 'dropped')").select("delta_id", "kind")
+    return out.where("kind <> 'provisional'").select("delta_id", "kind")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (stream1_change_log, stream2_windows, stream3_sessions, stream4_k_slack)}
@@ -53,5 +53,5 @@ ORACLE_SQL = {
     "stream2_windows": "SELECT strftime(CAST(day AS DATE) - k, '%Y-%m-%d') AS start, count(*) AS n, round(sum(value), 3) AS surprise FROM (SELECT date_trunc('day', ts) AS day, value, UNNEST([0, 1]) AS k FROM events) GROUP BY ALL",
     "stream3_sessions": """WITH g AS (SELECT user_id, ts, value, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n, round(sum(value), 3) AS surprise FROM s GROUP BY user_id, k""",
-    "stream4_k_slack": PROBLEM_SQL["p5_found"],
+    "stream4_k_slack": PROBLEM_SQL["p5_found"] + " UNION ALL SELECT delta_id, 'final' AS kind FROM k WHERE kind <> 'dropped' AND closes + 259200 < (SELECT max(ts) FROM e)",
 }

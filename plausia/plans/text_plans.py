@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import fresh_path
+from ..cluster import broadcast_if_small, fresh_path
 from ..functions import metrics, temporal, text
 from ..operators import context, extract, graph, queries, search
 from ..operators.deltas import first_deliveries, top_value
@@ -111,7 +111,7 @@ def snk6_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ext1_rule_claims(spark: SparkSession, d: str) -> DataFrame:
-    place = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    place = table(spark, d, "customer").join(broadcast_if_small(table(spark, d, "nation"), 10_000), F.col("c_nationkey") == F.col("n_nationkey"))
     said = F.concat(F.lit("Customer"), F.col("c_custkey").cast("string"), F.lit(" lives in "), F.initcap(F.translate("n_name", " ", "")), F.lit("."))
     return extract.extract_claims(place.select(F.col("c_custkey").alias("turn_id"), said.alias("text"))).select("turn_id", "entity", "attribute", "value")
 
@@ -289,7 +289,7 @@ def fn_answers(spark: SparkSession, d: str) -> DataFrame:
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
-    pairs = docs.where("text is not null").join(F.broadcast(items.select("item_id", "category", F.col("text").alias("ground_truth"))), F.pmod("doc_id", F.lit(300)) + 1 == F.col("item_id"))
+    pairs = docs.where("text is not null").join(broadcast_if_small(items.select("item_id", "category", F.col("text").alias("ground_truth")), 10_000), F.pmod("doc_id", F.lit(300)) + 1 == F.col("item_id"))
     return pairs.select("doc_id", F.translate("category", "_", "-").alias("category"), F.col("text").alias("answer"), "ground_truth", F.col("text").alias("context"), (F.col("doc_id") % 2).cast("double").alias("judge"))
 
 

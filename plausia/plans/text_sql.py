@@ -74,7 +74,7 @@ def _type(text_of: str) -> str:
 
 
 _ASKED = "[" + ", ".join(f"{{'cue': '{w}', 'attribute': '{a}'}}" for w, a in context.ASKED_ATTRIBUTES) + "]"
-_FOCUS = "[" + ", ".join(f"{{'w': '{w}', 'a': '{a}'}}" for ws, attributes in context.FOCUS.items() for w in ws.split() for a in attributes.split()) + "]"
+_FOCUS = "[" + ", ".join(f"{{'w': '{w}', 'a': '{a}'}}" for w, attributes in context.FOCUS.items() for a in attributes) + "]"
 _PERCENT = "CAST(round_even({0} * 100, 0) AS INT) || '%'"
 _DAY = "CASE WHEN ts > 1000000 THEN CAST(make_timestamp(CAST(floor(ts) * 1000000 AS BIGINT)) AS DATE) END"
 _ISO = "strftime({0}, '%Y-%m-%d')"

@@ -53,38 +53,48 @@ def surprise_sessions(log: DataFrame, time: str, key: str, gap: str = "1 hour",
 
 
 _SLACK_OUT = "delta_id string, day int, happened double, kind string"
-_SLACK_STATE = "ids array<string>, happened array<double>, clock double, released boolean"
+_SLACK_STATE = "ids array<string>, happened array<double>"
 
 
 def _buffer(k_seconds: float):
     def play(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         day = int(key[0])
         closes = (day + 1) * float(SECONDS_PER_DAY)
-        ids, happened, clock, released = (list(state.get[0]), list(state.get[1]), state.get[2], state.get[3]) if state.exists else ([], [], 0.0, False)
-        out = []
-        for r in pd.concat(list(frames)).sort_values("recorded").itertuples():
-            clock = max(clock, r.recorded)
-            if r.recorded > closes + k_seconds or released:
-                out.append((r.delta_id, day, r.happened, "dropped"))
-                continue
-            ids.append(r.delta_id)
-            happened.append(r.happened)
-            out.append((r.delta_id, day, r.happened, "corrected" if r.recorded >= closes else "provisional"))
-        if not released and clock > closes + k_seconds:
+        ids, happened = map(list, state.get) if state.exists else ([], [])
+        out, release = [], state.hasTimedOut
+        if not release:
+            rows = pd.concat(list(frames)).sort_values("recorded", kind="stable")
+            kept = rows["recorded"] <= closes + k_seconds
+            late = rows["recorded"] >= closes
+            kinds = ["dropped" if not k else "corrected" if x else "provisional" for k, x in zip(kept, late, strict=True)]
+            out = list(zip(rows["delta_id"], [day] * len(rows), rows["happened"], kinds, strict=True))
+            ids += rows["delta_id"][kept].tolist()
+            happened += rows["happened"][kept].tolist()
+            release = not kept.all()
+        if release:
             out += [(i, day, h, "final") for h, i in sorted(zip(happened, ids, strict=True))]
-            ids, happened, released = [], [], True
-        state.update((ids, happened, clock, released))
-        yield pd.DataFrame(out, columns=["delta_id", "day", "happened", "kind"])
+            if state.exists:
+                state.remove()
+        else:
+            state.update((ids, happened))
+            state.setTimeoutTimestamp(int(max((closes + k_seconds) * 1000, state.getCurrentWatermarkMs() + 1)))
+        if out:
+            yield pd.DataFrame(out, columns=["delta_id", "day", "happened", "kind"])
 
     return play
 
 
-def k_slack_stream(events: DataFrame, slices: int = 64, k_seconds: float = K_SECONDS) -> DataFrame:
+def k_slack_stream(events: DataFrame, slices: int = 64, k_seconds: float = K_SECONDS, disorder: str = "0 seconds") -> DataFrame:
     """A stream of ``delta_id, day, happened, recorded`` through the buffers of its days: rows come out at once as
-    ``provisional``, ``corrected`` or ``dropped``, and again as ``final``, in order of happening, when a record
-    past the bound releases the buffer. A day is spread over ``slices`` buffers; order is within a slice."""
-    keyed = events.withColumn("slice", F.pmod(F.xxhash64("delta_id"), F.lit(slices)))
-    return keyed.groupBy("day", "slice").applyInPandasWithState(_buffer(k_seconds), _SLACK_OUT, _SLACK_STATE, "append", GroupStateTimeout.NoTimeout)
+    ``provisional``, ``corrected`` or ``dropped``, and again as ``final``, in order of happening, when the buffer is
+    released: once the watermark, the latest recording seen less ``disorder``, has passed the bound. Then its state goes;
+    what is recorded after the bound is dropped by its own time.
+
+    A day is spread over ``slices`` buffers, each a stretch of its hours, so buffers in turn give the order of the day.
+    """
+    width = float(SECONDS_PER_DAY) / slices
+    keyed = events.withColumn("slice", F.floor((F.col("happened") - F.col("day") * float(SECONDS_PER_DAY)) / width).cast("int")).withColumn("recorded_at", F.timestamp_micros((F.col("recorded") * 1_000_000).cast("long")))
+    return keyed.withWatermark("recorded_at", disorder).groupBy("day", "slice").applyInPandasWithState(_buffer(k_seconds), _SLACK_OUT, _SLACK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:

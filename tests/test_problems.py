@@ -104,14 +104,23 @@ def test_history_of_skewed_late_changes(spark):
 def test_history_store_replaces_only_touched_chains(spark):
     rows = [{"id": f"d{i}", "dimension_id": f"e{i % 5}.x", "posterior": [("ab"[i % 3 % 2], 1.0)], "ts": 1.75e9 + i} for i in range(60)]
     late = [{"id": "late", "dimension_id": "e1.x", "posterior": [("zz", 1.0)], "ts": 1.75e9 + 99, "valid_time": 1.75e9 + 8}, {"id": "d3", "dimension_id": "e3.x"}]
-    store = history.HistoryStore(spark, buckets=4)
+    store = history.HistoryStore(spark)
+    assert got(store.chains()) == [] and got(store.raw()) == []
     store.apply(history.raw_changes(deltas(spark, rows)))
     before = got(store.chains())
-    touched = store.apply(history.raw_changes(deltas(spark, late)))
-    assert 1 <= len(touched) <= 2
+    store.apply(history.raw_changes(deltas(spark, late)))
+    assert {r[0] for r in got(history.read_chains(spark, f"{store.path}/b2/chains"))} == {"e1.x", "e3.x"}
     after = got(store.chains())
     assert got(store.chains().select("dimension_id", "delta_id")) == brute_versions([{"valid_time": None} | r for r in rows + late[:1]])
-    assert [r for r in before if r[0] not in ("e1.x", "e3.x")] == [r for r in after if r[0] not in ("e1.x", "e3.x")]
+    assert [r for r in before if r[0] != "e1.x"] == [r for r in after if r[0] != "e1.x"]
+    store.apply(history.raw_changes(deltas(spark, late)))  # again
+    assert got(store.chains()) == after and store.raw().count() == 61
+    spark.createDataFrame([("x",)], "dimension_id string").write.parquet(f"{store.path}/b9/touched")  # a batch that failed
+    assert got(store.chains()) == after
+    store.compact()
+    assert got(store.chains()) == after and store.raw().count() == 61 and len(store.batches()) == 1 and store._names("lists") and len(store._names("")) == 2
+    store.apply(history.raw_changes(deltas(spark, [{"id": "new", "dimension_id": "n.x"}])))
+    assert len(got(store.chains())) == len(after) + 1
     store.drop()
 
 
@@ -119,8 +128,9 @@ def test_history_edge_cases(spark):
     rows = [
         {"id": "a", "posterior": None}, {"id": "b", "posterior": []}, {"id": "c", "posterior": [("unknown", 1.0)]}, {"id": "d", "posterior": [("unknown", 0.6), ("dark_mode", 0.2), ("x", 0.2)]}, {"id": "e", "posterior": [(" Dark   mode ", 1.0)]},
         {"id": "f", "dimension_id": None}, {"id": "g", "ts": None}, {"id": "d", "posterior": [("other", 1.0)]}, {"id": "h", "posterior": [("y" * 100_000, 1.0)], "valid_time": 1.76e12}, {"id": None},
+        {"id": "null_seq", "dimension_id": "B.x", "seq": None},
     ]
-    assert got(history.belief_history(deltas(spark, rows)).select("dimension_id", "delta_id")) == [("A.x", "d"), ("A.x", "h")]
+    assert got(history.belief_history(deltas(spark, rows)).select("dimension_id", "delta_id")) == [("A.x", "d"), ("A.x", "h"), ("B.x", "null_seq")]
     assert got(history.belief_history(deltas(spark, []).limit(0))) == []
 
 

@@ -57,9 +57,10 @@ def test_nearest(spark):
 
 
 @pytest.mark.parametrize(("said", "claim"), [
-    ("Pranav works at Sarvam AI.", ("Pranav", "employer", "Sarvam AI")), ("Pranav joined Google last week.", ("Pranav", "employer", "Google")), ("Alice is using VS Code.", ("Alice", "model", "VS Code")),
-    ("Pranav moved to San Francisco.", ("Pranav", "location", "San Francisco")), ("Bob is based in Bangalore.", ("Bob", "location", "Bangalore")), ("Alice prefers dark mode.", ("Alice", "preference", "dark mode")),
-    ("Pranav is building NyayaSahayak.", ("Pranav", "project", "NyayaSahayak")), ("NyayaSahayak is a legal AI assistant.", ("NyayaSahayak", "type", "legal AI assistant")),
+    ("Mirela works at Quellwerk Labs.", ("Mirela", "employer", "Quellwerk Labs")), ("Tarek joined Obermann last week.", ("Tarek", "employer", "Obermann")), ("Runa quit Halden Press.", ("Runa", "former_employer", "Halden Press")),
+    ("Joska is a senior engineer.", ("Joska", "role", "senior engineer")), ("Edda relocated to Port Velden.", ("Edda", "location", "Port Velden")), ("Ines is located in Tolmein.", ("Ines", "location", "Tolmein")),
+    ("Orla switched to Kestrel XL.", ("Orla", "model", "Kestrel XL")), ("Ferrybot integrated with Lumen Small.", ("Ferrybot", "model", "Lumen Small")), ("Bram is building Ferrybot.", ("Bram", "project", "Ferrybot")),
+    ("Nilo preferred paper tickets.", ("Nilo", "preference", "paper tickets")), ("Ferrybot is a timetable assistant.", ("Ferrybot", "type", "timetable assistant")), ("Petra is on the Harbour team.", ("Petra", "team", "Harbour")), ("Ferrybot implemented in Elixir.", ("Ferrybot", "language", "Elixir")),
 ])
 def test_rules(spark, said, claim):
     out = extract.extract_claims(spark.createDataFrame([(1, said), (2, None), (3, "")], "turn_id int, text string"))
