@@ -4,17 +4,21 @@ Nodes are numbered by ingestion sequence and cut into blocks of consecutive numb
 local chains to *fragment exits*; the nodes where fragments enter other blocks form a much smaller quotient
 forest, solved the same way over wider blocks until one block holds it. The fragments are then expanded with
 the solution of their exits. A chain that returns to itself within a block is a local loop, one found in the
-quotient a global loop.
+quotient a global loop. Where numbers say little about parents and a quotient hardly shrinks, links are contracted
+by coins instead, a fixed share of them each time, so that the recursion ends on any forest. Full paths come from the same
+recursion, with the ids of a link in place of its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import broadcast_if_small, materialize
+from ..cluster import broadcast_if_small, materialize, shuffle_partitions
 from .deltas import first_deliveries, nonblank
 
 #: Columns of a forest: a link from node to parent stands for ``hops`` original links, ``low`` is the
@@ -22,6 +26,10 @@ from .deltas import first_deliveries, nonblank
 _FOREST = "node long, parent long, hops long, low string"
 _LINKS = "node long, state string, exit long, hops long, low string"
 _MOST_BROADCAST = 20_000
+#: A quotient of more than this share of the nodes hardly shrinks.
+SHRUNK = 0.7
+#: Paths leave a block so many ids at a time.
+_IDS = 1_000_000
 
 
 def _follow(node: np.ndarray, parent: np.ndarray, hops: np.ndarray, low: np.ndarray, has_parent: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -89,7 +97,15 @@ def solve(forest: DataFrame, block: int, size: int, most_local: int = 1_000_000)
     quotient = materialize(links.join(entries, "node", "left_semi").select("node", F.when(F.col("state") == "out", F.col("exit")).alias("parent"), F.when(F.col("state") == "out", F.col("hops")).otherwise(0).cast("long").alias("hops"), "low", "state", F.col("exit").alias("own_exit"), F.col("hops").alias("own_hops")), "quotient")
     left = quotient.count()
     forest_q = quotient.select("node", "parent", "hops", "low")
-    solved = solve(forest_q, max(block * 2, block * size // max(left, 1)), left, most_local) if left <= 0.7 * size else double(forest_q)
+    wider = max(block * 2, block * size // max(left, 1))
+    if left <= SHRUNK * size:
+        solved = solve(forest_q, wider, left, most_local)
+    else:
+        kept, gone = contracted(forest_q, left, lambda near, far: {"hops": near["hops"] + F.coalesce(far["hops"], F.lit(0)), "low": F.least(near["low"], far["low"])})
+        ends = materialize(solve(kept, wider, kept.count(), most_local), "solved")
+        near, far = gone.alias("near"), ends.alias("far")
+        joined = near.join(far, F.col("near.parent") == F.col("far.node"))
+        solved = ends.unionAll(joined.select("near.node", "far.state", "far.exit", (F.col("near.hops") + F.col("far.hops")).alias("hops"), "far.low"))
     # a quotient root is an entry whose own fragment ends within its block: at a root or in a loop
     ends = quotient.select(F.col("node").alias("exit"), F.col("state").alias("end_state"), "own_exit", "own_hops", F.col("low").alias("own_low"))
     known = solved.join(ends, "exit", "left").select(
@@ -105,26 +121,42 @@ def solve(forest: DataFrame, block: int, size: int, most_local: int = 1_000_000)
     return links.where("state <> 'out'").unionAll(expanded)
 
 
-def double(forest: DataFrame) -> DataFrame:
-    """The same by pointer doubling over joins, for a forest whose links hardly ever stay in a block.
-
-    Each round doubles the distance covered; what still moves after more rounds than the longest chain can
-    need is in a loop or runs into one.
-    """
-    state = materialize(forest.select("node", F.coalesce("parent", "node").alias("exit"), F.when(F.col("parent").isNull(), 0).otherwise(F.col("hops")).alias("hops"), "low", F.col("parent").isNull().alias("ended")), "doubling")
-    rounds = max(1, int(state.count()).bit_length() + 1)
-    for _ in range(rounds):
-        if state.where("not ended").isEmpty():
-            break
-        far = state.select(F.col("node").alias("f_node"), F.col("exit").alias("f_exit"), F.col("hops").alias("f_hops"), F.col("low").alias("f_low"), F.col("ended").alias("f_ended"))
-        moving = state.where("not ended").join(far, F.col("exit") == F.col("f_node"))
-        step = moving.select("node", F.col("f_exit").alias("exit"), (F.col("hops") + F.col("f_hops")).alias("hops"), F.least("low", "f_low").alias("low"), F.col("f_ended").alias("ended"))
-        state = materialize(state.where("ended").unionAll(step), "doubling")
-    # after more than n steps, ``exit`` of a moving node lies on its loop and ``low`` covers the tail as well;
-    # the exit's own ``low`` covers the loop alone
-    moving, rings = state.where("not ended"), state.select(F.col("node").alias("ring"), F.col("low").alias("ring_low"))
-    loops = moving.drop("low").join(rings, F.col("exit") == F.col("ring")).select("node", F.lit("loop").alias("state"), "exit", "hops", F.col("ring_low").alias("low"))
-    return state.where("ended").select("node", F.lit("root").alias("state"), "exit", "hops", "low").unionAll(loops)
+def contracted(forest: DataFrame, salt: int, merge: Callable[[dict[str, Column], dict[str, Column]], dict[str, Column]]) -> tuple[DataFrame, DataFrame]:
+    """``forest`` without the nodes whose coin fell on tails and their parent's on heads, a quarter of all links, and
+    these. Links to a node that went lead to its parent instead; ``merge`` gives their columns. A parent of a node
+    that went never goes itself, so one join does."""
+    coin = lambda c: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(2))
+    goes = F.col("parent").isNotNull() & (coin(F.col("node")) == 0) & (coin(F.col("parent")) == 1)
+    gone = materialize(forest.where(goes), "gone")
+    near, far = forest.where(~goes).alias("near"), gone.alias("far")
+    joined = near.join(far, F.col("near.parent") == F.col("far.node"), "left")
+    sides = ({c: F.col(f"{side}.{c}") for c in forest.columns} for side in ("near", "far"))
+    kept = joined.select("near.node", F.coalesce("far.parent", "near.parent").alias("parent"), *(c.alias(name) for name, c in merge(*sides).items()))
+    return materialize(kept, "kept"), gone
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    range_no, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.num_rows
+        yield pa.record_batch([*batch.columns, pa.array(np.full(n, range_no), pa.int32()), pa.array(np.arange(at, at + n), pa.int64())], names=[*batch.schema.names, "range_no", "place"])
+        at += n
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows(id, seq, link)`` with ``seq`` replaced by unique numbers in order of ``seq`` and ``id``: places in sorted ranges,
+    and where each range begins."""
+    spark = rows.sparkSession
+    ranges = rows.select("id", "seq", "link").repartitionByRange(shuffle_partitions(spark), "seq", "id").sortWithinPartitions("seq", "id")
+    placed = materialize(ranges.mapInArrow(_places, "id string, seq long, link string, range_no int, place long"), "places")
+    sizes, begins, at = sorted(map(tuple, placed.groupBy("range_no").count().collect())), [], 0  # one row a range
+    for range_no, n in sizes:
+        begins.append((range_no, at))
+        at += n
+    starts = spark.createDataFrame(begins, "range_no int, begins long")
+    return materialize(placed.join(broadcast_if_small(starts, 1_000_000), "range_no").select("id", (F.col("begins") + F.col("place")).alias("seq"), "link"), "nodes")
 
 
 def nodes_of(deltas: DataFrame) -> DataFrame:
@@ -135,10 +167,8 @@ def nodes_of(deltas: DataFrame) -> DataFrame:
     itself is a loop.
     """
     first = materialize(first_deliveries(deltas, nonblank(F.col("cascaded_from")).alias("link")).withColumn("seq", F.coalesce("seq", F.lit(0)).cast("long")), "nodes")
-    most = first.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    if most > 1:  # numbers must be unique, and keep their order
-        nth = F.row_number().over(Window.partitionBy("seq").orderBy("id")) - 1
-        first = materialize(first.withColumn("seq", F.col("seq") * most + nth), "nodes")
+    if first.select("seq").distinct().count() < first.count():
+        first = numbered(first)
     ids = first.select(F.col("id").alias("link"), F.col("seq").alias("parent"))
     linked = first.where("link is not null").join(ids, "link", "left").select(F.col("seq").alias("node"), "id", F.lit(True).alias("has_link"), "parent")
     plain = first.where("link is null").select(F.col("seq").alias("node"), "id", F.lit(False).alias("has_link"), F.lit(None).cast("long").alias("parent"))
@@ -166,57 +196,80 @@ def cascade_roots(deltas: DataFrame, *, block: int = 1 << 17, most_local: int =
     return roots.unionAll(loops)
 
 
-def _paths_of_block(table: pa.Table) -> pa.Table:
-    """Of each node the ids from itself up to the last node in its block, and the parent beyond."""
-    table = table.sort_by("node")
-    node, ids = table["node"].to_numpy(), table["id"].to_pylist()
-    parent = table["parent"].fill_null(-1).to_numpy()
+def _chains_of_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each node the ids from itself up to the last node in its block, and the parent beyond; a bounded number
+    of ids at a time."""
+    table = pa.Table.from_batches(batches).sort_by("node")
+    node, parent = table["node"].to_numpy(), table["parent"].fill_null(-1).to_numpy()
+    held = table["ids"].combine_chunks()
+    held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+    values, begins, sizes = held.flatten(), held.offsets.to_numpy()[:-1] - held.offsets.to_numpy()[0], held.value_lengths().to_numpy().astype(np.int64)
     at = np.minimum(np.searchsorted(node, parent), len(node) - 1)
-    up = np.where((parent >= 0) & (node[at] == parent), at, -1)
-    chains: list[list[str] | None] = [None] * len(node)
-    ends = np.full(len(node), -1)
-    for i in range(len(node)):
-        stack, x = [], i
-        while x >= 0 and chains[x] is None:
-            stack.append(x)
-            x = up[x]
-        tail, end = (chains[x], ends[x]) if x >= 0 else ([], stack[-1])
-        for y in reversed(stack):
-            chains[y] = tail = [ids[y], *tail]
-            ends[y] = end
-    beyond = parent[ends]
-    return pa.table({"node": table["node"], "chain": pa.array(chains, pa.list_(pa.string())), "beyond": pa.array([None if b < 0 else int(b) for b in beyond], pa.int64())})
-
-
-def _chains(deltas: DataFrame, block: int) -> DataFrame:
-    """``node, delta_id, chain``: the ids from each delta with a link up to its root, loops left out.
-
-    Fragments of a block first; then each round appends the fragment of the node beyond.
-    """
+    local = (parent >= 0) & (node[at] == parent)
+    up, top = np.where(local, at, -1), np.where(local, at, np.arange(len(node)))
+    links, ids = local.astype(np.int64), np.where(local, sizes, 0)  # up to ``top``, not with it
+    while local[top].any():
+        links, ids, top = links + links[top], ids + ids[top], top[top]
+    links, ids = links + 1, ids + sizes[top]
+    first = 0
+    while first < len(node):
+        last = max(first + 1, int(np.searchsorted(np.cumsum(ids[first:]), _IDS, "right")) + first)
+        of = np.arange(first, last)
+        starts, members, now, step = np.cumsum(links[of]) - links[of], np.empty(links[of].sum(), np.int64), of.copy(), 0
+        active = np.arange(len(of))
+        while len(active):
+            members[starts[active] + step] = now[active]
+            now[active] = up[now[active]]
+            active, step = active[now[active] >= 0], step + 1
+        n = sizes[members]
+        taken = np.repeat(begins[members] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        chains = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(ids[of])], pa.int32()), values.take(pa.array(taken)))
+        beyond = parent[top[of]]
+        yield pa.record_batch([pa.array(node[of]), chains, pa.array(beyond, pa.int64(), mask=beyond < 0)], names=["node", "ids", "beyond"])
+        first = last
+
+
+def solve_paths(forest: DataFrame, block: int, size: int, most_local: int) -> DataFrame:
+    """``node, ids``: of each node of a forest without loops the ids from itself up to its root. A link of
+    ``forest(node, parent, ids)`` stands for the ids on it, without its far end."""
+    width = block if size > most_local else None
+    key = F.floor(F.col("node") / width) if width else F.lit(0)
+    parts = materialize(forest.select("node", "parent", "ids").groupBy(key.alias("block")).applyInArrow(_chains_of_block, "node long, ids array<string>, beyond long"), "fragments")
+    if not width:
+        return parts.select("node", "ids")
+    entries = parts.where("beyond is not null").select(F.col("beyond").alias("node")).distinct()
+    quotient = materialize(parts.join(entries, "node", "left_semi").select("node", F.col("beyond").alias("parent"), "ids"), "quotient")
+    left = quotient.count()
+    wider = max(block * 2, block * size // max(left, 1))
+    after = lambda near, far: near.join(far, F.col("near.beyond") == F.col("far.node")).select("near.node", F.concat("near.ids", "far.ids").alias("ids"))
+    if left <= SHRUNK * size:
+        solved = solve_paths(quotient, wider, left, most_local)
+    else:
+        kept, gone = contracted(quotient, left, lambda near, far: {"ids": F.when(far["node"].isNull(), near["ids"]).otherwise(F.concat(near["ids"], far["ids"]))})
+        ends = materialize(solve_paths(kept, wider, kept.count(), most_local), "solved")
+        solved = ends.unionAll(after(gone.withColumnRenamed("parent", "beyond").alias("near"), ends.alias("far")))
+    return parts.where("beyond is null").select("node", "ids").unionAll(after(parts.where("beyond is not null").alias("near"), solved.alias("far")))
+
+
+def _chains(deltas: DataFrame, block: int, most_local: int) -> DataFrame:
+    """``node, delta_id, chain``: the ids from each delta with a link up to its root, loops left out."""
     nodes = nodes_of(deltas)
-    solved = solved_hierarchy(nodes, block=block, most_local=block)
-    free = nodes.join(solved.where("state = 'root'").select("node"), "node", "left_semi")
-    parts = materialize(free.select("node", "id", "parent").groupBy(F.floor(F.col("node") / block).alias("block")).applyInArrow(_paths_of_block, "node long, chain array<string>, beyond long"), "fragments")
-    linked = nodes.where("has_link").select("node", F.col("id").alias("delta_id"))
-    whole = parts.where("beyond is null")
-    moving = parts.where("beyond is not null")
-    entries = materialize(parts.join(moving.select(F.col("beyond").alias("node")).distinct(), "node", "left_semi"), "entries").select(F.col("node").alias("e_node"), F.col("chain").alias("e_chain"), F.col("beyond").alias("e_beyond"))
-    while not moving.isEmpty():
-        step = materialize(moving.join(entries, F.col("beyond") == F.col("e_node")).select("node", F.concat("chain", "e_chain").alias("chain"), F.col("e_beyond").alias("beyond")), "paths")
-        whole = whole.unionAll(step.where("beyond is null"))
-        moving = step.where("beyond is not null")
-    return whole.drop("beyond").join(linked, "node")
+    solved = solved_hierarchy(nodes, block=block, most_local=most_local)
+    free = materialize(nodes.join(solved.where("state = 'root'").select("node"), "node", "left_semi"), "free")
+    whole = solve_paths(free.select("node", "parent", F.array("id").alias("ids")), block, free.count(), most_local)
+    linked = free.where("has_link").select("node", F.col("id").alias("delta_id"))
+    return whole.join(linked, "node").select("node", "delta_id", F.col("ids").alias("chain"))
 
 
-def cascade_paths(deltas: DataFrame, *, block: int = 1 << 17) -> DataFrame:
+def cascade_paths(deltas: DataFrame, *, block: int = 1 << 17, most_local: int = 100_000) -> DataFrame:
     """``delta_id, root_id, depth, path``: the full path from the root down, ids set apart by ``/``, for every
     delta with a link whose way doesn't run into a loop."""
-    chains = _chains(deltas, block)
+    chains = _chains(deltas, block, most_local)
     return chains.select("delta_id", F.element_at("chain", -1).alias("root_id"), (F.size("chain") - 1).cast("long").alias("depth"), F.array_join(F.reverse("chain"), "/").alias("path"))
 
 
-def cascade_descendants(deltas: DataFrame, *, block: int = 1 << 17) -> DataFrame:
+def cascade_descendants(deltas: DataFrame, *, block: int = 1 << 17, most_local: int = 100_000) -> DataFrame:
     """``ancestor_id, descendant_id, distance``: every delta with all that descend from it; as many rows as
     the depths add up to, and no row gathers the descendants of a node."""
-    chains = _chains(deltas, block)
+    chains = _chains(deltas, block, most_local)
     return chains.select(F.col("delta_id").alias("descendant_id"), F.posexplode("chain").alias("distance", "ancestor_id")).where("distance > 0").select("ancestor_id", "descendant_id", F.col("distance").cast("long").alias("distance"))

@@ -167,14 +167,18 @@ def test_a_long_chain_and_loops_across_blocks(spark):
     assert got(hierarchy.cascade_roots(deltas(spark, rows), block=32, most_local=20)) == brute_roots(links)
 
 
-def test_doubling_solves_what_blocks_cannot(spark):
+@pytest.mark.parametrize("most_local", [8, 1000])
+def test_links_that_never_stay_in_a_block(spark, most_local):
+    """Numbers in random order: blocks contract hardly anything, coins do."""
     rng = random.Random(3)
     order = list(range(300))
     rng.shuffle(order)
     rows = [(order[i], order[i + 1] if i < 299 else None, 1, f"{order[i]:04}") for i in range(300)] + [(1000, 1001, 1, "a"), (1001, 1000, 1, "b"), (1002, 1000, 1, "0")]
-    out = {r.node: (r.state, r.exit, r.hops, r.low) for r in hierarchy.double(spark.createDataFrame(rows, "node long, parent long, hops long, low string")).collect()}
-    assert all(out[order[i]][:3] == ("root", order[299], 299 - i) for i in range(300))
+    out = {r.node: (r.state, r.exit, r.hops, r.low) for r in hierarchy.solve(spark.createDataFrame(rows, "node long, parent long, hops long, low string"), 4, 303, most_local).collect()}
+    assert len(out) == 303 and all(out[order[i]][:3] == ("root", order[299], 299 - i) for i in range(300))
     assert {out[n][0] for n in (1000, 1001, 1002)} == {"loop"} and {out[n][3] for n in (1000, 1001, 1002)} == {"a"}
+    paths = hierarchy.solve_paths(spark.createDataFrame([(n, p, [i]) for n, p, _, i in rows[:300]], "node long, parent long, ids array<string>"), 4, 300, most_local)
+    assert {r.node: r.ids for r in paths.collect()} == {order[i]: [f"{x:04}" for x in order[i:]] for i in range(300)}
 
 
 def test_hierarchy_edge_cases(spark):
@@ -182,12 +186,17 @@ def test_hierarchy_edge_cases(spark):
     assert got(hierarchy.cascade_roots(deltas(spark, rows))) == [("a", "b", 1), ("c", "b", 2), ("d", "d", 0)]
     assert got(hierarchy.cascade_paths(deltas(spark, rows))) == [("a", "b", 1, "b/a"), ("c", "b", 2, "b/a/c"), ("d", "d", 0, "d")]
     assert got(hierarchy.cascade_descendants(deltas(spark, rows))) == [("a", "c", 1), ("b", "a", 1), ("b", "c", 2)]
-    assert got(hierarchy.cascade_roots(deltas(spark, []).limit(0))) == []
+    assert got(hierarchy.cascade_roots(deltas(spark, []).limit(0))) == [] and got(hierarchy.cascade_paths(deltas(spark, []).limit(0))) == []
+
+
+def test_hierarchies_without_sequence_numbers(spark):
+    rows = [{"id": f"n{i:03}", "cascaded_from": f"n{i // 2:03}" if i else None, "seq": None} for i in range(200)]
+    assert got(hierarchy.cascade_roots(deltas(spark, rows), block=16, most_local=10)) == brute_roots({r["id"]: r["cascaded_from"] for r in rows})
 
 
 def test_paths_over_blocks(spark):
     rows = [{"id": f"n{i:03}", "cascaded_from": f"n{i - 1:03}" if i else None} for i in range(60)]
-    paths = {r.delta_id: r.path for r in hierarchy.cascade_paths(deltas(spark, rows), block=8).collect()}
+    paths = {r.delta_id: r.path for r in hierarchy.cascade_paths(deltas(spark, rows), block=8, most_local=8).collect()}
     assert paths["n059"] == "/".join(f"n{i:03}" for i in range(60))
 
 
