@@ -222,11 +222,13 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return trusted.astype(bool), slotted.astype(bool), sizes.astype(np.int64), flat
 
 
-_TALLY = "bucket int, residue double, content double"
+#: Counts travel as so many stretches of the bucket range, each a block of numbers.
+STRETCHES = 64
+_TALLY = "stretch int, counts binary"
 
 
 def _tally(model: Model | None):
-    """Expected counts of each feature bucket in both classes over one task's passages; the buckets -1 and -2 have
+    """Expected counts of each feature bucket in both classes over one task's passages, by stretches; the stretch -1 has
     the numbers of passages without and with slots. A trusted passage counts as residue."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,29 +237,36 @@ def _tally(model: Model | None):
             trusted, slotted, sizes, flat = _flat(batch)
             p = trusted.astype(float) if model is None else np.where(trusted, 1.0, model.posterior(slotted, sizes, flat))
             weight, s = np.repeat(p, sizes), slotted.astype(np.int64)
-            counts += [np.bincount(flat, weight, BUCKETS), np.bincount(flat, 1 - weight, BUCKETS)]
+            residue = np.bincount(flat, weight, BUCKETS)
+            counts += [residue, np.bincount(flat, minlength=BUCKETS) - residue]
             passages += [np.bincount(s, p, 2), np.bincount(s, 1 - p, 2)]
-        used = np.flatnonzero(counts.any(axis=0))
-        rows = {"bucket": np.r_[-1, -2, used].astype(np.int32), "residue": np.r_[passages[0], counts[0][used]], "content": np.r_[passages[1], counts[1][used]]}
-        yield pa.RecordBatch.from_pydict(rows)
+        blocks = [passages, *np.split(counts, STRETCHES, axis=1)]
+        yield pa.RecordBatch.from_pydict({"stretch": np.arange(-1, STRETCHES, dtype=np.int32), "counts": [b.tobytes() for b in blocks]})
 
     return tally
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, stretch = None, None
+    for batch in batches:
+        for block in batch.column("counts"):
+            numbers = np.frombuffer(block.as_py())
+            total = numbers.copy() if total is None else total + numbers
+        stretch = batch.column("stretch")[:1]
+    yield pa.RecordBatch.from_pydict({"stretch": stretch, "counts": [total.tobytes()]})
+
+
 def fit(rows: DataFrame, most_rounds: int = MOST_ROUNDS) -> Model | None:
     """Expectation–maximization over all passages, until the expected number of residue passages settles. The driver
-    sees one row per feature bucket, no passages. None if nothing is trusted, as nothing can be learned then."""
+    sees the counts of the feature buckets, no passages. None if nothing is trusted, as nothing can be learned then."""
     model, before = None, 0.0
     for _ in range(most_rounds):
-        sums = rows.mapInArrow(_tally(model), _TALLY).groupBy("bucket").agg(F.sum("residue").alias("residue"), F.sum("content").alias("content")).toPandas()
-        bucket, both = sums["bucket"].to_numpy(), sums[["residue", "content"]].to_numpy().T
-        passages = np.stack([both[:, bucket == -1].sum(axis=1), both[:, bucket == -2].sum(axis=1)], axis=1)
+        sums = {r["stretch"]: np.frombuffer(r["counts"]) for r in rows.mapInArrow(_tally(model), _TALLY).groupBy("stretch").applyInArrow(_added, _TALLY).collect()}
+        passages = sums[-1].reshape(2, 2) if sums else np.zeros((2, 2))
         residue = passages[0].sum()
         if not residue or not passages[1].sum():
             return None
-        counts = np.zeros((2, BUCKETS))
-        counts[:, bucket[bucket >= 0]] = both[:, bucket >= 0]
-        model = Model.of(counts, passages)
+        model = Model.of(np.concatenate([sums[i].reshape(2, -1) for i in range(STRETCHES)], axis=1), passages)
         if abs(residue - before) < SETTLED * residue:
             break
         before = residue
