@@ -1,12 +1,16 @@
 """Evaluation texts leaking into training text.
 
-An exact leak is a run of ``RUN`` words in both. Word n-grams of the test items are looked up in the corpus;
-those in a small share of the documents are seeds, and of every window of an item the rarest n-gram that occurs
-at all. Seeds join documents to items, and each such run holds a seed, so none is missed.
+An exact leak is a run of ``RUN`` words in both. Word n-grams of the test items are looked up in the corpus, and
+the rare ones are seeds, as is of every window of an item the rarest n-gram that occurs at all: each such run holds a
+seed, so none is missed. Seeds join documents to items, Smith–Waterman alignment scores what lies around them, and a pair
+whose score allows for a run is checked for it.
 
 An edited copy need not share a seed, however common n-grams are. There the words and pairs of words that a
 document has in common with an item bound the score of any Smith–Waterman alignment, and every pair that can
 reach the least score is aligned.
+
+The items travel to the corpus, in parts of bounded size, and alignment takes place where the document is: no text
+is shuffled.
 """
 
 from __future__ import annotations
@@ -20,18 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import broadcast_if_small, is_small, materialize, shuffle_partitions, spread
+from ..cluster import materialize, spread
 
 GRAM, RUN = 5, 13
 MATCH, MISMATCH, GAP = 2, -1, -1
 SLACK = 8
 #: Pairs are aligned together up to so many cells a step.
 CELLS = 1 << 17
-#: Item n-grams up to this number travel to the tasks as one sorted array (8 bytes each); beyond it, the
-#: n-grams of the corpus are joined to them instead, or for edited copies the corpus is read once per part.
-MOST_SHIPPED = 2_000_000
-#: N-grams in at most this share of the documents, or this number of them, are rare.
-RARE_SHARE, RARE_COUNT = 0.001, 50
+#: Items travel to the tasks in parts of at most so many words and characters; the corpus is read once per part.
+MOST_SHIPPED, MOST_CHARACTERS = 2_000_000, 32_000_000
+#: N-grams in at most this number of documents are rare.
+RARE_COUNT = 50
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,22 +95,24 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return best, longest
 
 
-def _item_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, int] = {}
-    for items in batches:
-        rows = []
-        for item, text in zip(items["item_id"], items["text"], strict=True):
-            rows += [(item, pos, int(g)) for pos, g in enumerate(gram_codes(word_codes(words(text), known)))]
-        yield pd.DataFrame(rows, columns=["item_id", "item_pos", "gram"]).astype({"item_id": "int64", "item_pos": "int32", "gram": "int64"})
-
-
 def _item_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for items in batches:
         yield items.assign(n=[len(words(t)) for t in items["item_text"]])
 
 
-def _lookup(shipped: np.ndarray | None):
-    """Documents with the positions of their n-grams, only those of ``shipped`` if that is given."""
+def _parts(items: DataFrame, least_words: int) -> Iterator[list[tuple[int, str]]]:
+    """The items of at least so many words, in parts that fit into a task."""
+    sized = materialize(items.mapInPandas(_item_sizes, "item_id long, item_text string, n long").where(F.col("n") >= least_words), "items")
+    total, characters = sized.agg(F.sum(3 * F.col("n")), F.sum(F.length("item_text"))).first()
+    parts = max(1, -(-(total or 0) // MOST_SHIPPED), -(-(characters or 0) // MOST_CHARACTERS))
+    for i in range(parts):
+        part = sized.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(parts)) == i).select("item_id", "item_text").collect()
+        if part:
+            yield [tuple(r) for r in part]
+
+
+def _lookup(shipped: np.ndarray):
+    """Documents that hold n-grams of ``shipped``, with the places of these."""
 
     def lookup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -118,47 +123,29 @@ def _lookup(shipped: np.ndarray | None):
             for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
                 tokens = words(text)
                 grams = gram_codes(word_codes(tokens, known))
-                if shipped is None:
-                    at = np.arange(len(grams))
-                elif len(shipped):
-                    at = np.flatnonzero(shipped[np.minimum(np.searchsorted(shipped, grams), len(shipped) - 1)] == grams)
-                else:
-                    at = np.empty(0, np.int64)
+                at = np.flatnonzero(shipped[np.minimum(np.searchsorted(shipped, grams), len(shipped) - 1)] == grams)
                 if len(at):
-                    rows.append((doc, " ".join(tokens), [int(g) for g in grams[at]], [int(p) for p in at]))
+                    rows.append((doc, " ".join(tokens), grams[at], at.astype(np.int32)))
             yield pd.DataFrame(rows, columns=["doc_id", "words", "grams", "positions"])
 
     return lookup
 
 
-def _seeds(rare: float):
-    """The positions of an item's rare n-grams and, of each window of it, of the rarest that occurs at all."""
-
-    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for items in batches:
-            yield _seeds_of(items, rare)
-
-    return seeds
-
-
-def _seeds_of(items: pd.DataFrame, rare: float) -> pd.DataFrame:
-    rows = []
-    for item, positions, grams, counts in zip(items["item_id"], items["positions"], items["grams"], items["counts"], strict=True):
-        order = np.argsort(positions)
-        at, gram, n = np.asarray(positions)[order], np.asarray(grams)[order], np.asarray(counts)[order]
-        width, chosen = RUN - GRAM + 1, set(np.flatnonzero(n <= rare).tolist())
-        for start in range(max(1, int(at[-1]) + 2 - width)):
-            inside = np.flatnonzero((at >= start) & (at < start + width))
-            if len(inside):
-                chosen.add(int(inside[np.lexsort((gram[inside], n[inside]))[0]]))
-        rows += [(item, int(at[i]), int(gram[i])) for i in sorted(chosen)]
-    return pd.DataFrame(rows, columns=["item_id", "item_pos", "gram"]).astype({"item_id": "int64", "item_pos": "int32", "gram": "int64"})
+def seed_places(counts: np.ndarray) -> np.ndarray:
+    """Which of an item's n-grams are seeds, by the number of documents that hold each: the rare ones, and of each
+    window of ``RUN`` words the rarest that occurs at all."""
+    found = np.where(counts > 0, counts, np.iinfo(np.int64).max)
+    chosen = (counts > 0) & (counts <= RARE_COUNT)
+    windows = np.lib.stride_tricks.sliding_window_view(found, min(len(found), RUN - GRAM + 1))
+    rarest = windows.argmin(axis=1) + np.arange(len(windows))
+    chosen[rarest[counts[rarest] > 0]] = True
+    return np.flatnonzero(chosen)
 
 
-def _spans(hits: list, n_item: int, n_doc: int) -> list[list[int]]:
-    """The parts of a document where the item may lie, by the places of its seeds."""
+def _spans(starts: np.ndarray, n_item: int, n_doc: int) -> list[list[int]]:
+    """The parts of a document where the item may lie, by where its seeds let it begin."""
     spans: list[list[int]] = []
-    for start in sorted({h["doc_pos"] - h["item_pos"] for h in hits}):
+    for start in np.unique(starts).tolist():
         low, high = max(0, start - SLACK), min(n_doc, start + n_item + SLACK)
         if spans and low <= spans[-1][1]:
             spans[-1][1] = max(high, spans[-1][1])
@@ -167,23 +154,47 @@ def _spans(hits: list, n_item: int, n_doc: int) -> list[list[int]]:
     return spans
 
 
-def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, int] = {}
-    for frame in batches:
-        rows, parts = [], []
-        all_hits = frame["hits"] if "hits" in frame else [None] * len(frame)
-        for doc, item, text, item_text, hits in zip(frame["doc_id"], frame["item_id"], frame["words"], frame["item_text"], all_hits, strict=True):
-            a, b = word_codes(words(item_text), known), word_codes(text.split(" "), known)
-            for low, high in [[0, len(b)]] if hits is None else _spans(hits, len(a), len(b)):
-                rows.append((doc, item, MATCH * len(a)))
-                parts.append((a, b[low:high]))
-        score, run = align(parts)
-        out = pd.DataFrame(rows, columns=["doc_id", "item_id", "perfect"])
-        yield pd.DataFrame({"doc_id": out["doc_id"], "item_id": out["item_id"], "score": score / out["perfect"], "longest_run": run})
-
-
-def _bounds(items: list[tuple[int, str]], least_score: float):
-    """Documents with each item that may align with ``least_score`` or has a run in common with them.
+_PAIRS = "doc_id long, item_id long, score double, longest_run int"
+
+
+def _scored(rows: list[tuple[int, int, int]], parts: list[tuple[np.ndarray, np.ndarray]], least: int = 1) -> pd.DataFrame:
+    """``rows`` of document, item and perfect score with the alignment of their ``parts``, those that score ``least``."""
+    score, run = align(parts)
+    out = pd.DataFrame(rows, columns=["doc_id", "item_id", "perfect"])
+    return pd.DataFrame({"doc_id": out["doc_id"], "item_id": out["item_id"], "score": score / out["perfect"], "longest_run": run})[score >= least]
+
+
+def _around_seeds(items: list[tuple[int, np.ndarray]], seeds: list[np.ndarray], codes: list[np.ndarray], run: int):
+    """Aligns each document with the items whose seeds it holds, around these; a run of words needs a score of as many matches."""
+    owner, place = np.repeat(np.arange(len(items)), [len(s) for s in seeds]), np.concatenate(seeds)
+    gram = np.concatenate([c[s] for c, s in zip(codes, seeds, strict=True)])
+    order = np.argsort(gram, kind="stable")
+    owner, place = owner[order], place[order]
+    unique, first, sizes = np.unique(gram[order], return_index=True, return_counts=True)
+
+    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for hits in batches:
+            rows, parts = [], []
+            for doc, text, grams, positions in zip(hits["doc_id"], hits["words"], hits["grams"], hits["positions"], strict=True):
+                at = np.minimum(np.searchsorted(unique, grams), len(unique) - 1)
+                ok = unique[at] == grams
+                n = sizes[at[ok]]
+                met = np.repeat(first[at[ok]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                starts, whose = np.repeat(positions[ok], n).astype(np.int64) - place[met], owner[met]
+                b = word_codes(text.split(" "), known) if len(met) else None
+                for k in np.unique(whose):
+                    item, a = items[k]
+                    for low, high in _spans(starts[whose == k], len(a), len(b)):
+                        rows.append((doc, item, MATCH * len(a)))
+                        parts.append((a, b[low:high]))
+            yield _scored(rows, parts, MATCH * run)
+
+    return around
+
+
+def _where_possible(items: list[tuple[int, str]], least_score: float):
+    """Aligns each document with the items that it may match with ``least_score`` or has a run in common with.
 
     An alignment of M matched words in R unbroken runs costs at least R - 1, so it scores at most
     2 M - (R - 1) = M + (M - R) + 1: the words of the item that the document holds, its pairs of words that the
@@ -200,12 +211,12 @@ def _bounds(items: list[tuple[int, str]], least_score: float):
     perfect = np.array([MATCH * len(w) for w in texts])
     reach = max(RUN, int(np.ceil(max(map(len, texts)) * max(1.0, 3 - 2 * least_score))))
 
-    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def where_possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for docs in batches:
             if len(known) > 1_000_000:
                 known = {}
-            rows = []
+            rows, aligned = [], []
             for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
                 tokens = words(text)
                 w, may = word_codes(tokens, known), np.zeros(len(items), bool)
@@ -217,12 +228,12 @@ def _bounds(items: list[tuple[int, str]], least_score: float):
                     n = sizes[at]
                     postings = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
                     may |= (np.bincount(owner[postings], worth[postings], len(items)) + 1) / perfect >= least_score
-                if tokens and may.any():
-                    joined = " ".join(tokens)
-                    rows += [(doc, items[k][0], joined, items[k][1]) for k in np.flatnonzero(may)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "item_text"])
+                for k in np.flatnonzero(may) if tokens else ():
+                    rows.append((doc, items[k][0], MATCH * len(texts[k])))
+                    aligned.append((texts[k], w))
+            yield _scored(rows, aligned)
 
-    return bounds
+    return where_possible
 
 
 def _clean(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -238,39 +249,31 @@ def leaks(documents: DataFrame, items: DataFrame, least_score: float = 0.6) -> D
     n-gram never match, and repeated item rows count once.
     """
     docs, items = _clean(documents, items)
-    sized = items.mapInPandas(_item_sizes, "item_id long, item_text string, n long").where(F.col("n") >= GRAM)
-    sized = materialize(sized, "items")
-    total = sized.agg(F.sum(3 * F.col("n"))).first()[0] or 0
-    slices = max(1, -(-total // MOST_SHIPPED))
-    pairs = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, words string, item_text string")
-    for i in range(slices):
-        shipped = [(r.item_id, r.item_text) for r in sized.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(slices)) == i).collect()]
-        if shipped:
-            pairs = pairs.unionAll(docs.mapInPandas(_bounds(shipped, least_score), pairs.schema))
-    even = pairs.repartition(shuffle_partitions(docs.sparkSession), "doc_id", "item_id")
-    scored = even.mapInPandas(_score, "doc_id long, item_id long, score double, longest_run int")
-    return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run")).where((F.col("score") >= least_score) | (F.col("longest_run") >= RUN))
+    scored = docs.sparkSession.createDataFrame([], _PAIRS)
+    for part in _parts(items, GRAM):
+        scored = scored.unionAll(docs.mapInPandas(_where_possible(part, least_score), _PAIRS))
+    return _best(scored).where((F.col("score") >= least_score) | (F.col("longest_run") >= RUN))
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"))
 
 
 def leaked_runs(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
-    """``doc_id, item_id`` of documents with at least ``run`` (13 or more) consecutive words of an item."""
+    """``doc_id, item_id, score, longest_run`` of documents with at least ``run`` (13 or more) consecutive words of an
+    item; the score is that around the seeds, ``SLACK`` words to either side of where they let the item lie."""
     docs, items = _clean(documents, items)
-    grams = materialize(items.withColumnRenamed("item_text", "text").mapInPandas(_item_grams, "item_id long, item_pos int, gram long"), "item_grams")
-    wanted = grams.select("gram").distinct()
-    schema = "doc_id long, words string, grams array<long>, positions array<int>"
-    if is_small(wanted, MOST_SHIPPED):
-        shipped = np.sort(np.array([r[0] for r in wanted.collect()], np.int64))
-        hits = materialize(docs.mapInPandas(_lookup(shipped), schema), "hits")
-        at = hits.select("doc_id", F.explode(F.arrays_zip("grams", "positions")).alias("h")).select("doc_id", F.col("h.grams").alias("gram"), F.col("h.positions").alias("doc_pos"))
-    else:
-        hits = materialize(docs.mapInPandas(_lookup(None), schema), "hits")
-        at = hits.select("doc_id", F.explode(F.arrays_zip("grams", "positions")).alias("h")).select("doc_id", F.col("h.grams").alias("gram"), F.col("h.positions").alias("doc_pos"))
-        at = materialize(at.join(wanted, "gram", "left_semi"), "found_grams")
-    counts = at.groupBy("gram").agg(F.count_distinct("doc_id").alias("n"))
-    per_item = grams.join(counts, "gram").groupBy("item_id").agg(F.collect_list("item_pos").alias("positions"), F.collect_list("gram").alias("grams"), F.collect_list("n").alias("counts"))
-    seeds = materialize(per_item.mapInPandas(_seeds(max(RARE_COUNT, RARE_SHARE * docs.count())), "item_id long, item_pos int, gram long"), "seeds")
-    pairs = at.join(broadcast_if_small(seeds, 20_000), "gram").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("doc_pos", "item_pos")).alias("hits"))
-    full = pairs.join(broadcast_if_small(items, 2_000), "item_id").join(hits.select("doc_id", "words"), "doc_id")
-    even = full.select("doc_id", "item_id", "words", "item_text", "hits").repartition(shuffle_partitions(docs.sparkSession), "doc_id", "item_id")
-    scored = even.mapInPandas(_score, "doc_id long, item_id long, score double, longest_run int")
-    return scored.where(F.col("longest_run") >= run).select("doc_id", "item_id").distinct()
+    out = docs.sparkSession.createDataFrame([], _PAIRS)
+    for part in _parts(items, run):
+        known: dict[str, int] = {}
+        texts = [(item, word_codes(words(text), known)) for item, text in part]
+        codes = [gram_codes(w) for _, w in texts]
+        shipped = np.unique(np.concatenate(codes))
+        hits = materialize(docs.mapInPandas(_lookup(shipped), "doc_id long, words string, grams array<long>, positions array<int>"), "hits")
+        held = hits.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").count().toPandas()  # at most as many as were shipped
+        counts = np.zeros(len(shipped), np.int64)
+        counts[np.searchsorted(shipped, held["gram"].to_numpy(np.int64))] = held["count"]
+        seeds = [seed_places(counts[np.searchsorted(shipped, c)]) for c in codes]
+        if any(map(len, seeds)):
+            out = out.unionAll(hits.mapInPandas(_around_seeds(texts, seeds, codes, run), _PAIRS))
+    return _best(out.where(F.col("longest_run") >= run))

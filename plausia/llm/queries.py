@@ -35,7 +35,7 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_runs(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+    return leakage.leaked_runs(_table(spark, d, "documents"), _table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -150,7 +150,9 @@ def test_leaks(spark, monkeypatch, shipped):
         docs.append((d, filler[0] + ". " + rng.choice([" ", "_", ", \n"]).join(w.upper() if rng.random() < 0.3 else w for w in cut) + " " + filler[1]))
     docs += [(90, None), (91, ""), (92, "!!"), (93, " ".join(rng.choices(WORDS, k=20_000)) + " " + items[0][1] * 3)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(7)).withColumn("words", F.lit("x"))
-    found = got(leakage.leaked_runs(df, spark.createDataFrame(items, "item_id long, text string")))
+    runs = leakage.leaked_runs(df, spark.createDataFrame(items, "item_id long, text string"))
+    found = got(runs.select("doc_id", "item_id"))
+    assert all(r.longest_run >= 13 and r.score > 0 for r in runs.collect())
     assert found == brute_leaks([x for x in docs], [x for x in items if x[0] is not None])
 
 
