@@ -2,7 +2,8 @@
 
 A name is read into a *core*: its tokens without case, accents, titles, legal forms and order. Cores are
 blocked by phonetic codes of their sorted tokens, compared token by token with Jaro–Winkler and a nickname
-table, and accepted pairs are clustered by connected components. Names in short form (an initial, a cut-off
+table, and accepted pairs are clustered by connected components. Within crowded blocks only those pairs are compared that
+share what is left after deleting the letters in which they may differ, which are all that can be accepted. Names in short form (an initial, a cut-off
 word, a nickname) join a cluster only if no other cluster fits them as well.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import permutations
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,9 +44,14 @@ NICKNAMES = {
     "trish": "patricia", "val": "valentina valerie", "vicky": "victoria", "vic": "victor victoria", "wally": "walter", "walt": "walter", "wat": "walter", "will": "william", "willy": "william", "zach": "zachary", "zack": "zachary",
 }
 _FORMALS = {nick: frozenset(formal.split()) for nick, formal in NICKNAMES.items()}
-#: Blocks of more cores than this are cut finer by the letters of the differing token.
+#: Blocks of more cores than this are cut finer.
 MAX_BLOCK = 200
-LEAST_SIMILARITY = 0.85
+#: Jaro–Winkler similarity from which tokens two slips apart are one, and tokens one slip apart; slips of a name in all.
+SURE_SIMILARITY, LEAST_SIMILARITY, MOST_SLIPS = 0.94, 0.85, 2
+#: Tokens shorter than this are never alike enough when they are two slips apart.
+LEAST_LETTERS = 5
+#: Names of up to so many words are matched to spellings that run two of them together.
+MOST_JOINED = 8
 FULL, NICK, CUT, INITIAL = 0, 1, 2, 3
 
 _SOUND = {c: d for d, letters in {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}.items() for c in letters}
@@ -116,17 +122,37 @@ def one_slip(a: str, b: str) -> bool:
     return short[i:] == long[i + 1 :]
 
 
-def deletions(word: str) -> set[str]:
-    """The word and what is left after losing one letter: words one slip apart share one of these."""
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+def two_slips(a: str, b: str) -> bool:
+    """Whether at most two slips turn ``a`` into ``b``, no letter taking part in both."""
+    if abs(len(a) - len(b)) > 2:
+        return False
+    before, row = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            cost = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                cost = min(cost, before[j - 2] + 1)
+            new.append(cost)
+        before, row = row, new
+    return row[-1] <= 2
+
+
+def deletions(word: str, n: int = 1) -> set[str]:
+    """The word and what is left after losing up to ``n`` letters: words ``n`` slips apart share one of these."""
+    out = {word}
+    for _ in range(n):
+        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
+    return out
 
 
 def token_form(token: str, cut: bool) -> int:
     return INITIAL if len(token) == 1 else CUT if cut else NICK if token in _FORMALS else FULL
 
 
+@lru_cache(maxsize=1 << 18)
 def match_tokens(a: tuple[str, bool], b: tuple[str, bool]) -> str | None:
-    """``same``, ``slip`` or the short form by which one token can stand for the other."""
+    """``same``, ``slip``, ``slips`` (two) or the short form by which one token can stand for the other."""
     (x, x_cut), (y, y_cut) = a, b
     if x == y:
         return "same" if x_cut == y_cut or len(x) == 1 else "cut"
@@ -137,59 +163,100 @@ def match_tokens(a: tuple[str, bool], b: tuple[str, bool]) -> str | None:
         return "initial" if long.startswith(short) else None
     if cut and long.startswith(short):
         return "cut"
-    if x_cut or y_cut or min(len(x), len(y)) < 3:
+    if x_cut or y_cut or min(len(x), len(y)) < 3 or abs(len(x) - len(y)) > 2:
+        return None
+    alike = jaro_winkler(x, y)
+    if alike < LEAST_SIMILARITY:
         return None
-    return "slip" if jaro_winkler(x, y) >= LEAST_SIMILARITY and one_slip(x, y) else None
+    if one_slip(x, y):
+        return "slip"
+    return "slips" if alike >= SURE_SIMILARITY and len(short) >= LEAST_LETTERS and two_slips(x, y) else None
+
+
+_SLIPS = {"same": 0, "slip": 1, "slips": 2}
 
 
-def compare(a: list[tuple[str, bool]], b: list[tuple[str, bool]]) -> tuple[str, str, str] | None:
-    """``(kind, token of a, token of b)`` of the best way to match all tokens, or None. Kind ``slip`` names the
-    tokens that differ; ``short`` is a match through one short form (a nickname may come with a slip)."""
+def compare(a: list[tuple[str, bool]], b: list[tuple[str, bool]]) -> str | None:
+    """How all tokens of ``a`` match those of ``b`` at best, or None: ``same``, ``slip`` with up to two slips, or ``short``
+    through one short form (a nickname may come with a slip). A token is left to others only once they can use it."""
     if len(a) != len(b):
-        return ("same", "", "") if _run_together(a, b) or _run_together(b, a) else None
-    best = None
-    for order in permutations(range(len(b))) if len(b) <= 4 else [range(len(b))]:
-        kinds = [match_tokens(x, b[j]) for x, j in zip(a, order, strict=True)]
-        if None in kinds:
-            continue
-        slips = [(x[0], b[j][0]) for x, j, k in zip(a, order, kinds, strict=True) if k == "slip"]
-        short = [k for k in kinds if k in ("nick", "cut", "initial")]
-        if len(slips) > 1 or len(short) > 1 or (short and len(a) < 2) or (slips and short and short[0] != "nick"):
-            continue
-        cost = len(slips) + 2 * len(short)
-        if best is None or cost < best[0]:
-            best = (cost, ("short" if short else "slip" if slips else "same", *(slips[0] if slips else ("", ""))))
-    return best and best[1]
+        return "same" if _run_together(a, b) or _run_together(b, a) else None
+    best = (4, None)
+
+    def match(i: int, left: list[tuple[str, bool]], slips: int, short: str | None) -> None:
+        nonlocal best
+        if slips > (MOST_SLIPS if short is None else int(short == "nick")) or (short and len(a) < 2) or slips + 2 * bool(short) >= best[0]:
+            return
+        if i == len(a):
+            best = (slips + 2 * bool(short), "short" if short else "slip" if slips else "same")
+            return
+        for j, token in enumerate(left):
+            if token in left[:j]:
+                continue
+            kind = match_tokens(a[i], token)
+            if kind in _SLIPS:
+                match(i + 1, left[:j] + left[j + 1 :], slips + _SLIPS[kind], short)
+            elif kind and short is None:
+                match(i + 1, left[:j] + left[j + 1 :], slips, kind)
+
+    match(0, list(b), 0, None)
+    return best[1]
+
+
+def _joined(tokens: list[tuple[str, bool]]) -> set[str]:
+    """The core with two tokens run together, in every way."""
+    words = [t for t, _ in tokens]
+    if not 2 <= len(words) <= MOST_JOINED:
+        return set()
+    return {" ".join(sorted([x + y, *(w for k, w in enumerate(words) if k not in (i, j))])) for i, x in enumerate(words) for j, y in enumerate(words) if i != j}
 
 
 def _run_together(a: list[tuple[str, bool]], b: list[tuple[str, bool]]) -> bool:
-    """Whether ``a`` is one word and ``b`` the same word typed as two."""
-    return len(a) == 1 and len(b) == 2 and a[0][0] in (b[0][0] + b[1][0], b[1][0] + b[0][0])
+    """Whether ``a`` is ``b`` with two words typed as one."""
+    return len(a) == len(b) - 1 and " ".join(t for t, _ in a) in _joined(b)
 
 
-def block_keys(tokens: list[tuple[str, bool]]) -> list[tuple[str, str, str]]:
-    """``(key, the differing token, the others)``: phonetic codes of the sorted tokens, all of them, and all
-    but one with the first or the last letter of that one. One word and two that may be its halves meet under
-    the word itself."""
+def block_keys(tokens: list[tuple[str, bool]]) -> set[str]:
+    """Phonetic codes of the sorted tokens: of all but one of them, with the first or the last letter of that one.
+    Spellings that run two words together meet the others under the core itself."""
+    core = " ".join(t for t, _ in tokens)
+    keys = {"5" + core} | {"5" + x for x in _joined(tokens)}
     if len(tokens) == 1:
-        t = tokens[0][0]
-        return [("1" + soundex(t), t, ""), ("2" + soundex(t[::-1]), t, ""), ("5" + t, t, "")]
-    keys = []
-    if len(tokens) == 2:
-        (x, _), (y, _) = tokens
-        keys = [("5" + x + y, x + y, ""), ("5" + y + x, y + x, "")]
+        return keys | {"1" + soundex(core), "2" + soundex(core[::-1])}
+    codes = [{soundex(x)} | {soundex(formal) for formal in _FORMALS.get(x, ())} for x, _ in tokens]
     for i, (t, cut) in enumerate(tokens):
-        rest = [x for j, x in enumerate(tokens) if j != i]
-        others = " ".join(x for x, _ in rest)
-        sounds = {" ".join(sorted(soundex(x) for x, _ in rest))}
-        for j, (x, _) in enumerate(rest):
-            for formal in _FORMALS.get(x, ()):
-                sounds.add(" ".join(sorted(soundex(formal if k == j else y) for k, (y, _) in enumerate(rest))))
+        plain = [soundex(x) for j, (x, _) in enumerate(tokens) if j != i]
+        others = [c for j, c in enumerate(codes) if j != i]
+        sounds = {" ".join(sorted(plain))} | {" ".join(sorted([*plain[:k], c, *plain[k + 1 :]])) for k, cs in enumerate(others) for c in cs}
         firsts = {t[0]} | {f[0] for f in _FORMALS.get(t, ())}
         for s in sounds:
-            keys += [(f"3{s} {c}", t, others) for c in sorted(firsts)]
+            keys |= {f"3{s} {c}" for c in firsts}
             if token_form(t, cut) == FULL:
-                keys.append((f"4{s} {t[-1]}", t, others))
+                keys.add(f"4{s} {t[-1]}")
+    return keys
+
+
+def finer_keys(tokens: list[tuple[str, bool]]) -> set[tuple[str, bool]]:
+    """What two cores share if :func:`compare` accepts them, and whether that is only for short forms.
+
+    With up to two slips they share the tokens less up to two letters; through a short form the other tokens less
+    a letter, and the first letter of what it stands for; run together, the core with the words joined.
+    """
+    words = [t for t, _ in tokens]
+    sort = lambda ws: " ".join(sorted(ws))
+    once = [deletions(w) if len(w) > 2 else {w} for w in words]
+    out = {"5" + sort(words)} | {"5" + x for x in _joined(tokens)}
+    for i, w in enumerate(words):
+        rest = words[:i] + words[i + 1 :]
+        out |= {"6" + sort([d, *rest]) for d in (deletions(w, 2) if len(w) >= LEAST_LETTERS else once[i])}
+        for j in range(i):
+            others = [x for k, x in enumerate(words) if k not in (i, j)]
+            out |= {"6" + sort([d, e, *others]) for d in once[i] for e in once[j]}
+    keys = {(k, False) for k in out}
+    for i, (t, _) in enumerate(tokens if len(tokens) > 1 else []):
+        rest = words[:i] + words[i + 1 :]
+        left = {sort(rest)} | {sort([d, *rest[:j], *rest[j + 1 :]]) for j, w in enumerate(rest) for d in (deletions(w) if len(w) > 2 else {w})}
+        keys |= {(f"7{c} {r}", True) for c in {t[0]} | {f[0] for f in _FORMALS.get(t, ())} for r in left}
     return keys
 
 
@@ -208,53 +275,36 @@ def _tokens(core: str) -> list[tuple[str, bool]]:
 
 def _keys_of_cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for cores in batches:
-        rows = [(core, form, *k) for core, form in zip(cores["core"], cores["form"], strict=True) for k in block_keys(_tokens(core))]
-        yield pd.DataFrame(rows, columns=["core", "form", "block", "token", "others"])
-
-
-def _formal_forms(others: str) -> set[str]:
-    """The tokens, and the tokens with one nickname replaced by each formal name, sorted."""
-    tokens = others.split(" ")
-    return {others} | {" ".join(sorted([*tokens[:i], formal, *tokens[i + 1 :]])) for i, t in enumerate(tokens) for formal in _FORMALS.get(t, ())}
+        rows = [(core, form, k) for core, form in zip(cores["core"], cores["form"], strict=True) for k in block_keys(_tokens(core))]
+        yield pd.DataFrame(rows, columns=["core", "form", "block"])
 
 
 def _finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keys within crowded blocks. Two cores that differ by a slip share a deletion of the token that slipped
-    (and the other tokens, a nickname among them replaced by what it stands for); a short form and what it stands
-    for share the other tokens, slipped or not."""
-    for rows in batches:
-        out = []
-        for core, form, block, token, others in rows[["core", "form", "block", "token", "others"]].itertuples(index=False):
-            out += [(core, form, f"{block}#{d}#{o}", False) for d in deletions(token) for o in _formal_forms(others)]
-            out += [(core, form, f"{block}#{d}", True) for d in deletions(others)]
-        yield pd.DataFrame(out, columns=["core", "form", "block", "only_short"])
+    for cores in batches:
+        for core, form in zip(cores["core"], cores["form"], strict=True):
+            keys = finer_keys(_tokens(core))
+            yield pd.DataFrame({"core": core, "form": form, "block": ["#" + k for k, _ in keys], "only_short": [o for _, o in keys]})
 
 
 def _compare_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs that are accepted and share a block."""
     for pairs in batches:
-        rows = [(a, b, *(compare(_tokens(a), _tokens(b)) or (None, "", ""))) for a, b in zip(pairs["a"], pairs["b"], strict=True)]
-        out = pd.DataFrame(rows, columns=["a", "b", "kind", "token_a", "token_b"])
-        yield out[out["kind"].notna()]
-
-
-def _slipped(pairs: DataFrame, cores: DataFrame) -> DataFrame:
-    """Drops slips between two tokens that are both in wide use: those are different names, not typos."""
-    use = cores.select("core", F.explode(F.array_distinct(F.split(F.regexp_replace("core", r"\.", ""), " "))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    plain = pairs.where("token_a = ''")
-    slips = pairs.where("token_a <> ''")
-    slips = slips.join(use.select(F.col("token").alias("token_a"), F.col("n").alias("n_a")), "token_a").join(use.select(F.col("token").alias("token_b"), F.col("n").alias("n_b")), "token_b")
-    kept = slips.where((F.least("n_a", "n_b") <= 1) | (F.least("n_a", "n_b") * 4 <= F.greatest("n_a", "n_b")))
-    return plain.select("a", "b", "kind").unionAll(kept.select("a", "b", "kind"))
+        rows = []
+        for a, b in zip(pairs["a"], pairs["b"], strict=True):
+            x, y = _tokens(a), _tokens(b)
+            kind = compare(x, y)
+            if kind and block_keys(x) & block_keys(y):
+                rows.append((a, b, kind))
+        yield pd.DataFrame(rows, columns=["a", "b", "kind"])
 
 
 def candidate_pairs(cores: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
-    """``a, b`` with ``a < b``: pairs of cores that share a block, or a finer key of a crowded one."""
-    keyed = materialize(cores.mapInPandas(_keys_of_cores, "core string, form int, block string, token string, others string"), "keys")
-    sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-    crowded = sizes.where(F.col("size") > max_block).select("block")
-    fine = keyed.join(crowded, "block", "left_anti").select("core", "form", "block", F.lit(False).alias("only_short"))
-    finer = keyed.join(crowded, "block", "left_semi").mapInPandas(_finer, "core string, form int, block string, only_short boolean")
-    blocks = fine.unionAll(finer).distinct()
+    """``a, b`` with ``a < b``: pairs of cores that share a block, or a finer key if it is crowded."""
+    keyed = materialize(cores.mapInPandas(_keys_of_cores, "core string, form int, block string"), "keys")
+    crowded = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > max_block).select("block")
+    plain = keyed.join(crowded, "block", "left_anti").select("core", "form", "block", F.lit(False).alias("only_short"))
+    in_crowds = keyed.join(crowded, "block", "left_semi").select("core", "form").distinct()
+    blocks = materialize(plain.unionAll(in_crowds.mapInPandas(_finer, "core string, form int, block string, only_short boolean")), "blocks")
     a, b = blocks.alias("a"), blocks.alias("b")
     wanted = (F.col("a.block") == F.col("b.block")) & (F.col("a.core") < F.col("b.core")) & (~F.col("a.only_short") | (F.col("a.form") != F.col("b.form")))
     return a.join(b, wanted).select(F.col("a.core").alias("a"), F.col("b.core").alias("b")).distinct()
@@ -266,8 +316,8 @@ def name_clusters(names: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
     distinct = names.where("name is not null").select("name").distinct()
     read_names = materialize(distinct.mapInPandas(_read_names, "name string, core string, form int").where("form >= 0"), "names")
     cores = read_names.select("core", "form").distinct()
-    pairs = candidate_pairs(cores, max_block).repartition(shuffle_partitions(names.sparkSession), "a", "b").mapInPandas(_compare_pairs, "a string, b string, kind string, token_a string, token_b string")
-    pairs = materialize(_slipped(materialize(pairs, "compared"), cores), "pairs")
+    pairs = candidate_pairs(cores, max_block).repartition(shuffle_partitions(names.sparkSession), "a", "b").mapInPandas(_compare_pairs, "a string, b string, kind string")
+    pairs = materialize(pairs, "pairs")
     edges = pairs.where("kind <> 'short'").select(F.col("a").alias("u"), F.col("b").alias("v"))
     short = pairs.where("kind = 'short'").select("a", "b")
     forms = cores.select(F.col("core").alias("weak"), F.col("form").alias("weak_form"))

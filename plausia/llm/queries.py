@@ -20,6 +20,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_pairs(names.typed_names(_table(spark, d, "relationship_edges"), _table(spark, d, "dimensions")))
 
 
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_clusters(names.typed_names(_table(spark, d, "relationship_edges"), _table(spark, d, "dimensions")))
+
+
 def _turn_batches(spark: SparkSession, d: str) -> list[DataFrame]:
     events = _table(spark, d, "evidence_events")
     imported = F.coalesce(F.col("source") == "import", F.lit(False))
@@ -58,7 +62,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_records(_table(spark, d, "documents")).withColumn("posterior", F.round("posterior", 4))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p7_found, p7_counts, p8_found, p8_scores, p9_mixture, p9_shares, p10_found, p10_scores)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_clusters, p7_found, p7_counts, p8_found, p8_scores, p9_mixture, p9_shares, p10_found, p10_scores)}
 
 _LETTERS = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 _IS_FIELDS = "(len({0}) >= 2 AND list_bool_and([regexp_full_match(f, '(?s)[^:=]*[\\p{{L}}\\p{{N}}][^:=]*[:=].*[\\p{{L}}\\p{{N}}].*') FOR f IN {0}]))"
