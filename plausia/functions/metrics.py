@@ -11,6 +11,14 @@ from .text import match_form
 #: The four categories of the macro average, and question types by their labels.
 CATEGORIES = ["single-hop", "multi-hop", "temporal", "open-domain"]
 ABSTENTIONS = ["unknown", "don't know", "do not know", "no information"]
+SESSION_TYPES = {
+    "single-session-user": "single-session",
+    "single-session-assistant": "single-session",
+    "single-session-preference": "single-session",
+    "temporal-reasoning": "temporal",
+    "knowledge-update": "knowledge-update",
+    "multi-session": "multi-session",
+}
 CONVERSATION_CATEGORIES = {1: "multi-hop", 2: "temporal", 3: "open-domain", 4: "single-hop", 5: "adversarial"}
 
 
@@ -65,3 +73,30 @@ def rescored(results: DataFrame) -> DataFrame:
     )
     macro = per.where(F.col("category").isin(CATEGORIES)).agg(F.lit("macro").alias("category"), F.sum("n").alias("n"), F.avg("token_f1").alias("token_f1"), F.avg("bleu1").alias("bleu1"), F.avg("judge").alias("judge"))
     return per.unionByName(macro)
+
+
+def session_type(label: Column) -> Column:
+    """The question type of a label, which is its own if it is not listed."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in SESSION_TYPES.items() for x in pair)), label), label)
+
+
+def conversation_type(category: Column) -> Column:
+    """The question type of a numbered category, null for others."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in CONVERSATION_CATEGORIES.items() for x in pair)), category)
+
+
+def calibration(rated: DataFrame) -> DataFrame:
+    """``level, n, mean`` of ``rated(level, reliability)``, and as ``separation`` the mean of ``high`` less that of ``low``."""
+    per = rated.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.avg("reliability").alias("mean"))
+    of = lambda level: F.avg(F.when(F.col("level") == level, F.col("reliability")))
+    return per.unionByName(rated.agg(F.lit("separation").alias("level"), F.count_if(F.col("level").isin("high", "low")).alias("n"), (of("high") - of("low")).alias("mean")))
+
+
+def holds_value(answer: Column, value: Column) -> Column:
+    """Whether an answer holds a short value: an equal number, the whole word, or within words if the value has at
+    least four letters and digits or, as written, a full stop."""
+    words = F.regexp_extract_all(F.lower(answer), F.lit("[a-z0-9.]+"), F.lit(0))
+    bare = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    number, long = value.try_cast("double"), F.length(bare(value)) >= 4
+    within = F.array_contains(words, F.lower(value)) | (F.contains(F.lower(answer), F.lower(value)) & (long | F.contains(value, F.lit(".")))) | (F.contains(bare(answer), bare(value)) & long)
+    return F.when(number.isNotNull(), F.exists(words, lambda w: F.coalesce(w.try_cast("double") == number, F.lit(False)))).otherwise(within)

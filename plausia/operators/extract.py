@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -59,6 +60,10 @@ def _claim(rule: int, attribute: str) -> Callable[[Column, Column], Column]:
     return lambda hit, place: F.struct(F.lit(rule).alias("rule"), place.alias("place"), F.lit(attribute).alias("attribute"), cleaned(hit["entity"]).alias("entity"), cleaned(hit["value"]).alias("value"))
 
 
+def _parts(pattern: str) -> Callable[[Column], Column]:
+    return lambda match: F.struct(F.regexp_extract(match, pattern, 1).alias("entity"), F.regexp_extract(match, pattern, 2).alias("value"))
+
+
 def extract_claims(turns: DataFrame) -> DataFrame:
     """``turns`` with its columns and, per claim, entity, attribute, value and position.
 
@@ -68,14 +73,15 @@ def extract_claims(turns: DataFrame) -> DataFrame:
     """
     found = []
     for i, (attribute, verb, value, rest) in enumerate(RULES):
-        pattern = F.lit(rf"(?i)({ENTITY})\s+{verb}({value}){rest}")
-        hits = F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(1)).alias("entity"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("value"))
-        found.append(F.transform(hits, _claim(i, attribute)))
-    rows = turns.where("text is not null").select("turn_id", F.explode(reduce(lambda a, b: F.concat(a, b), found)).alias("c")).select("turn_id", "c.*")
-    rows = rows.where("entity <> '' and value <> '' and lower(entity) <> lower(value)")
-    per = rows.groupBy("turn_id", "entity", "attribute").agg(F.max_by("value", F.struct("rule", "place")).alias("value"), F.min(F.struct("rule", "place")).alias("first"))
-    claims = per.withColumn("position", F.row_number().over(Window.partitionBy("turn_id").orderBy("first", "entity"))).drop("first")
-    return claims.join(turns.drop("text"), "turn_id")
+        pattern = rf"(?i)({ENTITY})\s+{verb}({value}){rest}"
+        hits = F.when(F.col("text").rlike(rf"(?i)\s{verb}"), F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), _parts(pattern)))  # most texts lack most verbs
+        found.append(F.transform(F.coalesce(hits, F.array().cast("array<struct<entity:string,value:string>>")), _claim(i, attribute)))
+    others = [c for c in turns.columns if c not in ("turn_id", "text")]
+    held = turns.where("text is not null").select("turn_id", F.struct(*others, F.lit(0).alias("_")).alias("_turn"), F.explode(reduce(lambda a, b: F.concat(a, b), found)).alias("c"))
+    rows = held.select("turn_id", "_turn", "c.*").where("entity <> '' and value <> '' and lower(entity) <> lower(value)")
+    per = rows.groupBy("turn_id", "entity", "attribute").agg(F.max_by("value", F.struct("rule", "place")).alias("value"), F.min(F.struct("rule", "place")).alias("first"), F.first("_turn").alias("_turn"))
+    claims = per.withColumn("position", F.row_number().over(Window.partitionBy("turn_id").orderBy("first", "entity")))
+    return claims.select("turn_id", "entity", "attribute", "value", "position", *(F.col(f"_turn.`{c}`").alias(c) for c in others))
 
 
 def parsed_claims(replies: DataFrame, default_reliability: float = 0.7) -> DataFrame:
@@ -107,18 +113,48 @@ def resolve_aliases(claims: DataFrame, aliases: DataFrame) -> DataFrame:
 Client = Callable[[list[str]], list[str | None]]
 
 
-def ask(turns: DataFrame, client: Client, batch: int = 32) -> DataFrame:
-    """``turn_id, reply`` from a caller's client, called in batches within the tasks; a batch that fails gives
-    null replies. The client must be picklable and bring its own credentials and retries."""
+def ask(turns: DataFrame, client: Client, batch: int = 32, attempts: int = 4, wait_seconds: float = 15.0) -> DataFrame:
+    """``turn_id, reply`` from a caller's client, called in batches within the tasks. A batch that fails is tried again
+    after ``wait_seconds``, twice that, and so on; after ``attempts`` its replies are null. The client must be picklable
+    and bring its own credentials."""
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i in range(0, len(frame), batch):
                 part = frame.iloc[i : i + batch]
-                try:
-                    replies = client(list(part["text"]))
-                except Exception:  # noqa: BLE001 - one batch must not end the job
-                    replies = [None] * len(part)
+                replies = [None] * len(part)
+                for attempt in range(attempts):
+                    try:
+                        replies = client(list(part["text"]))
+                        break
+                    except Exception:  # noqa: BLE001 - one batch must not end the job
+                        if attempt + 1 < attempts:
+                            time.sleep(wait_seconds * (attempt + 1))
                 yield pd.DataFrame({"turn_id": part["turn_id"], "reply": replies})
 
     return turns.select("turn_id", "text").mapInPandas(call, f"turn_id {dict(turns.dtypes)['turn_id']}, reply string")
+
+
+def _bare_reply(reply: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(reply), r"^```[^\n]*\n", ""), r"\s*```\s*$", ""))
+
+
+def parsed_questions(replies: DataFrame) -> DataFrame:
+    """``turn_id, position, entity, attribute`` asked for, in replies (``turn_id, reply``) that list objects with both."""
+    pairs = F.from_json(_bare_reply(F.col("reply")), "array<struct<entity:string,attribute:string>>")
+    rows = replies.select("turn_id", F.posexplode(pairs).alias("position", "c")).where("trim(c.entity) <> '' and trim(c.attribute) <> ''")
+    return rows.select("turn_id", "position", entity_form(F.trim("c.entity")).alias("entity"), attribute_form(F.trim("c.attribute")).alias("attribute"))
+
+
+#: A question of more words than this, about relationships or over several hops, may be split, into at most so many.
+SPLIT_FROM_WORDS, MOST_PARTS = 12, 3
+
+
+def split_questions(questions: DataFrame, replies: DataFrame) -> DataFrame:
+    """``question_id, part, text``: questions with their type (``question_id, text, type``) split by a model's replies
+    (``question_id, reply``, a list of texts). Short questions, other types and replies that cannot be read leave the question whole."""
+    parts = F.slice(F.from_json(F.trim(F.regexp_replace("reply", "```(?:json)?", "")), "array<string>"), 1, MOST_PARTS)
+    long = (F.size(F.split(F.trim("text"), r"\s+")) > SPLIT_FROM_WORDS) & F.col("type").isin("multi-hop", "relationship")
+    asked = questions.join(replies.groupBy("question_id").agg(F.min("reply").alias("reply")), "question_id", "left").withColumn("parts", parts)
+    usable = long & (F.size("parts") > 0) & F.forall("parts", lambda p: p.isNotNull())
+    return asked.select("question_id", F.posexplode(F.when(usable, F.col("parts")).otherwise(F.array("text"))).alias("part", "text"))

@@ -145,18 +145,19 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at += n
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """``rows(id, seq, link)`` with ``seq`` replaced by unique numbers in order of ``seq`` and ``id``: places in sorted ranges,
+def numbered_rows(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``number``, their place (from 0) in the given order, which must tell them apart: places in sorted ranges,
     and where each range begins."""
     spark = rows.sparkSession
-    ranges = rows.select("id", "seq", "link").repartitionByRange(shuffle_partitions(spark), "seq", "id").sortWithinPartitions("seq", "id")
-    placed = materialize(ranges.mapInArrow(_places, "id string, seq long, link string, range_no int, place long"), "places")
+    ranges = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    placed = materialize(ranges.mapInArrow(_places, f"{fields}, range_no int, place long"), "places")
     sizes, begins, at = sorted(map(tuple, placed.groupBy("range_no").count().collect())), [], 0  # one row a range
     for range_no, n in sizes:
         begins.append((range_no, at))
         at += n
-    starts = spark.createDataFrame(begins, "range_no int, begins long")
-    return materialize(placed.join(broadcast_if_small(starts, 1_000_000), "range_no").select("id", (F.col("begins") + F.col("place")).alias("seq"), "link"), "nodes")
+    starts = broadcast_if_small(spark.createDataFrame(begins, "range_no int, begins long"), 1_000_000)
+    return placed.join(starts, "range_no").select(*rows.columns, (F.col("begins") + F.col("place")).alias("number"))
 
 
 def nodes_of(deltas: DataFrame) -> DataFrame:
@@ -168,7 +169,8 @@ def nodes_of(deltas: DataFrame) -> DataFrame:
     """
     first = materialize(first_deliveries(deltas, nonblank(F.col("cascaded_from")).alias("link")).withColumn("seq", F.coalesce("seq", F.lit(0)).cast("long")), "nodes")
     if first.select("seq").distinct().count() < first.count():
-        first = numbered(first)
+        in_order = numbered_rows(first.select("id", "seq", "link"), ["seq", "id"])
+        first = materialize(in_order.select("id", F.col("number").alias("seq"), "link"), "nodes")
     ids = first.select(F.col("id").alias("link"), F.col("seq").alias("parent"))
     linked = first.where("link is not null").join(ids, "link", "left").select(F.col("seq").alias("node"), "id", F.lit(True).alias("has_link"), "parent")
     plain = first.where("link is null").select(F.col("seq").alias("node"), "id", F.lit(False).alias("has_link"), F.lit(None).cast("long").alias("parent"))

@@ -91,6 +91,24 @@ def accuracy_table(outcomes: DataFrame, guard: str = "adversarial") -> DataFrame
     return both.select("type", "strategy", "n", "accuracy").unionByName(realistic.select("type", "strategy", "n", "accuracy"))
 
 
+def fragmented(claims: DataFrame) -> DataFrame:
+    """``fact, n_true, n_poison, fragmented`` of ``claims(fact, kind, entity, attribute, value, target)``: whether the ``true``
+    claims of a fact that carry its target (either contains the other, letters and digits alone) share no dimension with
+    the ``poison`` claims that carry theirs, so that they never compete."""
+    bare = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    v, t = bare(F.col("value")), bare(F.col("target"))
+    carried = F.contains(v, t) | F.contains(t, v)
+    dimension = F.when(carried, F.struct("entity", "attribute"))
+    held = claims.groupBy("fact").agg(*(F.array_compact(F.collect_set(F.when(F.col("kind") == kind, dimension))).alias(kind) for kind in ("true", "poison")))
+    return held.select("fact", F.size("true").alias("n_true"), F.size("poison").alias("n_poison"), (~F.arrays_overlap("true", "poison")).alias("fragmented"))
+
+
+def extraction_tax(outcomes: DataFrame) -> DataFrame:
+    """One row: percent right with claims given (``pinned``), with claims read from text (``unpinned``), and the difference."""
+    pinned, unpinned = (F.avg(F.col(c).cast("double")) * 100 for c in ("pinned", "unpinned"))
+    return outcomes.agg(F.count(F.lit(1)).alias("n"), pinned.alias("pinned"), unpinned.alias("unpinned"), (pinned - unpinned).alias("tax"))
+
+
 #: Regimes of observation sequences: observations of V, W and V again, as (fewest, most), with reliabilities
 #: of V and W; the truth is what V or V2 names.
 REGIMES = {

@@ -7,10 +7,22 @@ from pyspark.sql import functions as F
 
 from ..cluster import materialize
 from ..functions.temporal import evidence_line
+from ..functions.text import percent
 from ..operators import context as C
 from ..operators import graph, queries, search
 
 
+def _believed_relations(shown: DataFrame, beliefs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Lines of relations that are believed but not ``listed`` as edges, after the edges of their entity."""
+    wide = graph.relations_from_beliefs(beliefs, wide=True).withColumn("_wide", F.lit(True))
+    few = graph.relations_from_beliefs(beliefs).withColumn("_wide", F.lit(False))
+    fits = shown.join(wide.unionByName(few), "entity").where(F.col("_wide") == (F.col("type") == "relationship"))
+    key = [F.lower("entity").alias("e"), F.lower("relation").alias("r"), F.lower("related").alias("t")]
+    new = fits.select("*", *key).join(listed, ["question_id", "e", "r", "t"], "left_anti")
+    line = F.concat("entity", F.lit(" --"), F.translate("relation", "_", " "), F.lit("--> "), "related", F.lit(" ("), percent(F.col("p")), F.lit(" belief)"))
+    return new.select("question_id", "position", F.lit(0).alias("part"), (1 - F.col("p")).alias("k"), line.alias("line"))
+
+
 def build_context(questions: DataFrame, dimensions: DataFrame, deltas: DataFrame, edges: DataFrame, events: DataFrame, top_k: int = 5, aggregate_observed: bool = True) -> DataFrame:
     """``question_id, section, section_pos, line, line_pos`` for ``questions(question_id, text)``."""
     beliefs = queries.current_dimensions(dimensions)
@@ -41,7 +53,9 @@ def build_context(questions: DataFrame, dimensions: DataFrame, deltas: DataFrame
     direct = shown.where(F.col("position") <= top_k).join(edges.withColumn("_key", F.lower("source_entity")), F.lower("entity") == F.col("_key")).join(types, "question_id")
     direct = direct.where(F.col("type").isin("relationship", "multi-hop") | (F.col("confidence") >= 0.5))
     lines_of = direct.select("question_id", "position", F.lit(0).alias("part"), (-F.coalesce("confidence", F.lit(0.0))).alias("k"), C.edge_line().alias("line"))
+    listed = direct.select(F.lower("entity").alias("e"), F.lower("relation").alias("r"), F.lower("target_entity").alias("t"), "question_id").distinct()
+    relation_lines = lines_of.unionByName(_believed_relations(shown.where(F.col("position") <= top_k).join(types, "question_id"), beliefs, listed))
     hops = reached.where(F.size("path") >= 3).select("question_id", F.lit(1_000).alias("position"), F.lit(1).alias("part"), F.col("depth").cast("double").alias("k"), C.path_line(F.col("path")).alias("line"))
     rel_order = F.row_number().over(Window.partitionBy("question_id").orderBy("part", "position", "k", "line"))
-    relations = lines_of.unionByName(hops).select("question_id", rel_order.alias("line_pos"), "line")
+    relations = relation_lines.unionByName(hops).select("question_id", rel_order.alias("line_pos"), "line")
     return C.assembled(types, profiles, relations, evidence)
