@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import fresh_path, materialize, remove_path, shuffle_partitions
+from ..cluster import fresh_path, materialize, shuffle_partitions
+from ..sources.versions import Versions
 from .deltas import first_deliveries, top_value, valid_seconds
 
 CHANGES = "dimension_id string, delta_id string, valid_from double, seq long, value string"
@@ -130,44 +131,17 @@ def read_chains(spark: SparkSession, path: str) -> DataFrame:
     return scanned.unionAll(spark.read.schema(CHAINS).parquet(f"{path}/mended"))
 
 
-class HistoryStore:
+class HistoryStore(Versions):
     """Raw changes and version chains in a folder, as a row of batches.
 
     A batch writes its raw changes, the entities that it touches and their rebuilt chains into a folder of its own;
     the chains of these entities in earlier batches are void from then on, those of others stay as they are. The
-    batch counts once the list of live batches has been written: readers follow the last complete list, so they see
-    all of a batch or none, and a job that fails before leaves nothing that anyone reads. :meth:`compact` writes
-    what is live as one batch. One writer at a time.
+    batch counts once the list of live batches has been written. :meth:`compact` writes what is live as one batch.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or fresh_path(spark, "history")
-
-    def _hadoop(self, name: str):
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _names(self, folder: str) -> list[str]:
-        where, fs = self._hadoop(folder)
-        return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-
-    def _exists(self, name: str) -> bool:
-        where, fs = self._hadoop(name)
-        return fs.exists(where)
-
-    def _lists(self) -> list[int]:
-        return sorted(int(n[1:]) for n in self._names("lists") if self._exists(f"lists/{n}/_SUCCESS"))
-
     def batches(self) -> list[int]:
         """The live batches, oldest first."""
-        lists = self._lists()
-        if not lists:
-            return []
-        return sorted(r["batch"] for r in self.spark.read.schema("batch int").json(f"{self.path}/lists/v{lists[-1]}").collect())
-
-    def _commit(self, batches: list[int]) -> None:
-        number = 1 + max(self._lists(), default=0)
-        self.spark.createDataFrame([(b,) for b in batches], "batch int").coalesce(1).write.mode("overwrite").json(f"{self.path}/lists/v{number}")
+        return [part for part, _ in self.current()]
 
     def _read(self, name: str, schema: str, batches: list[int]) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/b{b}/{name}" for b in batches)) if batches else self.spark.createDataFrame([], schema)
@@ -193,7 +167,7 @@ class HistoryStore:
         A ``delta_id`` already held for the entity is a repeat and adds nothing, so a batch can be applied again.
         """
         live = self.batches()
-        number = 1 + max([*live, *(int(n[1:]) for n in self._names("") if n[:1] == "b")], default=0)
+        number = 1 + max([*live, *(int(n[1:]) for n in self.names() if n[:1] == "b")], default=0)
         at = f"{self.path}/b{number}"
         batch = batch.select(*(c.split(" ")[0] for c in CHANGES.split(", ")))
         if not live:
@@ -207,7 +181,7 @@ class HistoryStore:
             batch.join(old.select("dimension_id", "delta_id"), ["dimension_id", "delta_id"], "left_anti").write.parquet(f"{at}/raw")
             changes = old.unionAll(self._read("raw", CHANGES, [number]))
         build_chains(changes, f"{at}/chains")
-        self._commit([*live, number])
+        self.commit([(b, 0) for b in (*live, number)])
 
     def compact(self) -> None:
         """Writes the live batches as one and removes the folders of all that went before."""
@@ -219,15 +193,12 @@ class HistoryStore:
             self.raw().select("dimension_id").distinct().write.parquet(f"{at}/touched")
             self.chains().select("*", F.lit("done").alias("kind"), F.lit(0).alias("range_no")).write.parquet(f"{at}/chains/scanned")
             self.spark.createDataFrame([], CHAINS).write.parquet(f"{at}/chains/mended")
-            self._commit([number])
-        for name in self._names(""):
-            if name[:1] == "b" and int(name[1:]) not in self.batches():
-                remove_path(self.spark, f"{self.path}/{name}")
-        for n in self._lists()[:-1]:
-            remove_path(self.spark, f"{self.path}/lists/v{n}")
-
-    def drop(self) -> None:
-        remove_path(self.spark, self.path)
+            self.commit([(number, 0)])
+        live = self.batches()
+        for name in self.names():
+            if name[:1] == "b" and int(name[1:]) not in live:
+                self.remove(name)
+        self.forget_lists()
 
 
 def belief_history(deltas: DataFrame, *, late_share: float = 0.125) -> DataFrame:
@@ -238,7 +209,7 @@ def belief_history(deltas: DataFrame, *, late_share: float = 0.125) -> DataFrame
     """
     changes = materialize(raw_changes(deltas), "changes")
     cut = int((changes.agg(F.max("seq")).first()[0] or 0) * (1 - late_share))
-    store = HistoryStore(deltas.sparkSession)
+    store = HistoryStore(deltas.sparkSession, label="history")
     store.apply(changes.where(F.col("seq") <= cut))
     store.apply(changes.where(F.col("seq") > cut))
     return store.chains()

@@ -145,6 +145,6 @@ SELECT strftime(DATE '1970-01-01' + CAST(s.day AS INT), '%Y-%m-%d') AS day, strf
   count(*) FILTER (CASE WHEN ts < closes THEN 0 ELSE floor((ts - closes) / 86400.0) + 1 END <= step AND kind <> 'dropped') AS n_so_far FROM s JOIN k ON k.day = s.day GROUP BY s.day, step""",
     "p6_found": _P6 + """SELECT entity, attribute FROM t WHERE value IS NOT NULL AND CASE value_type WHEN 'bigint' THEN as_bigint IS NULL WHEN 'double' THEN as_double IS NULL
 WHEN 'boolean' THEN as_boolean IS NULL WHEN 'date' THEN as_date IS NULL ELSE false END""",
-    "p6_wide": _P6 + f"SELECT entity, {_WIDE} FROM t GROUP BY entity",
+    "p6_wide": _P6 + f", w AS (SELECT entity, {_WIDE} FROM t GROUP BY entity) SELECT w.* REPLACE (n.entity AS entity) FROM (SELECT DISTINCT entity FROM cell) n LEFT JOIN w ON w.entity = n.entity",
 }
 ORACLE_SQL["p4_found"] = ORACLE_SQL["p4_found"].replace(", ring AS (SELECT id AS node, id AS at_id, id AS low FROM link WHERE false)\n", "")

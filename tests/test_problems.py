@@ -118,7 +118,7 @@ def test_history_store_replaces_only_touched_chains(spark):
     spark.createDataFrame([("x",)], "dimension_id string").write.parquet(f"{store.path}/b9/touched")  # a batch that failed
     assert got(store.chains()) == after
     store.compact()
-    assert got(store.chains()) == after and store.raw().count() == 61 and len(store.batches()) == 1 and store._names("lists") and len(store._names("")) == 2
+    assert got(store.chains()) == after and store.raw().count() == 61 and len(store.batches()) == 1 and store.lists() and len(store.names()) == 2
     store.apply(history.raw_changes(deltas(spark, [{"id": "new", "dimension_id": "n.x"}])))
     assert len(got(store.chains())) == len(after) + 1
     store.drop()
@@ -240,13 +240,30 @@ def test_wide_tables(spark):
         ("C.name", v("z" * 50_000), 1.0), ("C.pay", v("1,20"), 1.0),
     ])
     assert got(widen.unreadable_cells(dims, types)) == [("A", "age"), ("A", "born"), ("B.x", "age"), ("C", "pay")]
-    wide = {r.entity: r for r in widen.wide_table(dims, types).collect()}
-    assert set(wide) == {"A", "B.x", "C"}
+    wide = {r.entity: r for r in widen.wide_table(dims.union(dimensions(spark, [("D.mood", v("?"), 1.0)])), types).collect()}
+    assert set(wide) == {"A", "B.x", "C", "D"} and wide["D"][1:] == (None,) * 5
     assert (wide["A"].age, wide["A"].pay, wide["A"].born, wide["A"].alive, wide["A"].name) == (None, -3000.5, None, True, "")
     assert str(wide["B.x"].born) == "2008-03-03" and wide["B.x"].alive is None
     assert got(widen.unreadable_cells(dims.limit(0), types)) == [] and got(widen.unreadable_cells(dims, types.limit(0))) == []
 
 
+def test_cell_store_takes_batches_in_any_order(spark):
+    types = spark.createDataFrame([(a, t, "") for a, t in TYPES], "attribute string, value_type string, accepted string")
+    v = lambda x: [(x, 1.0)]
+    batch = lambda rows: widen.cells(dimensions(spark, rows), types)
+    store = widen.CellStore(spark)
+    assert store.latest(["age"]).count() == 0
+    new, old = batch([("A.age", v("2"), 9.0), ("B.age", None, 5.0)]), batch([("A.age", v("1"), 3.0), ("A.name", v("x"), 1.0), ("B.age", v("7"), 2.0)])
+    for b in (new, old, new, batch([])):
+        store.apply(b)
+    want = {"A": ("2", "x"), "B": (None, None)}
+    read = lambda: {r.entity: (r.age and r.age.value, r.name and r.name.value) for r in store.latest(["age", "name"]).collect()}
+    assert read() == want and len(store.current()) == 4
+    store.compact()
+    assert read() == want and len(store.current()) == 1 and store.runs().count() == 2
+    store.drop()
+
+
 @pytest.mark.parametrize(("text", "kind", "ok"), [
     ("+1,234,567", "bigint", True), ("12,34", "bigint", False), ("1.0", "bigint", False), ("1e3", "double", False), ("-0.5", "double", True), (".5", "double", False), ("2024-02-29", "date", True), ("2023-02-29", "date", False),
     ("2024-7-4", "date", False), ("31.12.1999", "date", True), ("31 June 2020", "date", False), ("1 May 2015", "date", True), ("1 Maj 2015", "date", False), ("No", "boolean", True), ("y", "boolean", False), ("anything", "string", True),
