@@ -12,9 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import materialize
+from ..cluster import materialize, shuffle_partitions
+from ..sources.versions import Versions
 
-BUCKETS = 256
+#: A ledger has so many buckets of keys, the unit that a batch reads and rewrites.
+BUCKETS = 64
 _LONGEST_NAME = 60
 
 
@@ -64,24 +66,55 @@ def count_batch(batch: DataFrame) -> DataFrame:
     return batch.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keep_id"))
 
 
-def add_batch(ledger: DataFrame, counts: DataFrame) -> DataFrame:
-    """The ledger with a counted batch added: a full outer join of matching buckets."""
-    touched = counts.select("bucket").distinct()
-    old, new = ledger.join(touched, "bucket", "left_semi").alias("o"), counts.alias("c")
-    joined = old.join(new, (F.col("o.bucket") == F.col("c.bucket")) & (F.col("o.key") == F.col("c.key")), "full_outer")
-    merged = joined.select(
-        F.coalesce("o.bucket", "c.bucket").alias("bucket"), F.coalesce("o.key", "c.key").alias("key"),
-        (F.coalesce("o.n", F.lit(0)) + F.coalesce("c.n", F.lit(0))).alias("n"), F.least("o.keep_id", "c.keep_id").alias("keep_id"),
-    )
-    return ledger.join(touched, "bucket", "left_anti").unionAll(merged)
+class Ledger(Versions):
+    """Counts of canonical keys in a folder, split into buckets of keys.
+
+    A batch is counted, then joined in full with the buckets that it touches, which are written anew; other buckets stay
+    as they are, and are neither read nor written.
+    """
+
+    def buckets(self, wanted: list[int] | None = None) -> DataFrame:
+        """``bucket, key, n, keep_id`` of the given buckets, or all."""
+        live = [(b, v) for b, v in self.current() if wanted is None or b in wanted]
+        paths = [f"{self.path}/version={v}/bucket={b}" for b, v in live]
+        return self.spark.read.schema(LEDGER).option("basePath", self.path).parquet(*paths).select(*LEDGER_COLUMNS) if paths else self.spark.createDataFrame([], LEDGER)
+
+    def add(self, counts: DataFrame) -> None:
+        """Adds a counted batch (:func:`count_batch`): counts add up and the smaller representative stays."""
+        counts = materialize(counts, "counts")
+        touched = sorted(r["bucket"] for r in counts.select("bucket").distinct().collect())  # at most as many as there are buckets
+        live = dict(self.current())
+        o, c = self.buckets(touched).alias("o"), counts.alias("c")
+        joined = o.join(c, (F.col("o.bucket") == F.col("c.bucket")) & (F.col("o.key") == F.col("c.key")), "full_outer")
+        merged = joined.select(
+            F.coalesce("o.bucket", "c.bucket").alias("bucket"), F.coalesce("o.key", "c.key").alias("key"),
+            (F.coalesce("o.n", F.lit(0)) + F.coalesce("c.n", F.lit(0))).alias("n"), F.least("o.keep_id", "c.keep_id").alias("keep_id"),
+        ) if live else counts
+        version = 1 + max([*live.values(), *(int(n[8:]) for n in self.names() if n[:8] == "version=")], default=0)
+        merged.repartitionByRange(shuffle_partitions(self.spark), "bucket", "key").write.partitionBy("bucket").parquet(f"{self.path}/version={version}")
+        self.commit(list((live | dict.fromkeys(touched, version)).items()))
+
+    def compact(self) -> None:
+        """Removes the versions of buckets that no longer count."""
+        live = set(self.current())
+        for name in self.names():
+            if name[:8] == "version=":
+                for bucket in self.names(name):
+                    if bucket[:7] == "bucket=" and (int(bucket[7:]), int(name[8:])) not in live:
+                        self.remove(f"{name}/{bucket}")
+        self.forget_lists()
+
+
+LEDGER = "bucket int, key binary, n long, keep_id string"
+LEDGER_COLUMNS = [c.split(" ")[0] for c in LEDGER.split(", ")]
 
 
 def _entered(batches: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     rows = [materialize(keyed(b), "keyed") for b in batches]
-    ledger = count_batch(rows[0])
-    for r in rows[1:]:
-        ledger = add_batch(ledger, count_batch(r))
-    return reduce(DataFrame.unionAll, rows), materialize(ledger, "ledger")
+    ledger = Ledger(batches[0].sparkSession, label="ledger")
+    for r in rows:
+        ledger.add(count_batch(r))
+    return reduce(DataFrame.unionAll, rows), ledger.buckets()
 
 
 def ledger_of(batches: list[DataFrame]) -> DataFrame:

@@ -140,6 +140,24 @@ def test_a_group_with_most_rows_and_later_batches(spark):
     assert got(ledger.ledger_of([a, b])) == [("a0000", 605)]
 
 
+def test_a_ledger_rewrites_only_touched_buckets(spark):
+    turns = lambda rows: ledger.count_batch(ledger.keyed(spark.createDataFrame([(i, t, None) for i, t in rows], "id string, text string, speaker string")))
+    book = ledger.Ledger(spark)
+    assert book.buckets().count() == 0
+    book.add(turns([(f"k{i:03}", f"text {i}") for i in range(100)]))
+    before = dict(book.current())
+    book.add(turns([("a", "TEXT, 7"), ("z", "text 7"), ("new", "other")]))
+    after = dict(book.current())
+    assert 1 <= sum(before.get(b) != v for b, v in after.items()) <= 2
+    rows = {r.keep_id: r.n for r in book.buckets().collect()}
+    assert rows == {f"k{i:03}": 1 for i in range(100) if i != 7} | {"a": 3, "new": 1}
+    book.compact()
+    assert {r.keep_id: r.n for r in book.buckets().collect()} == rows and len(book.lists()) == 1
+    book.add(turns([]))
+    assert book.buckets().count() == 101
+    book.drop()
+
+
 WORDS = [f"w{i}" for i in range(400)]
 
 
