@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.info import UNKNOWN, UNSEEN_P, let, normalized, total, unknown
+from ..functions.info import UNKNOWN, UNSEEN_P, let, normalized, probability, surprise, total, unknown
 from ..schema import DIST_DDL
 
 PRUNE_BELOW, DEFAULT_RELIABILITY = 0.01, 0.9
 #: Keys with more claims than this are folded by a scan that holds only the state, not the claims.
 HOT_CLAIMS = 50_000
+#: The same for the change log, whose fold carries the log along.
+LISTED_CLAIMS = 500
 _LOG = f"entity string, attribute string, seq long, value string, reliability double, prior {DIST_DDL}, posterior {DIST_DDL}, surprise double, last boolean"
 
 
@@ -95,24 +97,53 @@ def _scan(batches: Iterator[pa.RecordBatch], last_only: bool) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_pylist([held | {"last": True, "prior": shown(held["prior"]), "posterior": shown(held["posterior"])}], schema=schema)
 
 
-def change_log(claims: DataFrame, last_only: bool = False) -> DataFrame:
-    """One row per claim with prior, posterior and surprise, and whether it is the key's last; or only the last
-    rows. Claims stream through in order, a key needs no more memory than its distribution."""
+def scanned_log(claims: DataFrame, last_only: bool = False) -> DataFrame:
+    """The change log of keys however busy: claims stream through in order, a key needs no more memory than its
+    distribution."""
     ordered = claims.repartition("entity", "attribute").sortWithinPartitions("entity", "attribute", "seq").select("entity", "attribute", "value", "reliability", F.col("seq").cast("long").alias("seq"))
     return ordered.mapInArrow(lambda batches: _scan(batches, last_only), _LOG)
 
 
+def _split(claims: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Claims of keys with at most ``most`` of them, and those of busier keys if there are any."""
+    keys = ["entity", "attribute"]
+    hot = claims.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*keys)
+    if hot.isEmpty():
+        return claims, None
+    return claims.join(hot, keys, "left_anti"), claims.join(hot, keys, "left_semi")
+
+
+def change_log(claims: DataFrame, last_only: bool = False, listed_claims: int = LISTED_CLAIMS) -> DataFrame:
+    """One row per claim with prior, posterior and surprise, and whether it is the key's last; or only the last rows.
+
+    The fold of a key carries its log along, which costs its square in copies, so keys with more than
+    ``listed_claims`` claims are scanned instead."""
+    if last_only:
+        return scanned_log(claims, True)
+    usual, busy = _split(claims, listed_claims)
+    obs = F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "value", "reliability")))
+    entry = f"array<struct<seq: bigint, value: string, reliability: double, prior: {DIST_DDL}, posterior: {DIST_DDL}, surprise: double>>"
+    start = F.struct(unknown().alias("dist"), F.array().cast(entry).alias("log"))
+
+    def step(state: Column, o: Column) -> Column:
+        prior = state["dist"]
+        grown = lambda d: F.struct(d.alias("dist"), F.concat(state["log"], F.array(F.struct(o["seq"].alias("seq"), o["value"].alias("value"), o["reliability"].alias("reliability"), prior.alias("prior"), d.alias("posterior"), surprise(probability(prior, o["value"])).alias("surprise")))).alias("log"))
+        return let(updated(prior, o["value"], o["reliability"]), grown)
+
+    folded = usual.groupBy("entity", "attribute").agg(obs.alias("obs")).select(F.col("entity").cast("string").alias("entity"), F.col("attribute").cast("string").alias("attribute"), F.aggregate("obs", start, step)["log"].alias("log"))
+    rows = folded.select("entity", "attribute", F.size("log").alias("_n"), F.posexplode("log").alias("_i", "x")).select("entity", "attribute", "x.*", (F.col("_i") == F.col("_n") - 1).alias("last"))
+    return rows if busy is None else rows.unionByName(scanned_log(busy))
+
+
 def beliefs(claims: DataFrame, hot_claims: int = HOT_CLAIMS) -> DataFrame:
     """``entity, attribute, dist``: the distribution after all claims of each key, in order of ``seq``."""
     keys = ["entity", "attribute"]
-    hot = claims.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_claims).select(*keys)
-    some_hot = not hot.isEmpty()
-    usual = claims.join(hot, keys, "left_anti") if some_hot else claims
+    usual, busy = _split(claims, hot_claims)
     in_order = F.array_sort(F.collect_list(F.struct("seq", "value", "reliability")))
     folded = usual.groupBy(*keys).agg(in_order.alias("obs")).select(*keys, F.aggregate("obs", unknown(), lambda d, o: updated(d, o["value"], o["reliability"])).alias("dist"))
-    if not some_hot:
+    if busy is None:
         return folded
-    return folded.unionAll(change_log(claims.join(hot, keys, "left_semi"), last_only=True).select(*keys, F.col("posterior").alias("dist")))
+    return folded.unionAll(scanned_log(busy, last_only=True).select(*keys, F.col("posterior").alias("dist")))
 
 
 def last_write_wins(claims: DataFrame) -> DataFrame:

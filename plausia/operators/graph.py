@@ -76,16 +76,20 @@ def traverse(seeds: DataFrame, edges: DataFrame, hops: int = 2, min_confidence:
 
     A node is expanded only while fewer than ``most_entities`` are known, seeds included; one expansion may go
     past that. ``terms`` (``question_id, words``) raises confidence by 0.3 per word that a target shares with
-    the question. Names match exactly. Edges are taken in order of relation, target.
+    the question. Names match exactly. Edges are taken in order of relation, target. A question searches ``hops`` deep, or
+    less if its seeds have a column ``hops``.
     """
     links = edges.where("source_entity is not null and target_entity <> ''").groupBy("source_entity", "relation", "target_entity").agg(F.max(F.coalesce("confidence", F.lit(0.5))).alias("confidence"))
     if terms is None:
         links = links.where(F.col("confidence") >= min_confidence)
+    own_hops = seeds.groupBy("question_id").agg(F.max("hops").alias("_hops")) if "hops" in seeds.columns else None
     first = seeds.groupBy("question_id", "entity").agg(F.min("position").alias("position"))
     seen = first.select("question_id", "entity", F.lit(0).alias("depth"), F.row_number().over(Window.partitionBy("question_id").orderBy("position", "entity")).cast("long").alias("visit"), F.array("entity").alias("path"))
     for depth in range(1, hops + 1):
         seen = materialize(seen, "visited")
         front = seen.where(F.col("depth") == depth - 1)
+        if own_hops is not None:
+            front = front.join(own_hops.where(F.col("_hops") >= depth), "question_id", "left_semi")
         step = front.join(links, front["entity"] == links["source_entity"]).select("question_id", F.col("visit").alias("parent"), "relation", "target_entity", "confidence", "path")
         if terms is not None:
             shared = F.size(F.array_intersect(F.array_distinct(F.split(F.lower("target_entity"), r"\s+")), F.col("words")))

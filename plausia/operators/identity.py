@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import materialize
 from ..functions.info import TINY, bhattacharyya, certainty
 
 #: Fixed values of the merge decision.
@@ -104,7 +104,7 @@ class _Side:
                 if a not in columns:
                     continue
                 self.has[a][i], self.sure[a][i], self.single[a][i] = 1, e["sure"], len(e["dist"]) <= 1
-                self.name[a][i] = zlib.crc32(e["dist"][0]["value"].encode()) + 1 if len(e["dist"]) else 0
+                self.name[a][i] = columns[a].get(e["dist"][0]["value"], -2) + 1 if len(e["dist"]) else 0  # values that no query has all differ from theirs
                 for x in e["dist"]:
                     at = columns[a].get(x["value"])
                     if at is not None:
@@ -132,7 +132,7 @@ def merge_candidates(queries: DataFrame, beliefs: DataFrame, least: float = MERG
     Exact. Queries go out in blocks of about ``block_rows`` entities; a block passes over all entities as matrix
     products by attribute, so no pair is shuffled.
     """
-    own = _profiles(beliefs)
+    own = materialize(_profiles(beliefs), "profiles")
     asked = own.join(queries.select("entity").distinct(), "entity", "left_semi")
     blocks = max(1, -(-asked.count() // block_rows))
     kind, found = dict(own.dtypes)["entity"], None

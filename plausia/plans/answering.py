@@ -25,13 +25,12 @@ def _believed_relations(shown: DataFrame, beliefs: DataFrame, listed: DataFrame)
 
 def build_context(questions: DataFrame, dimensions: DataFrame, deltas: DataFrame, edges: DataFrame, events: DataFrame, top_k: int = 5, aggregate_observed: bool = True) -> DataFrame:
     """``question_id, section, section_pos, line, line_pos`` for ``questions(question_id, text)``."""
-    beliefs = queries.current_dimensions(dimensions)
+    beliefs = materialize(queries.current_dimensions(dimensions), "beliefs")
     registry = materialize(queries.entity_registry(beliefs, edges), "registry")
     types = questions.select("question_id", C.question_type(F.col("text")).alias("type"))
     seeds = materialize(C.seeds_or_popular(C.mentioned(questions, registry), questions, registry, top_k), "seeds")
-    wide = types.where(F.col("type").isin("relationship", "multi-hop")).select("question_id")
-    reached = graph.traverse(seeds.join(wide, "question_id", "left_semi"), edges, 2, 0.3, 12).unionByName(graph.traverse(seeds.join(wide, "question_id", "left_anti"), edges, 1, 0.3, 12))
-    reached = materialize(reached, "reached")
+    deep = F.when(F.col("type").isin("relationship", "multi-hop"), 2).otherwise(1)
+    reached = materialize(graph.traverse(seeds.join(types.select("question_id", deep.alias("hops")), "question_id"), edges, 2, 0.3, 12), "reached")
     wanted = seeds.select("question_id", "entity").unionAll(reached.select("question_id", "entity"))
     docs = events.select(F.col("id").alias("doc_id"), "speaker", "text", "ts", "entities")
     limits = F.create_map(*(F.lit(x) for pair in C.EVIDENCE_LIMITS.items() for x in pair))

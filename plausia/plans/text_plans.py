@@ -189,9 +189,8 @@ def ir1_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ir3_idf(spark: SparkSession, d: str) -> DataFrame:
-    e = evidence(spark, d)
-    posted = search.postings(e, search.turn_text())
-    return search.bm25_idf(posted, search.corpus_size(e, search.turn_text())[0]).withColumn("idf", F.round("idf", 6))
+    posted, n, _ = search.indexed(evidence(spark, d), search.turn_text())
+    return search.bm25_idf(posted, n).withColumn("idf", F.round("idf", 6))
 
 
 def _ranks(df: DataFrame) -> DataFrame:
