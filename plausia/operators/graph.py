@@ -49,6 +49,11 @@ def stored_edges(edges: DataFrame) -> DataFrame:
     return clean.select(F.explode(both).alias("e"), *rest).select("e.*", *rest)
 
 
+def added_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """Edges as a graph takes them one by one: none is merged, and empty targets stay."""
+    return edges.unionByName(more.select(*edges.columns))
+
+
 def upserted_edges(edges: DataFrame, order: list[str]) -> DataFrame:
     """One row per (source, relation, target): the greatest confidence seen, evidence and time of the last."""
     return edges.groupBy("source_entity", "relation", "target_entity").agg(F.max("confidence").alias("confidence"), F.max_by("evidence", F.struct(*order)).alias("evidence"), F.max_by("ts", F.struct(*order)).alias("ts"))

@@ -12,7 +12,7 @@ from ..operators.deltas import first_deliveries, top_value
 from . import text_sql
 from .belief_plans import _EXPLODE, _FIRST, _fold, event_claims
 from .problems import Query, table
-from .text_plans import _ranks, evidence
+from .text_plans import _ranks, evidence, named_edges
 
 #: Questions, in turn, about the documents as if they were answers.
 QUESTIONS = [
@@ -112,6 +112,24 @@ def gr9_believed_relations(spark: SparkSession, d: str) -> DataFrame:
     return both.select("wide", "entity", "relation", "related", F.round("p", 6).alias("p"))
 
 
+TERMS = ["inc", "gmbh", "ltd", "foods", "press", "institute", "consulting", "robotics"]
+
+
+def gr7_term_boost(spark: SparkSession, d: str) -> DataFrame:
+    edges = named_edges(spark, d)
+    seeds = edges.where("source_entity <> ''").select(F.col("source_entity").alias("question_id"), F.col("source_entity").alias("entity"), F.lit(1).alias("position")).distinct()
+    terms = seeds.select("question_id", F.array(*map(F.lit, TERMS)).alias("words"))
+    found = graph.traverse(seeds, edges, 1, 0.7, None, terms)
+    return found.select("question_id", "entity", F.array_join("path", ">").alias("path"))
+
+
+def gr4_added_edges(spark: SparkSession, d: str) -> DataFrame:
+    edges = table(spark, d, "relationship_edges").select("source_entity", "relation", "target_entity", "confidence")
+    again = edges.where("confidence >= 0.9").withColumn("target_entity", F.when(F.length("relation") % 2 == 0, F.lit("")).otherwise(F.col("target_entity")))
+    out = graph.added_edges(edges, again)
+    return out.groupBy("source_entity").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("target_entity") == "").alias("n_empty"))
+
+
 def ir4_incremental_idf(spark: SparkSession, d: str) -> DataFrame:
     idf = search.incremental_idf(evidence(spark, d), F.concat_ws(" ", F.coalesce("speaker", F.lit("")), "text"), ["doc_id"])
     return idf.select("term", F.round("idf", 6).alias("idf"))
@@ -162,7 +180,7 @@ def eval12_extraction_tax(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        fn10_answers, ext2_rules, upd4_observed_deltas, upd4_observed_beliefs, upd6_last_accessed, ir13_events, ext7_parsed_questions, ext11_split_questions, ctx2_merged, gr9_believed_relations, ir4_incremental_idf, ir8_dense,
+        fn10_answers, ext2_rules, upd4_observed_deltas, upd4_observed_beliefs, upd6_last_accessed, ir13_events, ext7_parsed_questions, ext11_split_questions, ctx2_merged, gr4_added_edges, gr7_term_boost, gr9_believed_relations, ir4_incremental_idf, ir8_dense,
         prv5_min_cap, prv8_fragmented, eval7_types, eval8_calibration, eval12_extraction_tax,
     )
 }
@@ -233,6 +251,11 @@ SELECT question_id, section, place AS section_pos, line, row_number() OVER (PART
     "gr9_believed_relations": f"""WITH e AS (SELECT source_entity AS entity, {_at(graph.RELATIONS, "(length(relation) % 16)")} AS attribute, target_entity AS value, count(*) AS n FROM relationship_edges WHERE source_entity IS NOT NULL AND target_entity IS NOT NULL AND confidence IS NOT NULL GROUP BY ALL),
 p AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY entity, attribute) AS DOUBLE) AS p FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY entity, attribute ORDER BY p DESC, value) AS k FROM p WHERE attribute IS NOT NULL),
 b AS (SELECT true AS wide, * FROM r WHERE k <= 5 AND p > 0.10 UNION ALL SELECT false, * FROM r WHERE k <= 1 AND p > 0.30) SELECT wide, entity, attribute AS relation, value AS related, round(p, 6) AS p FROM b WHERE value <> 'unknown'""",
+    "gr7_term_boost": f"""WITH {text_sql._EDGES}, k AS (SELECT source_entity AS s, relation AS r, target_entity AS t, max(coalesce(confidence, 0.5)) AS c FROM e WHERE source_entity <> '' AND target_entity <> '' AND source_entity <> target_entity GROUP BY ALL),
+w AS (SELECT *, len(list_intersect(list_distinct(string_split_regex(lower(t), '\s+')), [{", ".join(map(_QUOTED, TERMS))}])) AS shared FROM k)
+SELECT s AS question_id, t AS entity, concat_ws('>', s, r, t) AS path FROM w WHERE c * (1 + 0.3 * shared) >= 0.7 QUALIFY row_number() OVER (PARTITION BY s, t ORDER BY r) = 1""",
+    "gr4_added_edges": """WITH a AS (SELECT source_entity, relation, target_entity, confidence FROM relationship_edges), b AS (SELECT * FROM a UNION ALL SELECT source_entity, relation, CASE WHEN length(relation) % 2 = 0 THEN '' ELSE target_entity END, confidence FROM a WHERE confidence >= 0.9)
+SELECT source_entity, count(*) AS n_edges, count(*) FILTER (target_entity = '') AS n_empty FROM b GROUP BY source_entity""",
     "ir4_incremental_idf": f"""WITH {text_sql._DOCS}, w AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, {text_sql._STEMS.format("concat_ws(' ', coalesce(speaker, ''), text)")} AS s FROM docs),
 t AS (SELECT n, UNNEST(list_distinct(s)) AS term FROM w) SELECT term, round(ln((max(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM t GROUP BY term""",
     "ir8_dense": f"""WITH {text_sql._INDEX}, {text_sql._ITEMS}, {text_sql._BM25}, {text_sql._ranked("sc", 30, prefix="f")}, {_DENSE}, {text_sql._ranked("mx", 10)} {text_sql._TOP()}""",
