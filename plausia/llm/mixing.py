@@ -134,10 +134,17 @@ def mix(documents: DataFrame, targets: DataFrame, *, tokenizer_file: str = TOKEN
 
 
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """``source, weight, max_repeats, n_docs, most_copies, mixed_tokens, share``: what was reached."""
-    got = mixture.groupBy("source").agg(F.count_if(F.col("copies") > 0).alias("n_docs"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"))
-    total = max(1, got.agg(F.sum("mixed_tokens")).first()[0] or 0)
+    """``source, weight, max_repeats, n_docs, most_copies, tokens, mixed_tokens, share, total_tokens, binding``: what was reached,
+    of how many tokens in all, and which sources are used up: every document of theirs stands there ``max_repeats``
+    times, so that they bound the total."""
+    sized = F.when(F.col("n_tokens") > 0, F.col("copies"))
+    got = mixture.groupBy("source").agg(
+        F.count_if(F.col("copies") > 0).alias("n_docs"), F.max("copies").alias("most_copies"), F.min(sized).alias("_fewest"), F.sum("n_tokens").alias("tokens"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens")
+    )
+    total = got.agg(F.sum("mixed_tokens")).first()[0] or 0
     goals = targets.where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
     out = goals.join(got, "source", "left")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("source", "weight", "max_repeats", number("n_docs"), number("most_copies"), number("mixed_tokens"), F.round(F.coalesce("mixed_tokens", F.lit(0)) / F.lit(total), 6).alias("share"))
+    share = F.round(F.coalesce("mixed_tokens", F.lit(0)) / F.lit(max(1, total)), 6)
+    binding = F.coalesce(F.col("_fewest") >= F.coalesce("max_repeats", F.lit(1)), F.lit(False))
+    return out.select("source", "weight", "max_repeats", *map(number, ("n_docs", "most_copies", "tokens", "mixed_tokens")), share.alias("share"), F.lit(total).cast("long").alias("total_tokens"), binding.alias("binding"))

@@ -331,7 +331,8 @@ def name_clusters(names: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
         known = connected_components(edges)
         placed = here.join(known.select(F.col("node").alias("strong"), "component"), "strong", "left").withColumn("component", F.coalesce("component", "strong"))
         clear = placed.groupBy("weak").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).where("lowest = highest")
-        edges = edges.unionAll(clear.select(F.col("weak").alias("u"), F.col("lowest").alias("v")))
+        stars = known.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))  # the same components, settled
+        edges = stars.unionAll(clear.select(F.col("weak").alias("u"), F.col("lowest").alias("v")))
     clusters = connected_components(edges).select(F.col("node").alias("core"), "component")
     return read_names.join(clusters, "core", "left").select("name", F.coalesce("component", "core").alias("cluster"))
 

@@ -241,7 +241,7 @@ def _tally(model: Model | None):
             counts += [residue, np.bincount(flat, minlength=BUCKETS) - residue]
             passages += [np.bincount(s, p, 2), np.bincount(s, 1 - p, 2)]
         blocks = [passages, *np.split(counts, STRETCHES, axis=1)]
-        yield pa.RecordBatch.from_pydict({"stretch": np.arange(-1, STRETCHES, dtype=np.int32), "counts": [b.tobytes() for b in blocks]})
+        yield pa.RecordBatch.from_pydict({"stretch": np.arange(-1, STRETCHES, dtype=np.int32), "counts": [b.astype(np.float32).tobytes() for b in blocks]})
 
     return tally
 
@@ -250,10 +250,10 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, stretch = None, None
     for batch in batches:
         for block in batch.column("counts"):
-            numbers = np.frombuffer(block.as_py())
-            total = numbers.copy() if total is None else total + numbers
+            numbers = np.frombuffer(block.as_py(), np.float32)
+            total = numbers.astype(np.float64) if total is None else total + numbers
         stretch = batch.column("stretch")[:1]
-    yield pa.RecordBatch.from_pydict({"stretch": stretch, "counts": [total.tobytes()]})
+    yield pa.RecordBatch.from_pydict({"stretch": stretch, "counts": [total.tobytes()]})  # a sum over tasks needs the longer numbers
 
 
 def fit(rows: DataFrame, most_rounds: int = MOST_ROUNDS) -> Model | None:
@@ -295,7 +295,7 @@ def passage_rows(documents: DataFrame) -> DataFrame:
     """One row per document with the features of its passages. Null ids and texts are left out; an empty text
     has no passages."""
     docs = spread(documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return materialize(docs.mapInArrow(_passages, _ROWS_DDL), "passages")
+    return materialize(docs.mapInArrow(_passages, _ROWS_DDL), "passages", "zstd")
 
 
 def record_scores(documents: DataFrame, least_posterior: float = LEAST_POSTERIOR) -> DataFrame:

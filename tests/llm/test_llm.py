@@ -260,6 +260,7 @@ def test_mixture(spark, tmp_path):
     assert got(mixing.mix(df.repartition(7), targets, group_rows=40)) == got(mixed)
     report = {r.source: r for r in mixing.shares(mixed, targets).collect()}
     assert report["none"].mixed_tokens == 0 and set(report) == {"a", "b", "c", "none"}
+    assert [s for s, r in report.items() if r.binding] == ["a"] and report["a"].total_tokens == tokens.sum() and report["none"].tokens == 0
     fixed = mixing.mix(df, targets, total_tokens=1000)
     assert (fixed.toPandas().eval("copies * n_tokens").sum()) == pytest.approx(950, abs=120)
     assert got(mixing.mix(df.limit(0), targets)) == [] and got(mixing.mix(df, targets.limit(0))) == []
