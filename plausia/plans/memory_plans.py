@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import fresh_path
 from ..functions import answers, metrics
 from ..functions.text import value_form
 from ..operators import context, extract, graph, observe, search, trust
 from ..operators.deltas import first_deliveries, top_value
+from ..sources import store
 from . import text_sql
 from .belief_plans import _EXPLODE, _FIRST, _fold, event_claims
 from .problems import Query, table
@@ -67,6 +69,15 @@ def upd4_observed_beliefs(spark: SparkSession, d: str) -> DataFrame:
     return states.select("id", F.explode("distribution").alias("x"), "last_accessed").select("id", "x.value", F.round("x.p", 6).alias("p"), "last_accessed")
 
 
+def snk3_replaced_events(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "evidence_events")
+    kept = store.Store(spark, fresh_path(spark, "store"))
+    kept.append("evidence_events", events)
+    kept.replace_events(events.where(F.length("id") % 2 == 0).withColumn("text", F.upper("text")))
+    kept.replace_events(events.where(F.col("id") < "8").withColumn("text", F.lit("gone")))
+    return kept.read("evidence_events").select("id", "text", "ts", "speaker")
+
+
 def upd6_last_accessed(spark: SparkSession, d: str) -> DataFrame:
     states = observe.believed_states(event_claims(spark, d), "seq")
     return states.select("id", F.size("distribution").cast("long").alias("n_values"), "last_accessed")
@@ -180,7 +191,7 @@ def eval12_extraction_tax(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        fn10_answers, ext2_rules, upd4_observed_deltas, upd4_observed_beliefs, upd6_last_accessed, ir13_events, ext7_parsed_questions, ext11_split_questions, ctx2_merged, gr4_added_edges, gr7_term_boost, gr9_believed_relations, ir4_incremental_idf, ir8_dense,
+        fn10_answers, ext2_rules, upd4_observed_deltas, upd4_observed_beliefs, snk3_replaced_events, upd6_last_accessed, ir13_events, ext7_parsed_questions, ext11_split_questions, ctx2_merged, gr4_added_edges, gr7_term_boost, gr9_believed_relations, ir4_incremental_idf, ir8_dense,
         prv5_min_cap, prv8_fragmented, eval7_types, eval8_calibration, eval12_extraction_tax,
     )
 }
@@ -231,6 +242,7 @@ ORACLE_SQL = {
     + _at([a for a, _ in SAYINGS], "i") + " AS attribute, replace(" + _at(SAID_VALUES, "i") + ", '{0}', 'Place' || c_nationkey) AS value FROM s",
     "upd4_observed_deltas": _fold(_PREFERRED) + f"SELECT entity, 'preference' AS attribute, seq AS turn_id, value, round(CASE WHEN coalesce({_PICKED('prior', 'value')}, 0.05) >= 1 THEN 0.0 ELSE -log2(coalesce({_PICKED('prior', 'value')}, 0.05)) END, 6) AS surprise FROM f WHERE n > 0",
     "upd4_observed_beliefs": _fold(_PREFERRED) + f"SELECT entity || '.preference' AS id, value, round(p, 6) AS p, last_accessed FROM (SELECT entity, seq::DOUBLE AS last_accessed, {_EXPLODE} FROM fin)",
+    "snk3_replaced_events": "SELECT id, CASE WHEN id < '8' THEN 'gone' WHEN length(id) % 2 = 0 THEN upper(text) ELSE text END AS text, ts, speaker FROM evidence_events WHERE id IS NOT NULL",
     "upd6_last_accessed": _fold("c AS (SELECT CAST(user_id AS VARCHAR) AS entity, event_type AS value, CASE WHEN value >= 50 THEN 0.9 WHEN value >= 15 THEN 0.6 ELSE 0.25 END::DOUBLE AS r, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, epoch_us(ts) AS seq FROM events)")
     + "SELECT entity || '.event_type' AS id, len(dist)::BIGINT AS n_values, seq AS last_accessed FROM fin",
     "ir13_events": """WITH t AS (SELECT id, text, CASE WHEN contains(text, ':') THEN regexp_replace(split_part(text, ':', 1), '^\\s+|\\s+$', '', 'g') END AS s, entities, terms FROM evidence_events WHERE text IS NOT NULL),

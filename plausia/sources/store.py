@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..cluster import remove_path
+from .versions import Versions
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,41 +18,44 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 class Store:
-    """Versioned tables in a folder. ``append`` adds files; ``upsert`` writes the merged table as a new version
-    and then points to it, so a reader or a failed job never sees half of one."""
+    """Tables in a folder, each a list of parts. ``append`` adds a part, ``upsert`` writes the merged table as one, and
+    then the list is written anew, so a reader or a failed job never sees half of a change."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+    def _table(self, name: str) -> Versions:
+        return Versions(self.spark, f"{self.folder}/{name}")
 
-    def _fs(self):
-        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def versions(self, table: str) -> list[int]:
-        root = self._path(table)
-        if not self._fs().exists(root):
-            return []
-        names = [s.getPath().getName() for s in self._fs().listStatus(root)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and self._fs().exists(self._path(f"{table}/{n}/_SUCCESS")))
+    def parts(self, table: str) -> list[int]:
+        return [part for part, _ in self._table(table).current()]
 
     def read(self, table: str) -> DataFrame:
-        found = self.versions(table)
+        found = self.parts(table)
         if not found:
             return self.spark.createDataFrame([], schema.TABLES[table])
-        return self.spark.read.schema(schema.TABLES[table]).parquet(f"{self.folder}/{table}/v{found[-1]}")
+        return self.spark.read.schema(schema.TABLES[table]).parquet(*(f"{self.folder}/{table}/p{n}" for n in found))
+
+    def _write(self, table: str, rows: DataFrame, keep: list[int]) -> None:
+        at = self._table(table)
+        number = 1 + max([int(n[1:]) for n in at.names() if n[:1] == "p"], default=0)
+        self._typed(table, rows).write.parquet(f"{self.folder}/{table}/p{number}")
+        at.commit([(n, 0) for n in (*keep, number)])
 
     def append(self, table: str, rows: DataFrame) -> None:
-        version = (self.versions(table) or [0])[-1]
-        self._typed(table, rows).write.mode("append").parquet(f"{self.folder}/{table}/v{version}")
+        self._write(table, rows, self.parts(table))
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        found = self.versions(table)
-        version = found[-1] + 1 if found else 0
-        self._typed(table, rows).write.parquet(f"{self.folder}/{table}/v{version}")
-        for old in found[:-1]:  # the version before stays for readers that still hold it
-            remove_path(self.spark, f"{self.folder}/{table}/v{old}")
+        before = self.parts(table)
+        self._write(table, rows, [])
+        at = self._table(table)
+        for name in at.names():  # the parts before stay for readers that still hold them
+            if name[:1] == "p" and int(name[1:]) not in (*before, *self.parts(table)):
+                at.remove(name)
+
+    def replace_events(self, rows: DataFrame) -> None:
+        """Puts events in the place of those with their ids; of one id given twice the later one by ``ts`` stands."""
+        self.upsert("evidence_events", rows, lambda both: both.where("id is not null").groupBy("id").agg(F.max_by(F.struct(*(c for c in both.columns if c not in ("id", "_batch"))), F.struct("_batch", "ts", "text")).alias("r")).select("id", "r.*"))
 
     def upsert(self, table: str, rows: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> None:
         """``merge`` turns old and new rows, told apart by ``_batch`` 0 and 1, into the table."""

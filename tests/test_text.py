@@ -137,7 +137,7 @@ def test_store(spark):
     s.upsert("relationship_edges", spark.createDataFrame([("A", "r", "B", 0.9, "one", 1.0)], edge), store.merge_edges)
     s.upsert("relationship_edges", spark.createDataFrame([("A", "r", "B", 0.4, "two", 2.0), ("A", "r", "C", 0.4, "x", 2.0)], edge), store.merge_edges)
     assert got(s.read("relationship_edges")) == [("A", "r", "B", 0.9, "two", 2.0), ("A", "r", "C", 0.4, "x", 2.0)]
-    assert s.versions("relationship_edges") == [0, 1]
+    assert s.parts("relationship_edges") == [2]
     s.append("deltas", deltas(spark, [{"id": "a"}]))
     s.append("deltas", deltas(spark, [{"id": "b"}]))
     assert s.read("deltas").count() == 2 and s.read("dimensions").count() == 0
