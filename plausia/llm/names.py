@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +52,9 @@ MAX_BLOCK = 200
 SURE_SIMILARITY, LEAST_SIMILARITY, MOST_SLIPS = 0.94, 0.85, 2
 #: Tokens shorter than this are never alike enough when they are two slips apart.
 LEAST_LETTERS = 5
-#: Names of up to so many words are matched to spellings that run two of them together.
-MOST_JOINED = 8
+#: Names of up to so many words are matched to spellings that run two of them together; names of more than the second
+#: number may differ in one word only. Words of more letters than the last have no slips.
+MOST_JOINED, MOST_WORDS, LONGEST = 8, 12, 40
 FULL, NICK, CUT, INITIAL = 0, 1, 2, 3
 
 _SOUND = {c: d for d, letters in {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}.items() for c in letters}
@@ -163,7 +166,7 @@ def match_tokens(a: tuple[str, bool], b: tuple[str, bool]) -> str | None:
         return "initial" if long.startswith(short) else None
     if cut and long.startswith(short):
         return "cut"
-    if x_cut or y_cut or min(len(x), len(y)) < 3 or abs(len(x) - len(y)) > 2:
+    if x_cut or y_cut or min(len(x), len(y)) < 3 or abs(len(x) - len(y)) > 2 or len(long) > LONGEST:
         return None
     alike = jaro_winkler(x, y)
     if alike < LEAST_SIMILARITY:
@@ -181,6 +184,10 @@ def compare(a: list[tuple[str, bool]], b: list[tuple[str, bool]]) -> str | None:
     through one short form (a nickname may come with a slip). A token is left to others only once they can use it."""
     if len(a) != len(b):
         return "same" if _run_together(a, b) or _run_together(b, a) else None
+    if len(a) > MOST_WORDS:
+        left, right = Counter(a) - Counter(b), Counter(b) - Counter(a)
+        kind = match_tokens(next(iter(left)), next(iter(right))) if left.total() == 1 else None
+        return "same" if not left else "slip" if kind in ("slip", "slips") else kind and "short"
     best = (4, None)
 
     def match(i: int, left: list[tuple[str, bool]], slips: int, short: str | None) -> None:
@@ -216,6 +223,12 @@ def _run_together(a: list[tuple[str, bool]], b: list[tuple[str, bool]]) -> bool:
     return len(a) == len(b) - 1 and " ".join(t for t, _ in a) in _joined(b)
 
 
+def _phrase(words: list[str]) -> str:
+    """The words in order; of a long name, a hash of them."""
+    joined = " ".join(sorted(words))
+    return joined if len(words) <= MOST_WORDS else xxhash.xxh64_hexdigest(joined)
+
+
 def block_keys(tokens: list[tuple[str, bool]]) -> set[str]:
     """Phonetic codes of the sorted tokens: of all but one of them, with the first or the last letter of that one.
     Spellings that run two words together meet the others under the core itself."""
@@ -223,11 +236,14 @@ def block_keys(tokens: list[tuple[str, bool]]) -> set[str]:
     keys = {"5" + core} | {"5" + x for x in _joined(tokens)}
     if len(tokens) == 1:
         return keys | {"1" + soundex(core), "2" + soundex(core[::-1])}
-    codes = [{soundex(x)} | {soundex(formal) for formal in _FORMALS.get(x, ())} for x, _ in tokens]
+    few = len(tokens) <= MOST_WORDS
+    codes = [soundex(x) for x, _ in tokens]
     for i, (t, cut) in enumerate(tokens):
-        plain = [soundex(x) for j, (x, _) in enumerate(tokens) if j != i]
-        others = [c for j, c in enumerate(codes) if j != i]
-        sounds = {" ".join(sorted(plain))} | {" ".join(sorted([*plain[:k], c, *plain[k + 1 :]])) for k, cs in enumerate(others) for c in cs}
+        plain = codes[:i] + codes[i + 1 :]
+        sounds = {_phrase(plain)}
+        for k, (x, _) in enumerate(tokens if few else ()):
+            if k != i:
+                sounds |= {_phrase([*plain[: k - (k > i)], soundex(formal), *plain[k + 1 - (k > i) :]]) for formal in _FORMALS.get(x, ())}
         firsts = {t[0]} | {f[0] for f in _FORMALS.get(t, ())}
         for s in sounds:
             keys |= {f"3{s} {c}" for c in firsts}
@@ -242,20 +258,20 @@ def finer_keys(tokens: list[tuple[str, bool]]) -> set[tuple[str, bool]]:
     With up to two slips they share the tokens less up to two letters; through a short form the other tokens less
     a letter, and the first letter of what it stands for; run together, the core with the words joined.
     """
-    words = [t for t, _ in tokens]
-    sort = lambda ws: " ".join(sorted(ws))
-    once = [deletions(w) if len(w) > 2 else {w} for w in words]
-    out = {"5" + sort(words)} | {"5" + x for x in _joined(tokens)}
+    words, few = [t for t, _ in tokens], len(tokens) <= MOST_WORDS
+    once = [deletions(w) if 2 < len(w) <= LONGEST else {w} for w in words]
+    out = {"5" + _phrase(words)} | {"5" + x for x in _joined(tokens)}
     for i, w in enumerate(words):
         rest = words[:i] + words[i + 1 :]
-        out |= {"6" + sort([d, *rest]) for d in (deletions(w, 2) if len(w) >= LEAST_LETTERS else once[i])}
-        for j in range(i):
+        twice = deletions(w, 2) if LEAST_LETTERS <= len(w) <= LONGEST else once[i]
+        out |= {"6" + _phrase([d, *rest]) for d in twice} if few else {f"6{_phrase(rest)} {d}" for d in twice}
+        for j in range(i if few else 0):
             others = [x for k, x in enumerate(words) if k not in (i, j)]
-            out |= {"6" + sort([d, e, *others]) for d in once[i] for e in once[j]}
+            out |= {"6" + _phrase([d, e, *others]) for d in once[i] for e in once[j]}
     keys = {(k, False) for k in out}
     for i, (t, _) in enumerate(tokens if len(tokens) > 1 else []):
         rest = words[:i] + words[i + 1 :]
-        left = {sort(rest)} | {sort([d, *rest[:j], *rest[j + 1 :]]) for j, w in enumerate(rest) for d in (deletions(w) if len(w) > 2 else {w})}
+        left = {_phrase(rest)} | {_phrase([d, *rest[:j], *rest[j + 1 :]]) for j in range(len(rest) if few else 0) for d in once[j + (j >= i)]}
         keys |= {(f"7{c} {r}", True) for c in {t[0]} | {f[0] for f in _FORMALS.get(t, ())} for r in left}
     return keys
 

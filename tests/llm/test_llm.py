@@ -60,6 +60,18 @@ def test_crowded_blocks_find_the_same(spark, max_block):
     assert set(got(names.variant_pairs(df, max_block))) == {(a, b) for g in same for a in g for b in g if a < b}
 
 
+def test_long_names():
+    words = [f"word{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}" for i in range(1000)]
+    tokens = lambda ws: sorted((w, False) for w in ws)
+    slipped, other, bob, robert = [*words[:-1], "wodrjjj"], [*words[:-2], "wordxyz", "wordzyx"], ["bob", *words[:20]], ["robert", *words[:20]]
+    for x, y, kind in ((words, slipped, "slip"), (words, other, None), (bob, robert, "short"), (words, words[::-1], "same"), (["z" * 20_000], ["z" * 20_001], None)):
+        a, b = tokens(x), tokens(y)
+        assert names.compare(a, b) == kind
+        if kind:
+            assert names.block_keys(a) & names.block_keys(b) and names.finer_keys(a) & names.finer_keys(b)
+    assert len(names.finer_keys([("z" * 20_000, False)])) < 10 and len(names.block_keys(tokens(["bob"] * 1000))) < 3000
+
+
 def test_finer_keys_meet_whatever_is_accepted():
     rng = random.Random(11)
     first, nicks = ["robert", "bob", "rob", "william", "bill", "eleanor", "nell", "thomas", "gregory", "r", "w", "tho.", "gre."], "netemiri kogijozzo brumogene ladrulasi smith lee fozihugi".split()
