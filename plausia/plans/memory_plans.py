@@ -264,7 +264,7 @@ SELECT question_id, section, place AS section_pos, line, row_number() OVER (PART
 p AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY entity, attribute) AS DOUBLE) AS p FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY entity, attribute ORDER BY p DESC, value) AS k FROM p WHERE attribute IS NOT NULL),
 b AS (SELECT true AS wide, * FROM r WHERE k <= 5 AND p > 0.10 UNION ALL SELECT false, * FROM r WHERE k <= 1 AND p > 0.30) SELECT wide, entity, attribute AS relation, value AS related, round(p, 6) AS p FROM b WHERE value <> 'unknown'""",
     "gr7_term_boost": f"""WITH {text_sql._EDGES}, k AS (SELECT source_entity AS s, relation AS r, target_entity AS t, max(coalesce(confidence, 0.5)) AS c FROM e WHERE source_entity <> '' AND target_entity <> '' AND source_entity <> target_entity GROUP BY ALL),
-w AS (SELECT *, len(list_intersect(list_distinct(string_split_regex(lower(t), '\s+')), [{", ".join(map(_QUOTED, TERMS))}])) AS shared FROM k)
+w AS (SELECT *, len(list_intersect(list_distinct(string_split_regex(lower(t), '\\s+')), [{", ".join(map(_QUOTED, TERMS))}])) AS shared FROM k)
 SELECT s AS question_id, t AS entity, concat_ws('>', s, r, t) AS path FROM w WHERE c * (1 + 0.3 * shared) >= 0.7 QUALIFY row_number() OVER (PARTITION BY s, t ORDER BY r) = 1""",
     "gr4_added_edges": """WITH a AS (SELECT source_entity, relation, target_entity, confidence FROM relationship_edges), b AS (SELECT * FROM a UNION ALL SELECT source_entity, relation, CASE WHEN length(relation) % 2 = 0 THEN '' ELSE target_entity END, confidence FROM a WHERE confidence >= 0.9)
 SELECT source_entity, count(*) AS n_edges, count(*) FILTER (target_entity = '') AS n_empty FROM b GROUP BY source_entity""",
