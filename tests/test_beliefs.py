@@ -28,7 +28,7 @@ GOLDEN = [
 def test_golden_updates_both_ways(spark):
     rows = [(f"E{i}", "a", v, r) for i, (obs, _, _) in enumerate(GOLDEN) for v, r in obs]
     c = claims(spark, rows)
-    native, scanned = beliefs.beliefs(c), beliefs.beliefs(c, hot_claims=0)
+    native, scanned = beliefs.folded_beliefs(c), beliefs.beliefs(c)
     last = {r.entity: r for r in beliefs.change_log(c, last_only=True).collect()}
     for i, (_, want, surprise) in enumerate(GOLDEN):
         assert dist_of(native, f"E{i}") == want == dist_of(scanned, f"E{i}")
@@ -42,7 +42,7 @@ def test_both_folds_agree_on_every_bit(spark):
     rng = random.Random(8)
     c = claims(spark, [(f"E{rng.randrange(4)}", "a", rng.choice("pqrstu"), rng.choice([0.0, 0.2, 0.6, 0.9, 1.0])) for _ in range(400)])
     pair = lambda df: {r.entity: [(x.value, x.p) for x in r.dist] for r in df.collect()}
-    native, scanned = pair(beliefs.beliefs(c)), pair(beliefs.beliefs(c, hot_claims=10))
+    native, scanned = pair(beliefs.folded_beliefs(c)), pair(beliefs.beliefs(c))
     assert native.keys() == scanned.keys()
     for k in native:
         assert [v for v, _ in native[k]] == [v for v, _ in scanned[k]] and [p for _, p in native[k]] == pytest.approx([p for _, p in scanned[k]], abs=1e-12)
