@@ -227,3 +227,15 @@ def test_merge_candidates_equal_the_pairwise_score(spark):
         out = identity.merge_candidates(asked, known, least=0.3, block_rows=block)
         assert {(r.entity_a, r.entity_b): round(r.coupling, 9) for r in out.collect()} == want and want
     assert got(identity.merge_candidates(asked.limit(0), known)) == [] and identity.overlapping(asked, known).count() > 0
+
+
+def test_merge_candidates_pass_once_and_compare_equal_profiles_once(spark):
+    kinds = {0: [("p", 0.5), ("q", 0.5)], 1: [("p", 0.51), ("q", 0.49)], 2: [("r", 1.0)]}
+    rows = [(i, a, kinds[i % 3] if a != "c" else [(f"s{i % 2}", 1.0)]) for i in range(1_200) for a in "abc"]
+    known = spark.createDataFrame(rows, f"entity long, attribute string, dist {DIST_DDL}")
+    near = identity.merge_candidates(known.select("entity"), known, least=0.9, digits=4)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapIn") == 1 and "Union" not in plan
+    per = near.groupBy("coupling", (F.col("entity_a") % 6).alias("a"), (F.col("entity_b") % 6).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity_a", "entity_b").alias("d"))
+    want = [(1.0, k, k, 200 * 199) for k in (0, 1, 3, 4)] + [(1.0, a, b, 200 * 200) for a, b in ((0, 4), (4, 0), (1, 3), (3, 1))]
+    assert sorted((r.coupling, r.a, r.b, r.n) for r in per.collect() if r.n == r.d) == sorted(want)
