@@ -11,6 +11,9 @@ from ..functions.text import percent
 from ..operators import context as C
 from ..operators import graph, queries, search
 
+#: Fixed value: with so many entities known, a search of the graph goes no further.
+MOST_SEEDS = 12
+
 
 def _believed_relations(shown: DataFrame, beliefs: DataFrame, listed: DataFrame) -> DataFrame:
     """Lines of relations that are believed but not ``listed`` as edges, after the edges of their entity."""
@@ -24,17 +27,22 @@ def _believed_relations(shown: DataFrame, beliefs: DataFrame, listed: DataFrame)
 
 
 def build_context(questions: DataFrame, dimensions: DataFrame, deltas: DataFrame, edges: DataFrame, events: DataFrame, top_k: int = 5, aggregate_observed: bool = True) -> DataFrame:
-    """``question_id, section, section_pos, line, line_pos`` for ``questions(question_id, text)``."""
+    """``question_id, section, section_pos, line, line_pos`` for ``questions(question_id, text)``; questions with the same
+    text are worked on once. Of the entities that share a word with a question, however many, only those are told apart
+    that are shown or searched from; evidence is looked for by the word."""
+    repeated = materialize(questions.select("question_id", "text", F.min("question_id").over(Window.partitionBy("text")).alias("_as")), "questions")
+    questions = repeated.where("question_id = _as").select("question_id", "text").distinct()
     beliefs = materialize(queries.current_dimensions(dimensions), "beliefs")
     registry = materialize(queries.entity_registry(beliefs, edges), "registry")
     types = questions.select("question_id", C.question_type(F.col("text")).alias("type"))
-    seeds = materialize(C.seeds_or_popular(C.mentioned(questions, registry), questions, registry, top_k), "seeds")
+    few, (asked, members) = (lambda few, groups: (materialize(few, "few"), tuple(materialize(g, "groups") for g in groups)))(*C.mentioned_groups(questions, registry))
+    seeds = materialize(C.seeds_or_popular(C.first_mentioned(few, asked, members, max(MOST_SEEDS, top_k)), questions, registry, top_k), "seeds")
     deep = F.when(F.col("type").isin("relationship", "multi-hop"), 2).otherwise(1)
-    reached = materialize(graph.traverse(seeds.join(types.select("question_id", deep.alias("hops")), "question_id"), edges, 2, 0.3, 12), "reached")
-    wanted = seeds.select("question_id", "entity").unionAll(reached.select("question_id", "entity"))
+    reached = materialize(graph.traverse(seeds.join(types.select("question_id", deep.alias("hops")), "question_id"), edges, 2, 0.3, MOST_SEEDS), "reached")
+    wanted = seeds.select("question_id", "entity").unionAll(few).unionAll(reached.select("question_id", "entity"))
     docs = events.select(F.col("id").alias("doc_id"), "speaker", "text", "ts", "entities")
     limits = F.create_map(*(F.lit(x) for pair in C.EVIDENCE_LIMITS.items() for x in pair))
-    hits = search.search_evidence(docs, questions, wanted, max(C.EVIDENCE_LIMITS.values())).join(types, "question_id").where(F.col("rank") <= limits[F.col("type")])
+    hits = search.search_evidence(docs, questions, wanted, max(C.EVIDENCE_LIMITS.values()), (asked, members)).join(types, "question_id").where(F.col("rank") <= limits[F.col("type")])
     evidence = hits.join(docs, "doc_id").select("question_id", F.col("rank").alias("line_pos"), evidence_line(F.col("text"), F.col("ts")).alias("line"))
     shown = seeds.where(F.col("position") <= top_k)
     found_order = F.row_number().over(Window.partitionBy("question_id").orderBy("depth", "entity"))
@@ -57,4 +65,5 @@ def build_context(questions: DataFrame, dimensions: DataFrame, deltas: DataFrame
     hops = reached.where(F.size("path") >= 3).select("question_id", F.lit(1_000).alias("position"), F.lit(1).alias("part"), F.col("depth").cast("double").alias("k"), C.path_line(F.col("path")).alias("line"))
     rel_order = F.row_number().over(Window.partitionBy("question_id").orderBy("part", "position", "k", "line"))
     relations = relation_lines.unionByName(hops).select("question_id", rel_order.alias("line_pos"), "line")
-    return C.assembled(types, profiles, relations, evidence)
+    of_text = C.assembled(types, profiles, relations, evidence).withColumnRenamed("question_id", "_as")
+    return of_text.join(repeated.select("_as", "question_id"), "_as").select("question_id", "section", "section_pos", "line", "line_pos")

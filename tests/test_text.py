@@ -235,3 +235,16 @@ def test_search_keeps_few_rows_and_equals_brute_force(spark, monkeypatch):
     for block in (65_536, 9):
         monkeypatch.setattr(search, "BLOCK_QUESTIONS", block)
         assert got(search.search_turns(docs, q, w, 7, groups)) == sorted(expect, key=repr) and expect
+
+
+def test_shared_words_are_kept_once_and_mean_the_same(spark):
+    names = [f"Dmitri S{i:03d}" for i in range(300)] + ["Ann Lee", "Bo", "Al Li", "dmitri s001"]
+    registry = spark.createDataFrame([(n, 1) for n in names], "entity string, n_attributes long")
+    q = spark.createDataFrame([(i, f"What is the role of Dmitri S{i:03d}?") for i in range(50)] + [(50, "Who is Al Li?"), (51, "xAnn Leex"), (52, None)], "question_id int, text string")
+    few, (asked, members) = context.mentioned_groups(q, registry)
+    rows = few.count() + asked.count() + members.count()
+    assert rows < 1_000 < context.mentioned(q, registry).count()
+    want = {(i, n) for i in range(50) for n in names if "mitri" in n} | {(50, "Al Li"), (51, "Ann Lee")}
+    assert set(got(context.mentioned(q, registry))) == want
+    first = context.first_mentioned(few, asked, members, 12)
+    assert set(got(first)) == {(i, n) for i in range(53) for n in sorted(n for j, n in want if j == i)[:12]}
