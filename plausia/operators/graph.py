@@ -87,6 +87,7 @@ def traverse(seeds: DataFrame, edges: DataFrame, hops: int = 2, min_confidence:
     links = edges.where("source_entity is not null and target_entity <> ''").groupBy("source_entity", "relation", "target_entity").agg(F.max(F.coalesce("confidence", F.lit(0.5))).alias("confidence"))
     if terms is None:
         links = links.where(F.col("confidence") >= min_confidence)
+    links = materialize(links, "links") if hops > 1 else links
     own_hops = seeds.groupBy("question_id").agg(F.max("hops").alias("_hops")) if "hops" in seeds.columns else None
     first = seeds.groupBy("question_id", "entity").agg(F.min("position").alias("position"))
     seen = first.select("question_id", "entity", F.lit(0).alias("depth"), F.row_number().over(Window.partitionBy("question_id").orderBy("position", "entity")).cast("long").alias("visit"), F.array("entity").alias("path"))

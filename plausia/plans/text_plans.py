@@ -12,7 +12,7 @@ from ..operators import context, extract, graph, queries, search
 from ..operators.deltas import first_deliveries, top_value
 from ..sources import loaders, store
 from . import text_sql
-from .answering import build_context
+from .answering import build_context, build_context_text
 from .belief_plans import current
 from .problems import Query, table
 
@@ -261,17 +261,17 @@ def ctx10_annotations(spark: SparkSession, d: str) -> DataFrame:
     return said.where("day is not null").select("id", "phrase", F.array_join(temporal.annotations(F.concat(F.lit("It was "), "phrase", F.lit(".")), F.col("day")), "; ").alias("note"))
 
 
-def _context(spark: SparkSession, d: str) -> DataFrame:
+def _context_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     t = lambda name: table(spark, d, name)
-    return build_context(role_questions(spark, d), t("dimensions"), first_deliveries(t("deltas"), *[c for c in t("deltas").columns if c not in ("id", "seq")]), t("relationship_edges"), t("evidence_events").where("text is not null"))
+    return role_questions(spark, d), t("dimensions"), t("deltas"), t("relationship_edges"), t("evidence_events").where("text is not null")
 
 
 def ctx3_context(spark: SparkSession, d: str) -> DataFrame:
-    return _context(spark, d)
+    return build_context(*_context_tables(spark, d))
 
 
 def ctx11_context_text(spark: SparkSession, d: str) -> DataFrame:
-    return context.context_text(_context(spark, d))
+    return build_context_text(*_context_tables(spark, d))
 
 
 def fn_forms(spark: SparkSession, d: str) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from plausia.cluster import fresh_path
 from plausia.functions import metrics, temporal, text
 from plausia.operators import beliefs, context, extract, search
+from plausia.plans import answering
 from plausia.schema import CLAIMS, DIST_DDL
 from plausia.sources import loaders, store
 from plausia.streaming import ingest
-from tests.data import deltas, got
+from tests.data import deltas, dimensions, got
 
 
 def scalar(spark, column):
@@ -248,3 +249,33 @@ def test_shared_words_are_kept_once_and_mean_the_same(spark):
     assert set(got(context.mentioned(q, registry))) == want
     first = context.first_mentioned(few, asked, members, 12)
     assert set(got(first)) == {(i, n) for i in range(53) for n in sorted(n for j, n in want if j == i)[:12]}
+
+
+def test_a_context_moves_each_line_once(spark):
+    rows = [(1, "Relationships", 1, "Ann --friend--> Bo (90% confidence)"), (1, "Ann", 1, "Ann's pet is a cat"), (1, "Bo", 1, "ann's pet is a CAT"), (1, "Relevant evidence", 1, "Ann: hi"), (2, "Ann", 1, None)]
+    text = context.context_text(spark.createDataFrame(rows, "question_id int, section string, line_pos int, line string"))
+    assert text._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert got(text) == [(1, "FACT: Ann --friend--> Bo (90% confidence)\nFACT: Ann's pet is a cat\nEVIDENCE: Ann: hi")]
+
+
+def test_context_reads_the_log_of_shown_entities_only(spark, monkeypatch):
+    one = lambda v: [(v, 1.0)]
+    log = [{"id": f"o{i}", "dimension_id": f"Other S{i}.pet", "evidence": "no"} for i in range(50)]
+    log += [{"id": "a", "dimension_id": "Ann Lee.pet", "posterior": [("cat", 0.6), ("dog", 0.4)], "evidence": "Ann has a cat"}, {"id": "b", "dimension_id": "Moved Away.pet", "evidence": "gone"}]
+    log += [{"id": "b", "dimension_id": "Ann Lee.pet", "evidence": "came late"}, {"id": None, "dimension_id": "Ann Lee.pet", "evidence": "no id"}, {"id": "n", "dimension_id": None, "evidence": "no name"}]
+    log = deltas(spark, log)
+    kept = answering._log_of(log, spark.createDataFrame([("Ann Lee",)], "entity string"))
+    assert [(r.id, r.evidence, r.seq) for r in kept.collect()] == [("a", "Ann has a cat", 51)]  # a later delivery is none, even if only it tells of someone shown
+    held = dimensions(spark, [("Ann Lee.pet", one("cat"), 1.0), ("Other S1.pet", one("dog"), 1.0), ("Other S2.pet", one("dog"), 1.0)])
+    edges = spark.createDataFrame([("Ann Lee", "friend", "Bo Ray", 0.9, None, 1.0)], "source_entity string, relation string, target_entity string, confidence double, evidence string, ts double")
+    events = spark.createDataFrame([("e1", "Ann Lee met Bo", 1_689_120_000.0, "Cy", ["Ann Lee"])], "id string, text string, ts double, speaker string, entities array<string>")
+    asked = [(i, "Would Ann Lee like tea?") for i in range(40)] + [(40, "What is the role of Ann Lee?"), (41, None)]
+    tables = spark.createDataFrame(asked, "question_id int, text string"), held, log, edges, events
+    related = ["FACT: Ann Lee --friend--> Bo Ray (90% confidence)", "FACT: Ann Lee --pet--> cat", "FACT: [Multi-hop path] Ann Lee → friend → Bo Ray"]
+    own = ["FACT: Ann Lee's pet is cat", "FACT: Observed Ann Lee pet values include: cat, dog", "FACT: Ann has a cat [2025-06-15]", "EVIDENCE: [2023-07-12] Ann Lee met Bo"]
+    text = got(answering.build_context_text(*tables))
+    told = dict(text)
+    assert [told[i].split("\n") for i in range(41)] == [related + own] * 40 + [own]
+    assert text == got(context.context_text(answering.build_context(*tables)))
+    monkeypatch.setattr("plausia.cluster.is_small", lambda *_: False)  # with more names than a broadcast takes, all is read and nothing changes
+    assert text == got(answering.build_context_text(*tables))
